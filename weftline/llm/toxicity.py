@@ -180,7 +180,7 @@ def document_odds(y: np.ndarray, doc: np.ndarray, item: np.ndarray, n_items: int
     return np.log((bad + 2 * prior * share) / (good + 2 * prior * (1 - share))) - np.log(share / (1 - share))
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 4, steps: int = 80, batch: int = 384, rate: float = 0.02, hide: float = 0.5, decay: float = 1e-3, seed: int = 11) -> Network:
+def train(texts: list[str], toxic: np.ndarray, rounds: int = 4, steps: int = 80, batch: int = 384, rate: float = 0.02, hide: float = 0.5, decay: float = 1e-2, seed: int = 11) -> Network:
     net = Network.fresh(seed)
     if len(np.unique(toxic)) < 2:
         return net
@@ -194,11 +194,13 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 4, steps: int = 80,
     own = document_odds(y, doc, word, lex.n)
     n = np.diff(lex.ends, prepend=0)[word]
     ends = np.cumsum(n)
-    grams = document_odds(y, np.repeat(doc, n), lex.gram[np.repeat(lex.ends[word] - ends, n) + np.arange(int(ends[-1]))], TRIGRAMS)
+    by_gram = document_odds(y, np.repeat(doc, n), lex.gram[np.repeat(lex.ends[word] - ends, n) + np.arange(int(ends[-1]))], TRIGRAMS)
     best_gram = np.full(lex.n, -np.inf)
-    np.maximum.at(best_gram, lex.owner, grams[lex.gram])
+    np.maximum.at(best_gram, lex.owner, by_gram[lex.gram])
     odds = np.append(np.maximum(own, best_gram), 0.0)
     guess = odds[windows].max(axis=1)
+    net.p["words"][0] = net.p["known"] * document_odds(y, doc, lex.bucket[word], WORDS) / 2
+    net.p["chars"][0] = by_gram / 2
     adam = gru.Adam({k: v for k, v in net.p.items() if k != "known"}, rate)
     for r in range(rounds):
         best = np.full(len(texts), -1, np.int64)
