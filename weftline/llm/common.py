@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 
 import numpy as np
@@ -27,9 +28,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder; its lineage (and its shuffles) end there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to the shared folder and read it back: its lineage and its shuffles end there.
+
+    A written table rather than checkpoint(): the planner then knows the true size. Sizes of
+    checkpointed plans are products of estimates, which loops of joins blow up without bound.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(column: str = "text"):
@@ -58,10 +65,14 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20):
         start = stop
 
 
+def whole(texts: pa.Array) -> pa.Array:
+    """A copy as large strings, nulls empty, that starts at offset 0: some string kernels go wrong on slices."""
+    return pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
+
+
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words [^\\x20\\x09-\\x0D]+ of each text (null: none): flat words and the row each is from."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    lists = pc.ascii_split_whitespace(texts)
+    lists = pc.ascii_split_whitespace(whole(texts))
     row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = pc.list_flatten(lists)
     keep = pc.greater(pc.binary_length(flat), 0)

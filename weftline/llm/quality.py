@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import mix64, slices, text_or_empty, word_codes, words_of
+from weftline.llm.common import mix64, slices, text_or_empty, whole, word_codes, words_of
 
 SHINGLE = 5
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -82,7 +82,7 @@ def repeated_words(codes: np.ndarray, row: np.ndarray, n_rows: int, size: int =
 
 def statistics(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """COUNTS of each text, and the matrix of FEATURES."""
-    texts = pc.fill_null(column.cast(pa.large_string()), "")
+    texts = whole(column)
     n = len(texts)
     got = _per_text(texts)
     flat, row = words_of(texts)

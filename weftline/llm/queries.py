@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from weftline.llm.jaccard_join import op10_jaccard_join
 from weftline.llm.language_id import op7_language_id
 from weftline.llm.media import op9_media
 from weftline.llm.packing import op6_packing
@@ -12,7 +13,7 @@ from weftline.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict:
-    found = [op2_toxicity, op3_token_counts, op4_quality_rules, op6_packing, op7_language_id, op8_sentence_pieces, op9_media]
+    found = [op2_toxicity, op3_token_counts, op4_quality_rules, op6_packing, op7_language_id, op8_sentence_pieces, op9_media, op10_jaccard_join]
     return {f.__name__: f for f in found}
 
 
