@@ -9,12 +9,13 @@ from weftline.llm.packing import op6_packing
 from weftline.llm.quality import op4_quality_rules
 from weftline.llm.sentence_pieces import op8_sentence_pieces
 from weftline.llm.substring_dedup import op5_substring_dedup
+from weftline.llm.suffix_dedup import op1_suffix_dedup
 from weftline.llm.token_counts import op3_token_counts
 from weftline.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict:
-    found = [op2_toxicity, op3_token_counts, op4_quality_rules, op5_substring_dedup, op6_packing, op7_language_id, op8_sentence_pieces, op9_media, op10_jaccard_join]
+    found = [op1_suffix_dedup, op2_toxicity, op3_token_counts, op4_quality_rules, op5_substring_dedup, op6_packing, op7_language_id, op8_sentence_pieces, op9_media, op10_jaccard_join]
     return {f.__name__: f for f in found}
 
 
