@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import jaccard_join, language_id, packing, substring_dedup, toxicity
-from weftline.llm.common import checkpoint_dir, table
+from weftline.llm.common import checkpoint_dir, small_batches, table
 
 #: SQL can express neither the networks nor the packing: tested against brute force instead.
 ORACLE_SQL = None
@@ -24,6 +24,7 @@ LEAST_LANGUAGE_SCORE = 0.4
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those no learned language fits."""
+    small_batches(spark)
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
     kept = language_id.identify(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
     return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
@@ -38,6 +39,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the least doc_id, of each component of similar ones."""
+    small_batches(spark)
     found = jaccard_join.join(docs.select("doc_id", "text"))
     keep = found.filter("component_id = doc_id or doc_id is null").select("doc_id").distinct()
     return docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi").select(docs.columns)
@@ -45,6 +47,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated passages; a document that loses all its words goes."""
+    small_batches(spark)
     out = substring_dedup.dedup(docs)
     left = out.filter((F.col("n_removed_words") == 0) | (F.col("n_removed_words") < F.col("n_words")))
     return left.withColumn("n_chars", F.when(F.col("n_removed_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
@@ -52,6 +55,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the texts into windows of 2048 tokens."""
+    small_batches(spark)
     import public_tokenizers
 
     return packing.digest(packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")))

@@ -44,7 +44,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", small: int
         n = rest.count()
         if n <= small:
             if n:
-                hooks.append(cut(rest.groupBy(F.lit(0)).applyInArrow(_union_find, "u long, p long")))
+                hooks.append(cut(rest.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(_union_find, "u long, p long")))
             break
         order = F.xxhash64("v", F.lit(seed))
         both = rest.union(rest.select(F.col("v").alias("u"), F.col("u").alias("v")))

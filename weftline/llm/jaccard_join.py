@@ -13,9 +13,10 @@ finds every link between different components, so no component is missed:
    is compared with the block's cluster leaders. Clusters that share members are joined. Groups
    so made hold similar documents; thousands of near copies end in one group.
 4. Token-group matrix. Each group's token union is kept as (token, group) rows, for tokens in two
-   groups or more. A set's overlap with the union of another group is bounded by counting; a set
-   whose bound is below what a link needs opens nothing, the others open the groups that qualify
-   and are verified against their members.
+   groups or more. A set with fewer than t such tokens ends here. With a set's tokens rarest first,
+   a group that has none of the first c - t + 1 of its c tokens can share at most t - 1, too few;
+   the other groups qualify, if their sizes do, are opened, and the set is verified against their
+   members.
 
 Words are runs of other than ASCII white space, A-Z lower-cased. A text of one to four words has one
 shingle, the whole of it; null, empty and blank texts have none and link with nothing. Rows without
@@ -30,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, hash_words, mix64, slices, whole, words_of
+from weftline.llm.common import cut, hash_words, mix64, slices, small_side, whole, words_of
 from weftline.llm.components import components
 
 SIZE, PERCENT = 5, 75
@@ -140,7 +141,7 @@ def shared_keys(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.
 _BLOBS = "bucket long, keys binary, owners binary, ids binary, sigs binary"
 
 
-def _scan(docs: DataFrame, buckets: int, percent: int, flush: int = 2_000_000) -> DataFrame:
+def _scan(docs: DataFrame, buckets: int, percent: int, flush: int = 1_000_000) -> DataFrame:
     """Packed first tokens by bucket, and (bucket -1 and less) sizes and signatures of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +231,7 @@ def _sets_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "sig").mapInArrow(run, "doc_id long, n long, tokens binary, k0 long, k1 long")
 
 
-def _clusters(sets: DataFrame, key: str, block: int, percent: int) -> DataFrame:
+def _clusters(sets: DataFrame, block: int, percent: int) -> DataFrame:
     """Verified links (leader, member) within blocks of sets that have one minimum token."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -251,52 +252,112 @@ def _clusters(sets: DataFrame, key: str, block: int, percent: int) -> DataFrame:
                 leaders.append(i)
         return pa.table([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    sizes = sets.groupBy(key).count()
-    large = sizes.filter(F.col("count") > block).select(key, F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    # a key that only one set has makes no link
-    rows = sets.select("doc_id", "n", "tokens", key).join(large, key, "left")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(key)), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
-    return rows.groupBy(key, "block").applyInArrow(run, "src long, dst long")
+    keys = sets.select("doc_id", F.explode(F.array(*(F.struct(F.lit(r).alias("round"), F.col(f"k{r}").alias("key")) for r in range(len(SEEDS))))).alias("k")).select("doc_id", "k.round", "k.key")
+    blocks = keys.groupBy("round", "key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    places = cut(keys.join(blocks, ["round", "key"]).select("doc_id", "round", "key", F.pmod(F.xxhash64("doc_id", "round"), F.col("blocks")).cast("int").alias("block")))
+    rows = sets.select("doc_id", "n", "tokens").join(small_side(places, 64), "doc_id")
+    return rows.groupBy("round", "key", "block").applyInArrow(run, "src long, dst long")
 
 
-def _opened(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _shared_tokens(grouped: DataFrame, buckets: int) -> DataFrame:
+    """doc_id, c: how many of a set's tokens occur in another group too."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, grp, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "grp", "n"))
+            cut_at = [0, *(np.flatnonzero(np.diff(np.cumsum(n) // 1_000_000)) + 1).tolist(), len(ids)]
+            for a, b in zip(cut_at[:-1], cut_at[1:], strict=True):
+                if a == b:
+                    continue
+                toks = np.concatenate([np.frombuffer(x, np.uint64) for x in batch.column("tokens").slice(a, b - a).to_pylist()])
+                place = np.arange(a, b)
+                rows = list(bucket_rows(toks, np.repeat(place, n[a:b]), np.arange(len(ids)), buckets))
+                used = [np.frombuffer(r[3], "<i8") for r in rows]
+                cols = [pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2)), pa.array([ids[u].astype("<i8").tobytes() for u in used], pa.binary()), pa.array([grp[u].astype("<i8").tobytes() for u in used], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["bucket", "keys", "owners", "ids", "sigs"])
+
+    def count(t: pa.Table) -> pa.Table:
+        keys = np.concatenate([unpack_keys(x) for x in t["keys"].to_pylist()])
+        ids, grp = ([np.frombuffer(x, "<i8") for x in t[c].to_pylist()] for c in ("ids", "sigs"))
+        base = np.cumsum([0, *map(len, ids)])
+        owner = np.concatenate([np.frombuffer(x, "<u4").astype(np.int64) + b for x, b in zip(t["owners"].to_pylist(), base, strict=False)])
+        ids, grp = np.concatenate(ids), np.concatenate(grp)
+        order = np.argsort(keys, kind="stable")
+        k, o = keys[order], owner[order]
+        start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        g = grp[o]
+        wide = np.minimum.reduceat(g, start) != np.maximum.reduceat(g, start)
+        c = np.bincount(o[np.repeat(wide, np.diff(np.append(start, len(k))))], minlength=len(ids))
+        return pa.table([pa.array(ids[c > 0]), pa.array(c[c > 0].astype(np.int64))], ["doc_id", "c"])
+
+    packed = grouped.select("doc_id", "n", "grp", "tokens").mapInArrow(pack, _BLOBS)
+    return packed.groupBy("bucket").applyInArrow(count, "doc_id long, c long").groupBy("doc_id").agg(F.sum("c").alias("c"))
+
+
+def _opened(sets: DataFrame, groups: DataFrame, buckets: int, percent: int, block: int = 1024) -> DataFrame:
     """Verified links between different groups: bounds by the token-group matrix, then its groups opened."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = [first_tokens(np.frombuffer(b, np.uint64), percent) for b in batch.column("tokens").to_pylist()]
-            size = np.array([len(f) for f in first], np.int64)
-            at = np.repeat(np.arange(len(first)), size)
-            for a in range(0, len(at), 1_000_000):
-                rows = pa.array(at[a : a + 1_000_000])
-                token = np.concatenate(first)[a : a + 1_000_000].view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("n").take(rows), batch.column("grp").take(rows), pa.array(token)], ["doc_id", "n", "grp", "token"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(c).to_pylist() for c in ("tokens", "other_tokens"))
-            ok = [links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("other")], ["src", "dst"]).filter(pa.array(ok, pa.bool_()))
-
-    grouped = sets.select("doc_id", "n", "tokens").join(groups, "doc_id", "left").withColumn("grp", F.coalesce("component", "doc_id")).drop("component")
-    rows = grouped.select("doc_id", "n", "tokens", "grp").mapInArrow(explode, "doc_id long, n long, grp long, token long")
-    # tokens of two groups or more: min <> max needs no distinct count
-    wide = rows.groupBy("token").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).filter("a <> b").select("token")
-    rows = rows.join(wide, "token", "left_semi")
-    enough = rows.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= _needed_column(F.col("n"), percent)).select("doc_id")
-    rows = cut(rows.join(enough, "doc_id", "left_semi"))
-    matrix = rows.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    pairs = rows.join(matrix.withColumnRenamed("grp", "other_grp"), "token").filter((F.col("grp") != F.col("other_grp")) & (100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n")))
-    bound = pairs.groupBy("doc_id", "n", "grp", "other_grp").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= _needed_column(F.col("n"), percent))
-    member = grouped.select(F.col("grp").alias("other_grp"), F.col("doc_id").alias("other"), F.col("n").alias("other_n"))
-    fits = (F.col("doc_id") < F.col("other")) & (100 * F.col("other_n") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("other_n"))
-    # a link is found from either side; both sides' bounds hold for it, so the smaller id suffices
-    todo = bound.select("doc_id", "n", "other_grp").join(member, "other_grp").filter(fits).select("doc_id", "other")
-    todo = todo.join(sets.select("doc_id", "tokens"), "doc_id").join(sets.select(F.col("doc_id").alias("other"), F.col("tokens").alias("other_tokens")), "other")
-    return todo.select("doc_id", "other", "tokens", "other_tokens").mapInArrow(verify, "src long, dst long")
-
-
-def join(docs: DataFrame, percent: int = PERCENT, tokens_per_bucket: int = 2_000_000, block: int = 512, broadcast_bytes: int = 64 << 20) -> DataFrame:
+            n = batch.column("n").to_numpy(zero_copy_only=False)
+            toks = batch.column("tokens").to_pylist()
+            for a in range(0, len(n), 1000):
+                rows = pa.array(np.repeat(np.arange(a, min(a + 1000, len(n))), n[a : a + 1000]))
+                token = np.concatenate([np.frombuffer(x, np.int64) for x in toks[a : a + 1000]])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("doc_id", "n", "grp", "members")), pa.array(token)], ["doc_id", "n", "grp", "members", "token"])
+
+    def opened(asking: pa.Table, members: pa.Table) -> pa.Table:
+        members = members.sort_by([("n", "ascending"), ("doc_id", "ascending")])
+        size = members["n"].to_numpy() if len(members) else np.zeros(0, np.int64)
+        ids, toks = members["doc_id"].to_pylist(), [np.frombuffer(x, np.uint64) for x in members["tokens"].to_pylist()]
+        grp = members["grp"].to_pylist()
+        src, dst = [], []
+        for d, n, g, x in zip(*(asking[c].to_pylist() for c in ("doc_id", "n", "grp", "tokens")), strict=True):
+            x, joined = np.frombuffer(x, np.uint64), {g}
+            for j in range(*np.searchsorted(size, [-(-percent * n // 100), 100 * n // percent + 1])):
+                if grp[j] not in joined and links(x, toks[j], percent):  # one link joins the set to a component
+                    src.append(d)
+                    dst.append(ids[j])
+                    joined.add(grp[j])
+        return pa.table([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    t = F.ceil(F.col("n") * percent / 100).cast("long")
+    grouped = sets.select("doc_id", "n", "tokens").join(small_side(groups, 32), "doc_id", "left").withColumn("grp", F.coalesce("component", "doc_id")).drop("component")
+    alive = cut(grouped.select("doc_id", "n", "grp").join(_shared_tokens(grouped, buckets), "doc_id").filter(F.col("c") >= t).select("doc_id", "grp"))
+    alive = cut(alive.join(alive.groupBy("grp").agg(F.count(F.lit(1)).alias("members")), "grp"))
+    few = cut(sets.select("doc_id", "n", "tokens").join(small_side(alive, 48), "doc_id"))
+    rows = few.select("doc_id", "n", "grp", "members", "tokens").mapInArrow(explode, "doc_id long, n long, grp long, members long, token long")
+    # tokens of two groups or more, rarest first: with c such tokens in a set, at most t - 1 lie beyond the first c - t + 1
+    wide = rows.groupBy("token").agg(F.min("grp").alias("a"), F.max("grp").alias("b"), F.count(F.lit(1)).alias("f")).filter("a <> b").select("token", "f")
+    own = Window.partitionBy("doc_id")
+    ranked = rows.join(wide, "token").withColumn("c", F.count(F.lit(1)).over(own)).withColumn("k", F.row_number().over(own.orderBy("f", "token")))
+    first = cut(ranked.filter(F.col("k") <= F.col("c") - t + 1).select("doc_id", "n", "grp", "members", "token"))
+    # the matrix's groups hold similar sets, linked or not: the components that have one minimum token
+    pool = cut(first.groupBy("grp").agg(F.min(F.xxhash64("token")).alias("pool")))
+    first = first.join(small_side(pool, 32), "grp")
+    held = cut(first.select("doc_id", "n", "grp", "pool").distinct())
+    sizes = held.groupBy("pool").agg(F.count(F.lit(1)).alias("held"), F.min("n").alias("least"), F.max("n").alias("most"))
+    sizes = cut(sizes)
+    matrix = first.select("token", F.col("pool").alias("other_pool")).distinct().join(small_side(sizes.withColumnsRenamed({"pool": "other_pool", "held": "other_held"}), 48), "other_pool")
+    # the set of the smaller group asks, the larger group is opened
+    asks = (F.col("held") < F.col("other_held")) | ((F.col("held") == F.col("other_held")) & (F.col("pool") <= F.col("other_pool")))
+    reach = (100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n"))
+    mine = first.select("doc_id", "n", "pool", "token").join(small_side(sizes.select("pool", "held"), 24), "pool")
+    bound = cut(mine.join(matrix, "token").filter(asks & reach).select("doc_id", F.col("other_pool").alias("other_grp")).distinct())
+    # both sides of an opened group go to blocks, so that no task holds a whole large group
+    asked = bound.groupBy("other_grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("ask_blocks"))
+    asked = cut(asked.join(sizes.select(F.col("pool").alias("other_grp"), F.ceil(F.col("held") / block).cast("int").alias("blocks")), "other_grp"))
+    sets_of = few.select("doc_id", "n", "grp", "tokens")
+    member = sets_of.join(small_side(held.select("doc_id", F.col("pool").alias("other_grp")), 24), "doc_id").join(small_side(asked, 24), "other_grp")
+    member = member.select("other_grp", "doc_id", "n", "grp", "tokens", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("ask_block"))
+    query = sets_of.join(bound.join(small_side(asked, 24), "other_grp"), "doc_id")
+    query = query.select("other_grp", "doc_id", "n", "grp", "tokens", F.pmod(F.xxhash64("doc_id"), F.col("ask_blocks")).cast("int").alias("ask_block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    key = ["other_grp", "block", "ask_block"]
+    # written first: both sides come from one table, which a cogroup cannot tell apart
+    return query.groupBy(*key).cogroup(cut(member).groupBy(*key)).applyInArrow(opened, "src long, dst long")
+
+
+def join(docs: DataFrame, percent: int = PERCENT, tokens_per_bucket: int = 2_000_000, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -306,13 +367,11 @@ def join(docs: DataFrame, percent: int = PERCENT, tokens_per_bucket: int = 2_000
     counts = found.filter("c is not null").groupBy("doc_id").agg(F.sum("c").alias("c"))
     known = every.filter("doc_id is not null and n > 0")
     classes = cut(known.join(counts, "doc_id", "left").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("c").alias("c")))
-    alive = classes.filter(F.col("c") >= _needed_column(F.col("n"), percent)).select(F.col("rep").alias("doc_id"), "sig")
-    if alive.count() * 64 <= broadcast_bytes:
-        alive = F.broadcast(alive)
-    sets = cut(_sets_of(docs.join(alive, "doc_id")))
-    near = cut(_clusters(sets, "k0", block, percent).union(_clusters(sets, "k1", block, percent)).distinct())
+    alive = cut(classes.filter(F.col("c") >= _needed_column(F.col("n"), percent)).select(F.col("rep").alias("doc_id"), "sig"))
+    sets = cut(_sets_of(docs.join(small_side(alive, 64), "doc_id")))
+    near = cut(_clusters(sets, block, percent).distinct())
     groups = cut(components(near).select(F.col("node").alias("doc_id"), "component"))
-    across = _opened(sets, groups, percent)
+    across = _opened(sets, groups, buckets, percent)
     label = components(groups.select(F.col("doc_id").alias("src"), F.col("component").alias("dst")).union(across))
     named = classes.select("sig", "rep").join(label, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("class_component"))
     out = every.join(named, "sig", "left")
