@@ -70,6 +70,15 @@ def anchors(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.n
     return at, h[at] & _MASK
 
 
+def _eights(text: np.ndarray, more: int = 0) -> np.ndarray:
+    """The eight bytes from each place as one number, first byte highest; zeros beyond the end."""
+    v = np.zeros(len(text) + more + 8, np.uint64)
+    v[: len(text)] = text
+    for k in (1, 2, 4):
+        v[:-k] = (v[:-k] << np.uint64(8 * k)) | v[k:]
+    return v
+
+
 def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """Suffixes of text in the order of their first depth bytes or more (ties by place).
 
@@ -77,12 +86,8 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     in groups of equal rank are sorted by the rank h places on, which doubles h.
     """
     n = len(text)
-    padded = np.zeros(n + 8, np.uint64)
-    padded[:n] = text.astype(np.uint64) + np.uint64(0)
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : k + n]
-    sa = np.argsort(key, kind="stable")
+    key = _eights(text)[:n]
+    sa = np.argsort(key)
     new = np.append(True, key[sa][1:] != key[sa][:-1])
     rank = np.empty(n, np.int64)
     rank[sa] = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -95,7 +100,7 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
         s = sa[multi]
         nxt = np.where(s + h < n, rank[np.minimum(s + h, n - 1)], -1)
         group = rank[s]
-        order = np.lexsort((nxt, group))
+        order = np.argsort(group * (n + 1) + nxt + 1)
         sa[multi] = s[order]
         g, x = group[order], nxt[order]
         split = np.append(True, (g[1:] != g[:-1]) | (x[1:] != x[:-1]))
@@ -108,23 +113,26 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
 def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int = LENGTH) -> np.ndarray:
     """Common prefix, up to most bytes, of each suffix with the one before it in sa (first: 0).
 
-    Kasai's rule (a suffix's prefix is at least its left neighbour's less one) lets a suffix skip
-    what the neighbour has shown; here all suffixes still running advance a byte at a time together.
+    Kasai's bound (a suffix shares with its neighbour at least what the suffix one place to its left
+    shares, less one) makes prefixes cheap to carry on from; here all suffixes advance together
+    instead, eight bytes a step, so that a step is a few array operations.
     """
     n = len(text)
-    before = np.full(n, -1, np.int64)
-    before[sa[1:]] = sa[:-1]
-    out = np.zeros(n, np.int64)  # by place in the text
-    run = np.flatnonzero(before >= 0)
-    known = 0
-    while len(run) and known < most:
-        a, b = run + known, before[run] + known
-        ok = (a < n) & (b < n)
-        ok[ok] = text[a[ok]] == text[b[ok]]
-        run = run[ok]
-        known += 1
-        out[run] = known
-    return out[sa]
+    out = np.zeros(n, np.int64)
+    v = _eights(text, most)
+    run, done = np.arange(1, n), 0
+    while len(run) and done < most:
+        x = v[sa[run] + done] ^ v[sa[run - 1] + done]
+        more = np.full(len(x), 8)
+        odd = x != 0
+        y = x[odd]
+        more[odd] = sum((y < np.uint64(1 << (64 - 8 * j))).astype(np.int64) for j in range(1, 8))
+        out[run] = done + more
+        run = run[~odd]
+        done += 8
+    room = n - np.maximum(sa[1:], sa[:-1])
+    out[1:] = np.minimum(np.minimum(out[1:], room), most)
+    return out
 
 
 def least_owner(contexts: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -184,7 +192,7 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _anchor_scan(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 data, start, size = _joined([t.encode() for t in part.column("text").to_pylist()])
                 at, keys = anchors(data, start, size)
                 if not len(at):
@@ -205,8 +213,8 @@ def _anchor_scan(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _BLOBS)
 
 
-def _shared(scan: DataFrame) -> DataFrame:
-    """doc_id, places: shared anchors of each document, a row for each bucket."""
+def _shared(scan: DataFrame, buckets: int) -> DataFrame:
+    """doc_id, places: shared anchors of each document."""
 
     def run(t: pa.Table) -> pa.Table:
         keys = np.concatenate([unpack_keys(x) for x in t["keys"].to_pylist()])
@@ -218,26 +226,36 @@ def _shared(scan: DataFrame) -> DataFrame:
         start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         two = np.repeat(np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start), np.diff(np.append(start, len(k))))
         d, p = d[two], place[order][two]
+        to = (mix64(d.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        by = np.lexsort((d, to))
+        cuts = np.flatnonzero(np.diff(to[by], prepend=-1, append=-1))
+        made = [(int(to[by[a]]), d[by[a:b]].astype("<i8").tobytes(), p[by[a:b]].astype("<u4").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table([pa.array([m[i] for m in made], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["bucket", "docs", "places"])
+
+    def gather(t: pa.Table) -> pa.Table:
+        d = np.concatenate([np.frombuffer(x, "<i8") for x in t["docs"].to_pylist()])
+        p = np.concatenate([np.frombuffer(x, "<u4") for x in t["places"].to_pylist()])
         by = np.argsort(d, kind="stable")
         d, p = d[by], p[by]
-        cuts = np.flatnonzero(np.append(True, d[1:] != d[:-1])[: len(d)])
-        return pa.table([pa.array(d[cuts]), pa.array([x.astype("<u4").tobytes() for x in np.split(p, cuts[1:])] if len(d) else [], pa.binary())], ["doc_id", "places"])
+        cuts = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+        return pa.table([pa.array(d[cuts]), pa.array([x.astype("<u4").tobytes() for x in np.split(p, cuts[1:])], pa.binary())], ["doc_id", "places"])
 
-    return scan.groupBy("bucket").applyInArrow(run, "doc_id long, places binary")
+    packed = scan.groupBy("bucket").applyInArrow(run, "bucket long, docs binary, places binary")
+    return packed.groupBy("bucket").applyInArrow(gather, "doc_id long, places binary")
 
 
 _CONTEXTS = "bucket long, keys binary, places binary, docs binary, contexts binary"
 
 
 def _contexts(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed contexts of shared anchors by bucket; docs has doc_id, text, places (array of binary)."""
+    """Packed contexts of shared anchors by bucket; docs has doc_id, text, places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 data, start, size = _joined([t.encode() for t in part.column("text").to_pylist()])
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                lists = [np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in part.column("places").to_pylist()]
+                lists = [np.frombuffer(x, "<u4").astype(np.int64) for x in part.column("places").to_pylist()]
                 doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
                 if not len(doc):
                     continue
@@ -272,26 +290,30 @@ def _spans(contexts: DataFrame, shard_bytes: int) -> DataFrame:
         place = np.concatenate([np.frombuffer(x, "<u4") for x in t["places"].to_pylist()]).astype(np.int64)
         ctx = np.concatenate([np.frombuffer(x, np.uint8) for x in t["contexts"].to_pylist()]).reshape(-1, CONTEXT)
         whole, of = np.unique(ctx.view(f"V{CONTEXT}").reshape(-1), return_inverse=True)  # equal contexts have one key
+        del ctx
         rows = whole.view(np.uint8).reshape(-1, CONTEXT)
         least = np.full(len(whole), np.iinfo(np.int64).max)
         np.minimum.at(least, of, doc)
         key = np.zeros(len(whole), np.uint64)
         key[of] = keys
         of_key = np.unique(key, return_inverse=True)[1]
-        alone = np.bincount(of_key)[of_key] == 1
-        own = np.repeat(least[:, None], SPAN, axis=1)
-        gap = np.concatenate([np.zeros((len(rows), 1), np.int64), np.cumsum(rows == GAP, axis=1)], axis=1)
-        own[gap[:, LENGTH:] != gap[:, : CONTEXT - LENGTH + 1]] = np.iinfo(np.int64).max
-        mixed = np.flatnonzero(~alone)
+        mixed = np.flatnonzero(np.bincount(of_key)[of_key] > 1)
         mixed = mixed[np.argsort(of_key[mixed], kind="stable")]
-        if len(mixed):
-            own[mixed] = merged_owners(rows[mixed], least[mixed], shard_bytes)
-        hit = own[of] < doc[:, None]
-        edge = np.diff(hit.astype(np.int8), axis=1, prepend=0, append=0)
-        i, s = np.nonzero(edge == 1)
-        e = np.nonzero(edge == -1)[1]
-        first = place[i] - BEFORE + s
-        return pa.table([pa.array(doc[i]), pa.array(first), pa.array(place[i] - BEFORE + e - 1 + LENGTH)], ["doc_id", "start", "stop"])
+        slot = np.full(len(whole), -1, np.int64)
+        slot[mixed] = np.arange(len(mixed))
+        own = merged_owners(rows[mixed], least[mixed], shard_bytes) if len(mixed) else np.zeros((1, SPAN), np.int64)
+        found = []
+        for a in range(0, len(doc), 20_000):
+            c, d, at = of[a : a + 20_000], doc[a : a + 20_000], place[a : a + 20_000]
+            gap = np.concatenate([np.zeros((len(c), 1), np.uint8), np.cumsum(rows[c] == GAP, axis=1, dtype=np.uint8)], axis=1)
+            hit = (least[c] < d)[:, None] & (gap[:, LENGTH:] == gap[:, : CONTEXT - LENGTH + 1])
+            m = slot[c] >= 0
+            hit[m] = own[slot[c[m]]] < d[m][:, None]
+            edge = np.diff(hit.astype(np.int8), axis=1, prepend=0, append=0)
+            i, s = np.nonzero(edge == 1)
+            e = np.nonzero(edge == -1)[1]
+            found.append((d[i], at[i] - BEFORE + s, at[i] - BEFORE + e - 1 + LENGTH))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["doc_id", "start", "stop"])
 
     return contexts.groupBy("bucket").applyInArrow(run, "doc_id long, start long, stop long")
 
@@ -301,7 +323,7 @@ def _apply(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 n_bytes, removed, n_spans, kept, spans = [], [], [], [], []
                 for t, cutting, copy in zip(part.column("text").to_pylist(), part.column("cutting").to_pylist(), part.column("copy").to_pylist(), strict=True):
                     data = t.encode()
@@ -329,7 +351,7 @@ def _apply(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "cutting", "copy").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept binary")
 
 
-def dedup(docs: DataFrame, anchors_per_bucket: int = 1_000_000, shard_bytes: int = 8 << 20) -> DataFrame:
+def dedup(docs: DataFrame, anchors_per_bucket: int = 400_000, shard_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans, kept (bytes) of each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -338,10 +360,8 @@ def dedup(docs: DataFrame, anchors_per_bucket: int = 1_000_000, shard_bytes: int
     copies = cut(signed.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"))
     copies = cut(signed.filter(f"n >= {LENGTH}").join(small_side(copies, 64), ["a", "b", "n"]).filter("doc_id <> rep").select("doc_id").distinct())
     first = docs.filter("doc_id is not null").join(small_side(copies, 24), "doc_id", "left_anti")
-    shared = cut(_shared(_anchor_scan(first, buckets)).groupBy("doc_id").agg(F.collect_list("places").alias("places")))
-    held = shared.agg(F.coalesce(F.sum(F.aggregate("places", F.lit(32), lambda n, x: n + F.octet_length(x))), F.lit(0))).first()[0]
-    side = F.broadcast(shared) if held <= 16 << 20 else shared
-    spans = cut(_spans(_contexts(first.join(side, "doc_id"), buckets), shard_bytes))
+    shared = cut(_shared(_anchor_scan(first, buckets), buckets))
+    spans = cut(_spans(_contexts(first.join(shared, "doc_id"), 8 * buckets), shard_bytes))
     cutting = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cutting"))
     marks = cutting.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
     return _apply(docs.join(marks, "doc_id", "left"))
