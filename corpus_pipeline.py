@@ -58,7 +58,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     import public_tokenizers
 
-    return packing.digest(packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return packing.pack_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("language", language), ("toxicity", toxic), ("near_copies", near_copies), ("repeated_passages", repeated_passages), ("packing", packed)]

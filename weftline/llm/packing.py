@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import slices, text_or_empty
 
 WINDOW = 2048
-PIECES = "doc_id long, start long, doc_tokens long, ids binary"
+PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
 class CapacityTree:
@@ -82,6 +82,18 @@ def _letters() -> tuple[str, str]:
     return tuple("".join(re.escape(chr(c)) for c in cats if cats[c] == k) for k in "LN")
 
 
+class _Numbers(dict):
+    """Numbers words as they are first looked up, and lists the new ones."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordEncoder:
     """Ids of a tokenizer that works word by word; each distinct word is encoded by the library once.
 
@@ -103,8 +115,7 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.chunks: list[np.ndarray] = []
+        self.index = _Numbers()
         self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
@@ -120,28 +131,22 @@ class WordEncoder:
         self.start = np.concatenate([self.start, base + ends - length])
         self.length = np.concatenate([self.length, length])
         self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
-        for w in new:
-            self.index[w] = len(self.index)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
-        plain, found = [], []
+        if len(self.index) > self.limit:
+            self.clear()
+        get, plain = self.index.__getitem__, []
         for i, t in enumerate(texts):
             if self.odd.search(t):
                 out[i] = np.asarray(self.tok.encode(t, add_special_tokens=False).ids, np.uint32)
             else:
-                plain.append(i)
-                found.append(self.word.findall(t.lower()))
-        if len(self.index) > self.limit:
-            self.clear()
-        index = self.index
-        new = {w for ws in found for w in ws if w not in index}
-        if new:
-            self._learn(sorted(new))
-            index = self.index
-        get = index.__getitem__
-        for i, ws in zip(plain, found, strict=True):
-            at = np.fromiter(map(get, ws), np.int64, len(ws))
+                words = self.word.findall(t.lower())
+                plain.append((i, np.fromiter(map(get, words), np.int64, len(words))))
+        if self.index.new:
+            self._learn(self.index.new)
+            self.index.new.clear()
+        for i, at in plain:
             n = self.length[at]
             ends = np.cumsum(n)
             out[i] = self.flat[np.repeat(self.start[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
@@ -168,43 +173,50 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window:
         enc = encoder(tokenizer_path)
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                who, start, total, ids = [], [], [], []
+                who, start, length, total, ids = [], [], [], [], []
                 for d, x in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text").to_pylist()), strict=True):
                     x = np.append(x, np.uint32(end_id)).astype("<u4")
                     for a in range(0, len(x), window):
                         who.append(d)
                         start.append(a)
+                        length.append(min(window, len(x) - a))
                         total.append(len(x))
                         ids.append(x[a : a + window].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(start, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "doc_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "length", "doc_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, PIECES)
 
 
 def pack(pieces: DataFrame, shards: int, window: int = WINDOW) -> DataFrame:
-    """Adds sequence_id and offset to pieces; (shard, window in it) make the sequence_id."""
+    """Adds sequence_id and offset to pieces (doc_id, start, length, doc_tokens, and whatever they carry)."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("doc_tokens", "ascending")])
-        length = pa.compute.divide(pa.compute.binary_length(t["ids"]), 4).to_numpy().astype(np.int64)
-        where, offset = best_fit_decreasing(length, window)
+        where, offset = best_fit_decreasing(t["length"].to_numpy(), window)
         shard = t["shard"][0].as_py()
         out = t.drop_columns(["shard"]).append_column("sequence_id", pa.array(shard * (1 << 32) + where, pa.int64()))
         return out.append_column("offset", pa.array(offset, pa.int64()))
 
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "doc_tokens"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(run, PIECES + ", sequence_id long, offset long")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    return dealt.groupBy("shard").applyInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = WINDOW, pieces_per_shard: int = 4096) -> DataFrame:
-    """doc_id, start, doc_tokens, ids (little-endian unsigned 32 bit), sequence_id, offset of each piece."""
+def shards_of(docs: DataFrame, window: int = WINDOW, pieces_per_shard: int = 4096) -> int:
     n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    shards = max(1, round((n + size / (2 * window)) / pieces_per_shard))  # two bytes a token or more
-    return pack(encode_pieces(docs, tokenizer_path, end_id, window), shards, window)
+    return max(1, round((n + size / (2 * window)) / pieces_per_shard))  # two bytes a token or more
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = WINDOW) -> DataFrame:
+    """doc_id, start, length, doc_tokens, ids (little-endian unsigned 32 bit), sequence_id, offset of each piece."""
+    return pack(encode_pieces(docs, tokenizer_path, end_id, window), shards_of(docs, window), window)
 
 
-def digest(packed: DataFrame) -> DataFrame:
-    return packed.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+def pack_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = WINDOW) -> DataFrame:
+    """As pack_documents with ids_crc32 in place of ids: only lengths and digests travel to the shards."""
+    pieces = encode_pieces(docs, tokenizer_path, end_id, window)
+    pieces = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return pack(pieces, shards_of(docs, window), window)
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
@@ -212,4 +224,4 @@ def op6_packing(spark, sf_dir: str) -> DataFrame:
 
     from weftline.llm.common import table
 
-    return digest(pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    return pack_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
