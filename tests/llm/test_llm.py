@@ -290,3 +290,13 @@ def test_pipeline(spark):
 
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+
+
+def test_jaccard_join_combined_keys():
+    """A key of several documents goes on once and counts for each of them."""
+    keys, owner, count = jaccard_join.combined(np.array([7, 5, 7, 9, 5, 7], np.uint64), np.array([0, 0, 1, 1, 2, 2]), 3)
+    assert keys.tolist() == [5, 7, 9] and owner.tolist() == [jaccard_join.MANY, jaccard_join.MANY, 1] and count.tolist() == [2, 1, 2]
+    rows = list(jaccard_join.bucket_rows(keys, owner, np.array([10, 11, 12]), 1))
+    assert np.frombuffer(rows[0][3], "<i8").tolist() == [11]
+    ids, c = jaccard_join.shared_keys([rows[0][1:], next(jaccard_join.bucket_rows(np.array([7, 9], np.uint64), np.array([0, 0]), np.array([20]), 1))[1:]])
+    assert dict(zip(ids.tolist(), c.tolist(), strict=True)) == {11: 1, 20: 2}

@@ -108,8 +108,11 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+MANY = 0xFFFFFFFF  # the owner of a key that several documents have, which are counted already
+
+
 def bucket_rows(keys: np.ndarray, owner: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """(bucket, packed sorted keys, owners as places in ids, ids) of the keys of some documents."""
+    """(bucket, packed sorted keys, owners as places in ids or MANY, ids) of the keys of some documents."""
     keys = keys & np.uint64((1 << 8 * KEY_BYTES) - 1)
     order = np.argsort(keys % np.uint64(buckets), kind="stable")
     keys, owner = keys[order], owner[order]
@@ -118,23 +121,44 @@ def bucket_rows(keys: np.ndarray, owner: np.ndarray, ids: np.ndarray, buckets: i
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         inner = np.argsort(keys[a:b], kind="stable")
         used, place = np.unique(owner[a:b][inner], return_inverse=True)
+        if used[-1] == MANY:
+            used = used[:-1]
+            place = np.where(place == len(used), MANY, place)
         yield int(of[a]), pack_keys(keys[a:b][inner]), place.astype("<u4").tobytes(), ids[used].astype("<i8").tobytes()
 
 
+def combined(keys: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once, its owner (MANY if several of the n have it), and how many such keys each has.
+
+    So a key of a third of all documents is sent on once for each call, not once for each document.
+    """
+    keys = keys & np.uint64((1 << 8 * KEY_BYTES) - 1)
+    order = np.argsort(keys, kind="stable")
+    k, o = keys[order], owner[order]
+    start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    size = np.diff(np.append(start, len(k)))
+    count = np.bincount(o[np.repeat(size > 1, size)], minlength=n)
+    return k[start], np.where(size > 1, MANY, o[start]), count
+
+
 def shared_keys(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and, for each, how many of its keys a bucket has from two or more ids."""
+    """Ids and, for each, how many of its keys a bucket has from two or more ids or rows.
+
+    Documents behind the owner MANY are counted where their keys were combined.
+    """
     keys = np.concatenate([unpack_keys(r[0]) for r in rows])
     tables = [np.frombuffer(r[2], "<i8") for r in rows]
     base = np.cumsum([0, *map(len, tables)])
-    owner = np.concatenate([np.frombuffer(r[1], "<u4").astype(np.int64) + b for r, b in zip(rows, base, strict=False)])
     ids = np.concatenate(tables)
+    places = [np.frombuffer(r[1], "<u4").astype(np.int64) for r in rows]
+    owner = np.concatenate([np.where(p == MANY, len(ids), p + b) for p, b in zip(places, base, strict=False)])
     order = np.argsort(keys, kind="stable")
     k = keys[order]
     same = k[1:] == k[:-1]
     twice = np.zeros(len(k), bool)
     twice[1:] |= same
     twice[:-1] |= same
-    count = np.bincount(owner[order][twice], minlength=len(ids))
+    count = np.bincount(owner[order][twice], minlength=len(ids) + 1)[:-1]
     return ids[count > 0], count[count > 0]
 
 
@@ -142,7 +166,8 @@ _BLOBS = "bucket long, keys binary, owners binary, ids binary, sigs binary"
 
 
 def _scan(docs: DataFrame, buckets: int, percent: int, flush: int = 1_000_000) -> DataFrame:
-    """Packed first tokens by bucket, and (bucket -1 and less) sizes and signatures of all documents."""
+    """Packed first tokens by bucket; bucket -1 and less: sizes and signatures of all documents, and
+    (sigs null) counts of first tokens combined before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -154,9 +179,11 @@ def _scan(docs: DataFrame, buckets: int, percent: int, flush: int = 1_000_000) -
         names: list[int] = []
 
         def blobs():
-            keys = np.concatenate(held)
-            owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
-            rows = list(bucket_rows(keys, owner, np.array(names, np.int64), buckets))
+            keys, owner, count = combined(np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held]), len(held))
+            ids = np.array(names, np.int64)
+            rows = list(bucket_rows(keys, owner, ids, buckets))
+            if count.any():
+                rows.append((-1 - part_no, b"", count[count > 0].astype("<u4").tobytes(), ids[count > 0].astype("<i8").tobytes()))
             cols = [pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3)), pa.nulls(len(rows), pa.binary())]
             held.clear()
             names.clear()
@@ -194,11 +221,17 @@ def _filter(scan: DataFrame) -> DataFrame:
         bucket = t["bucket"][0].as_py()
         cols = [t[c].to_pylist() for c in ("keys", "owners", "ids", "sigs")]
         if bucket < 0:
+            local = [(x, y) for x, y, g in zip(*cols[1:], strict=True) if g is None]
+            cols = list(zip(*(r for r in zip(*cols, strict=True) if r[3] is not None), strict=True))
             known = np.concatenate([np.frombuffer(x, "u1") for x in cols[0]]).astype(bool)
             n = np.concatenate([np.frombuffer(x, "<u4") for x in cols[1]]).astype(np.int64)
             ids = np.concatenate([np.frombuffer(x, "<i8") for x in cols[2]])
             sigs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(n), [None, pa.py_buffer(b"".join(cols[3]))]).cast(pa.binary())
-            return pa.table([pa.array(ids, mask=~known), pa.array(n), sigs, pa.nulls(len(n), pa.int64())], ["doc_id", "n", "sig", "c"])
+            every = pa.table([pa.array(ids, mask=~known), pa.array(n), sigs, pa.nulls(len(n), pa.int64())], ["doc_id", "n", "sig", "c"])
+            if not local:
+                return every
+            c, ids = (np.concatenate([np.frombuffer(x[k], kind) for x in local]) for k, kind in ((0, "<u4"), (1, "<i8")))
+            return pa.concat_tables([every, pa.table([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary()), pa.array(c.astype(np.int64))], every.column_names)])
         ids, c = shared_keys(list(zip(*cols[:3], strict=True)))
         return pa.table([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary()), pa.array(c.astype(np.int64))], ["doc_id", "n", "sig", "c"])
 
