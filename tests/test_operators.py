@@ -166,3 +166,67 @@ def test_git_source(spark, tmp_path):
         run("commit", "-m", str(k))
     rows = gitlog.read_git(spark, [str(tmp_path)]).collect()
     assert sorted(r.root for r in rows) == [False, True] and {r.file for r in rows} == {"f.txt"}
+
+
+def test_argument_count(spark):
+    from weftline.functions.text import argument_count
+
+    want = {"": 0, "  ": 0, "a": 1, "a, b": 2, "f(a, b), c": 2, '"x,y", z': 2, "'\\',', z": 2, "new int[]{1, 2}, Map<K, V> m": 2}
+    got = spark.createDataFrame([(t,) for t in want], "t string").select("t", argument_count(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in got} == want
+
+
+def test_greedy_match(spark):
+    from weftline.operators import evaluate as K
+
+    s = spark.createDataFrame([("x", 1, 1, ["a", "b", "c"]), ("x", 1, 2, ["a", "b"]), ("x", 1, 3, ["z"]), ("y", 1, 2, ["a", "b"])], "tool string, class_id int, suggestion int, members array<string>")
+    t = spark.createDataFrame([(1, 7, ["a", "b"]), (1, 8, ["b", "c"]), (2, 9, ["q"])], "class_id int, truth int, members array<string>")
+    got = {(r.tool, r.suggestion): r.truth for r in K.greedy_match(s, t, 0.5).collect()}
+    assert got == {("x", 1): 7, ("x", 2): None, ("x", 3): None, ("y", 2): 7}
+    counts = {r.tool: (r.tp, r.fp, r.fn) for r in K.matched_counts(K.greedy_match(s, t, 0.5), t).collect()}
+    assert counts == {"x": (1, 2, 2), "y": (1, 0, 2)}
+    assert K.greedy_match(s.limit(0), t).count() == 0
+
+
+def test_linkage_groups():
+    import numpy as np
+
+    from weftline.operators.kernels import linkage_groups
+
+    assert linkage_groups(np.array([[0.0], [1.0], [10.0], [11.0], [30.0]]), 5).tolist() == [0, 0, 1, 1, 2]
+    assert linkage_groups(np.array([[0.0]]), 5).tolist() == [0]
+    # 1 and 2 merge first (1 apart), then 0 joins them at a mean distance of 2.5
+    assert len(set(linkage_groups(np.array([[0.0], [2.0], [3.0]]), 2.4).tolist())) == 2
+    assert len(set(linkage_groups(np.array([[0.0], [2.0], [3.0]]), 2.6).tolist())) == 1
+
+
+def two_cliques(spark):
+    e = [(0, a + o, b + o, 1.0) for o in (0, 4) for a in range(4) for b in range(a + 1, 4)] + [(0, 3, 4, 0.1)]
+    return spark.createDataFrame(e, "graph_id long, src long, dst long, weight double")
+
+
+def test_consensus_and_resolutions(spark):
+    from weftline.operators import clusters as C
+
+    rows = C.consensus(two_cliques(spark)).collect()
+    label = {r.node: r.community for r in rows}
+    assert len(set(label.values())) == 2 and label[0] == label[3] != label[4] == label[7] and {r.stability for r in rows} == {1.0}
+    best = C.multi_resolution(two_cliques(spark)).collect()
+    assert len({r.gamma for r in best}) == 1 and len({r.community for r in best}) == 2
+
+
+def test_random_groups(spark):
+    from weftline.operators import clusters as C
+
+    m = spark.createDataFrame([(c, i) for c, n in ((1, 18), (2, 2), (3, 21)) for i in range(n)], "class_id int, method int")
+    sizes = sorted((r.class_id, r["count"]) for r in C.random_groups(m).groupBy("class_id", "cluster_id").count().collect())
+    assert sizes == [(1, 8), (1, 10), (2, 2), (3, 5), (3, 8), (3, 8)]
+
+
+def test_helper_closure_ends_in_cycles(spark):
+    from weftline.operators import suggest as I
+
+    calls = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "b"), (1, "c", "open"), (1, "open", "d"), (2, "a", "b")], "class_id int, src string, dst string")
+    hidden = spark.createDataFrame([(1, "b"), (1, "c"), (1, "d")], "class_id int, method string")
+    got = I.helper_closure(spark.createDataFrame([(1, "a"), (2, "a")], "class_id int, method string"), calls, hidden).collect()
+    assert sorted((r.class_id, r.method) for r in got) == [(1, "a"), (1, "b"), (1, "c"), (2, "a")]

@@ -108,3 +108,38 @@ def similar(vectors: DataFrame, least: float = 0.1) -> DataFrame:
     a = vectors.select(F.col("doc").alias("src"), "term", F.col("weight").alias("w1"))
     b = vectors.select(F.col("doc").alias("dst"), "term", F.col("weight").alias("w2"))
     return a.join(b, "term").filter("src < dst").groupBy("src", "dst").agg(F.sum(F.col("w1") * F.col("w2")).alias("weight")).filter(F.col("weight") >= least)
+
+
+def argument_count(text: Column) -> Column:
+    """Arguments in the text between a call's parentheses: commas outside brackets and quotes, plus one.
+
+    A fold over characters with the state (depth, the open quote, whether escaped, commas); blank: 0.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("quote"), F.lit(False).alias("escaped"), F.lit(0).alias("n"))
+
+    def step(s, c):
+        quoted = s["quote"] != ""
+        quote = F.when(quoted & ~s["escaped"] & (c == s["quote"]), "").when(~quoted & c.isin('"', "'"), c).otherwise(s["quote"])
+        depth = F.when(quoted, s["depth"]).when(c.isin("(", "[", "{", "<"), s["depth"] + 1).when(c.isin(")", "]", "}", ">"), F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
+        return F.struct(depth.alias("depth"), quote.alias("quote"), (quoted & ~s["escaped"] & (c == "\\")).alias("escaped"), (s["n"] + (~quoted & (s["depth"] == 0) & (c == ",")).cast("int")).alias("n"))
+
+    return F.when(F.trim(text) == "", 0).otherwise(F.aggregate(F.split(text, ""), start, step, lambda s: s["n"] + 1))
+
+
+def inner_types(source: Column, outer: Column) -> Column:
+    """Names of types declared in a source, comments and strings aside, other than the outer one."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(source, r"(?s)/\*.*?\*/", " "), r"//[^\n]*", " "), r'"(\\.|[^"\\])*"', '""')
+    return F.array_distinct(F.array_remove(F.regexp_extract_all(plain, F.lit(r"\b(?:class|interface|enum|record)\s+([A-Z]\w*)"), 1), outer))
+
+
+def verdict(text: Column) -> Column:
+    """valid, confidence (0.5 if unreadable, 0 if absent), reasoning, modifications of a line-keyed answer."""
+    line = F.regexp_extract(text, r"(?m)^\s*CONFIDENCE:(.*)$", 1)
+    has = text.rlike(r"(?m)^\s*CONFIDENCE:")
+    mods = answer_line(text, "MODIFICATIONS")
+    return F.struct(
+        F.lower(answer_line(text, "VALID")).contains("yes").alias("valid"),
+        F.when(has, F.coalesce(F.trim(line).try_cast("double"), F.lit(0.5))).otherwise(0.0).alias("confidence"),
+        F.regexp_extract(text, r"(?s)REASONING:\s*(.*?)\s*(?:MODIFICATIONS:|\z)", 1).alias("reasoning"),
+        F.when((mods == "") | (F.lower(mods) == "none"), F.array().cast("array<string>")).otherwise(F.transform(F.split(mods, ","), lambda m: F.trim(m))).alias("modifications"),
+    )

@@ -104,3 +104,136 @@ def betweenness(edges: DataFrame) -> DataFrame:
         return pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "node": nodes, "score": score})
 
     return edges.groupBy("graph_id").applyInPandas(run, "graph_id long, node long, score double")
+
+
+#: Verbs that begin method names.
+VERBS = (
+    "is|has|get|set|contains?|starts?|ends?|split|join|strip|trim|pad|remove|replace|substring|index|count|check|validate|find|search|"
+    "parse|format|convert|to|from|create|build|add|append|prepend|insert|delete|truncate|wrap|unwrap|escape|unescape|encode|decode|normalize|"
+    "compare|equals?|matches?|empty|blank|null|default|abbreviate|capitalize|center|chop|reverse|rotate|swap|overlay|repeat|difference"
+)
+
+
+def name_group(name: Column) -> Column:
+    """The verb a method's name begins with, else its first capitalised word in lower case, else 'other'."""
+    plain = F.substring_index(name, "(", 1)
+    verb = F.regexp_extract(plain, f"^({VERBS})[A-Z]", 1)
+    word = F.lower(F.regexp_extract(plain, "[A-Z][a-z]*", 0))
+    return F.when(verb != "", verb).when(word != "", word).otherwise("other")
+
+
+def name_groups(methods: DataFrame, least: int = 3) -> DataFrame:
+    """class_id, name_group, members of groups of least methods or more."""
+    return methods.groupBy("class_id", name_group(F.col("method")).alias("name_group")).agg(F.array_sort(F.collect_set("method")).alias("members")).filter(F.size("members") >= least)
+
+
+def connected_parts(edges: DataFrame, part: DataFrame) -> DataFrame:
+    """node, cluster_id: clusters that fall apart become id * 1000 + i, in the order of their least nodes."""
+    from pyspark.sql import Window
+
+    from weftline.operators.graph import components
+
+    inner = placed(edges, part).filter("c1 = c2").select("src", "dst", "weight")
+    c = part.join(components(part.select("node"), inner), "node")
+    w = Window.partitionBy("cluster_id")
+    k = c.select("cluster_id", "component").distinct().withColumn("i", F.row_number().over(w.orderBy("component")) - 1).withColumn("m", F.count(F.lit(1)).over(w))
+    return c.join(k, ["cluster_id", "component"]).select("node", F.when(F.col("m") == 1, F.col("cluster_id")).otherwise(F.col("cluster_id") * 1000 + F.col("i")).cast("long").alias("cluster_id"))
+
+
+def field_groups(accesses: DataFrame, least: int = 3, most: int = 15) -> DataFrame:
+    """class_id, component, n_methods, n_fields: methods joined by fields they share; sizes count both."""
+    from weftline.operators.graph import components
+
+    a = accesses.select("class_id", F.concat_ws(":", F.lit("m"), "class_id", "method").alias("src"), F.concat_ws(":", F.lit("f"), "class_id", "field").alias("dst"), F.lit(1.0).alias("weight")).distinct()
+    nodes = a.select("class_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    c = nodes.join(components(nodes.select("node"), a.select("src", "dst", "weight")), "node")
+    g = c.groupBy("class_id", "component").agg(F.count_if(F.col("node").startswith("m:")).alias("n_methods"), F.count_if(F.col("node").startswith("f:")).alias("n_fields"))
+    return g.filter((F.col("n_methods") + F.col("n_fields")).between(least, most))
+
+
+def random_groups(methods: DataFrame, seed: int = 42, least: int = 3, most: int = 8) -> DataFrame:
+    """class_id, method, cluster_id: methods in a seeded order, cut into groups of most; a short tail joins the group before."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("class_id")
+    x = methods.withColumn("k", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "method"), "method")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    tail = F.col("n") % most
+    full = F.floor(F.col("n") / most)
+    last = F.when((tail > 0) & (tail < least) & (full > 0), full - 1).otherwise(full)
+    return x.select("class_id", "method", F.least(F.floor(F.col("k") / most), last).cast("long").alias("cluster_id"))
+
+
+def multi_resolution(edges: DataFrame, gammas: tuple[float, ...] = (0.5, 0.75, 1.0, 1.25, 1.5)) -> DataFrame:
+    """graph_id, gamma, node, community of the resolution with the greatest modularity; ties: the first named.
+
+    Every (graph, resolution) is a task of its own.
+    """
+    from pyspark.sql import Window
+
+    kind = "graph_id long, gamma double, k int, score double, node long, community long"
+
+    def run(pdf):
+        import pandas as pd
+
+        from weftline.operators.kernels import louvain_partition, modularity_of
+
+        gamma = float(pdf["gamma"].iloc[0])
+        src, dst, weight = pdf["src"].to_numpy(), pdf["dst"].to_numpy(), pdf["weight"].to_numpy(float)
+        nodes, label = louvain_partition(src, dst, weight, gamma)
+        score = modularity_of(src, dst, weight, dict(zip(nodes, label, strict=True)))
+        return pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "gamma": gamma, "k": pdf["k"].iloc[0], "score": score, "node": nodes, "community": label})
+
+    each = edges.select("*", F.posexplode(F.array(*(F.lit(float(g)) for g in gammas))).alias("k", "gamma"))
+    found = each.groupBy("graph_id", "k").applyInPandas(run, kind)
+    best = Window.partitionBy("graph_id").orderBy(F.desc(F.round("score", 12)), "k")
+    return found.withColumn("r", F.dense_rank().over(best)).filter("r = 1").select("graph_id", "gamma", "node", "community")
+
+
+def consensus(edges: DataFrame, rounds: int = 10, noise: float = 0.1, least: float = 0.7, seed: int = 42) -> DataFrame:
+    """graph_id, node, community, stability: groups found in most of several runs on disturbed weights.
+
+    Nodes that share a group in least of the runs or more are joined and grouped once more; stability
+    is the mean share of a community's pairs. Noise is seeded: the same input, the same groups.
+    """
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        from weftline.operators.kernels import louvain_partition
+
+        pdf = pdf.sort_values(["src", "dst"])
+        src, dst, weight = pdf["src"].to_numpy(), pdf["dst"].to_numpy(), pdf["weight"].to_numpy(float)
+        rng = np.random.default_rng(seed)
+        nodes = np.array(sorted({*src.tolist(), *dst.tolist()}))
+        same = np.zeros((len(nodes), len(nodes)))
+        for _ in range(rounds):
+            label = np.array(louvain_partition(src, dst, np.maximum(0.01, weight + rng.normal(0, noise * np.abs(weight))))[1])
+            same += label[:, None] == label[None, :]
+        same /= rounds
+        i, j = np.nonzero(np.triu(same >= least, 1))
+        own = np.arange(len(nodes))
+        if len(i):
+            names, label = louvain_partition(i, j, same[i, j])
+            own[names] = len(nodes) + np.array(label)
+        own = np.unique(own, return_inverse=True)[1]
+        stable = np.array([same[np.ix_(own == c, own == c)][np.triu_indices((own == c).sum(), 1)].mean() if (own == c).sum() > 1 else 1.0 for c in range(own.max() + 1)])
+        return pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "node": nodes, "community": own, "stability": stable[own]})
+
+    return edges.groupBy("graph_id").applyInPandas(run, "graph_id long, node long, community long, stability double")
+
+
+def average_linkage(vectors: DataFrame, farthest: float) -> DataFrame:
+    """class_id, member, community: members (with x array<double>) merged while mean distances are below farthest."""
+    kind = dict(vectors.dtypes)
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        from weftline.operators.kernels import linkage_groups
+
+        pdf = pdf.sort_values("member")
+        label = linkage_groups(np.stack(pdf["x"].to_list()).astype(float), farthest)
+        return pd.DataFrame({"class_id": pdf["class_id"], "member": pdf["member"], "community": label})
+
+    return vectors.groupBy("class_id").applyInPandas(run, f"class_id {kind['class_id']}, member {kind['member']}, community long")

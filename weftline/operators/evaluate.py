@@ -83,3 +83,67 @@ def paired_t(pairs: DataFrame) -> DataFrame:
     zero = F.coalesce(F.col("sd"), F.lit(0.0)) == 0
     cohen = F.when(zero, 0.0).otherwise(F.try_divide("mean", "sd"))
     return d.select("n", "mean", (cohen * F.sqrt("n")).alias("t"), cohen.alias("d"))
+
+
+def greedy_match(suggested: DataFrame, truth: DataFrame, least: float = 0.8) -> DataFrame:
+    """tool, class_id, suggestion, truth, similarity: each suggestion in order takes the most similar truth
+    of its class not yet taken, if that is least or more; else it stays without one.
+
+    suggested (tool, class_id, suggestion, members), truth (class_id, truth, members). Only pairs that
+    share a member meet; a task holds one class's suggestions of one tool.
+    """
+    a, b = suggested.withColumn("m", F.explode("members")), truth.select("class_id", "truth", F.size("members").alias("nt"), F.explode("members").alias("m"))
+    met = a.select("tool", "class_id", "suggestion", F.size("members").alias("ns"), "m").join(b, ["class_id", "m"]).groupBy("tool", "class_id", "suggestion", "truth", "ns", "nt").agg(F.count(F.lit(1)).alias("both"))
+    near = met.select("tool", "class_id", "suggestion", "truth", (F.col("both") / (F.col("ns") + F.col("nt") - F.col("both"))).alias("similarity"))
+    rows = suggested.select("tool", "class_id", "suggestion").join(near, ["tool", "class_id", "suggestion"], "left")
+    kind = dict(rows.dtypes)
+
+    def run(pdf):
+        taken, out = set(), []
+        for (s,), g in pdf.sort_values(["suggestion", "similarity", "truth"], ascending=[True, False, True]).groupby(["suggestion"], sort=True):
+            free = g[g["similarity"].notna() & ~g["truth"].isin(taken)]
+            hit = len(free) and free["similarity"].iloc[0] >= least
+            if hit:
+                taken.add(free["truth"].iloc[0])
+            out.append((pdf["tool"].iloc[0], pdf["class_id"].iloc[0], s, free["truth"].iloc[0] if hit else None, free["similarity"].iloc[0] if hit else None))
+        import pandas as pd
+
+        return pd.DataFrame(out, columns=["tool", "class_id", "suggestion", "truth", "similarity"]).astype({"truth": object})
+
+    return rows.groupBy("tool", "class_id").applyInPandas(run, f"tool {kind['tool']}, class_id {kind['class_id']}, suggestion {kind['suggestion']}, truth {kind['truth']}, similarity double")
+
+
+def matched_counts(matches: DataFrame, truth: DataFrame) -> DataFrame:
+    """tool, tp, fp, fn of greedy matches; truth of classes no tool suggests for counts as missed."""
+    n = truth.agg(F.count(F.lit(1)).alias("n"))
+    m = matches.groupBy("tool").agg(F.count("truth").alias("tp"), F.count_if(F.col("truth").isNull()).alias("fp"))
+    return m.crossJoin(n).select("tool", "tp", "fp", (F.col("n") - F.col("tp")).alias("fn"))
+
+
+def nearest_truth(suggested: DataFrame, truth: DataFrame) -> DataFrame:
+    """suggestion, truth, similarity: the most similar truth of the class (ties: the first), shared or not."""
+    j = suggested.join(truth.select("class_id", "truth", F.col("members").alias("wanted")), "class_id")
+    x = j.groupBy("class_id", "suggestion").agg(F.max(F.struct(jaccard(F.col("members"), F.col("wanted")).alias("similarity"), (-F.col("truth")).alias("k"))).alias("m"))
+    return x.select("class_id", "suggestion", (-F.col("m.k")).alias("truth"), "m.similarity")
+
+
+def at_thresholds(nearest: DataFrame, thresholds: tuple[float, ...] = (0.3, 0.5, 0.8)) -> DataFrame:
+    """threshold, tp, fp of nearest similarities."""
+    x = nearest.select("similarity", F.explode(F.array(*(F.lit(t) for t in thresholds))).alias("threshold"))
+    return x.groupBy("threshold").agg(F.count_if(F.col("similarity") >= F.col("threshold")).alias("tp"), F.count_if(F.col("similarity") < F.col("threshold")).alias("fp"))
+
+
+def ratings_summary(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """Median, quartile range, mean, sample deviation, range and acceptance (4 or more, 3 or more) of 1..5 ratings."""
+    q = lambda p: F.percentile(value, F.lit(p))
+    return rows.groupBy(*by).agg(q(0.5).alias("median"), (q(0.75) - q(0.25)).alias("iqr"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg((F.col(value) >= 4).cast("int")).alias("at_least_4"), F.avg((F.col(value) >= 3).cast("int")).alias("at_least_3"))
+
+
+def rates(rows: DataFrame, tiers: tuple[str, ...] = ("should", "could", "potential")) -> DataFrame:
+    """tier, total, verified, rate in per cent (tier, verified); unknown tiers count as the last."""
+    spark = rows.sparkSession
+    known = rows.select(F.when(F.col("tier").isin(*tiers), F.col("tier")).otherwise(tiers[-1]).alias("tier"), "verified")
+    n = known.groupBy("tier").agg(F.count(F.lit(1)).alias("total"), F.count_if("verified").alias("verified"))
+    every = F.broadcast(n)
+    out = spark.createDataFrame([(t,) for t in tiers], "tier string").join(every, "tier", "left").na.fill(0)
+    return out.withColumn("rate", 100 * F.col("verified") / F.greatest("total", F.lit(1)))

@@ -31,3 +31,57 @@ def performance(rows: DataFrame, most: float = 5.0) -> DataFrame:
 
 def override(static_ok: Column, valid: Column, confidence: Column, least: float = 0.7) -> Column:
     return static_ok | (F.coalesce(valid, F.lit(False)) & (F.coalesce(confidence, F.lit(0.0)) >= least))
+
+
+#: What a missing class path makes a compiler say, matched as plain text in lower case.
+CLASS_PATH_ERRORS = (
+    "cannot find symbol", "does not exist", "package .* does not exist", "does not override or implement", "does not take parameters",
+    "is not abstract and does not override", "unreported exception", "cannot access", "cannot be accessed from outside", "has private access",
+    "is not public", "non-static .* cannot be referenced", "method does not override", "cannot infer type", "raw type", "unchecked",
+    "uses or overrides a deprecated",
+)
+
+
+def true_errors(log: Column) -> Column:
+    """Lines of a compiler's log that report an error other than a missing class path."""
+    def counts(line):
+        low = F.lower(line)
+        known = F.lit(False)
+        for p in CLASS_PATH_ERRORS:
+            known = known | low.contains(p)
+        return low.contains("error:") & ~known
+
+    return F.filter(F.split(log, "\n"), counts)
+
+
+def delegates(body: Column) -> Column:
+    """Whether a method body is one statement that calls another object's method."""
+    inner = F.regexp_extract(body, r"(?s)^[^{]*\{\s*(.*?)\s*\}\s*;?\s*$", 1)
+    return F.coalesce(inner.rlike(r"^(return\s+)?(this\.)?\w+\.\w+\([^;]*\)\s*;?$"), F.lit(False))
+
+
+def chosen_tests(tests: DataFrame, least: int = 1) -> DataFrame:
+    """target, tier, n, seconds: the surest tier (target, tier, test, n_methods) that has least tests or more.
+
+    Tiers: 1 calls, 2 imports, 3 names, 4 package. Files without a known count are taken as ten methods.
+    """
+    n = F.sum(F.when(F.coalesce("n_methods", F.lit(0)) > 0, F.col("n_methods")).otherwise(10))
+    t = tests.distinct().groupBy("target", "tier").agg(F.count(F.lit(1)).alias("n"), (30 + 2 * n).alias("seconds")).filter(F.col("n") >= least)
+    return t.groupBy("target").agg(F.min(F.struct("tier", "n", "seconds")).alias("m")).select("target", "m.*")
+
+
+def extraction_gate(chosen: DataFrame, original: DataFrame, new: DataFrame, left: DataFrame) -> DataFrame:
+    """class_id, missing, lost, doubled: chosen names (class_id, name) not in the original class, not in
+    the new one, or still in what is left of the original beyond its other overloads."""
+    count = lambda rows, c: rows.groupBy("class_id", "name").agg(F.count(F.lit(1)).alias(c))
+    j = count(chosen, "k")
+    for rows, c in ((original, "o"), (new, "w"), (left, "m")):
+        j = j.join(count(rows, c), ["class_id", "name"], "left").withColumn(c, F.coalesce(c, F.lit(0)))
+    allowed = F.greatest(F.col("o") - F.col("k"), F.lit(0))
+    return j.groupBy("class_id").agg(F.count_if(F.col("o") == 0).alias("missing"), F.count_if(F.col("w") == 0).alias("lost"), F.count_if(F.col("m") > allowed).alias("doubled"))
+
+
+def equivalence(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: tests, passed before and after, differences, and whether behaviour is the same (no tests: yes)."""
+    d = test_differences(before, after).agg(F.count(F.lit(1)).alias("tests"), F.count_if(F.col("verdict") != "same").alias("differences"))
+    return d.crossJoin(before.agg(F.count_if("passed").alias("passed_before"))).crossJoin(after.agg(F.count_if("passed").alias("passed_after"))).withColumn("equivalent", F.col("differences") == 0)

@@ -55,3 +55,18 @@ def field_sharing_ratio(accesses: DataFrame) -> DataFrame:
     m = accesses.select("class_id", "method").distinct().groupBy("class_id").agg(F.count(F.lit(1)).alias("m"))
     x = accesses.withColumn("others", users).groupBy("class_id", "method").agg(F.count(F.lit(1)).alias("fields"), F.sum("others").alias("others"))
     return x.join(m, "class_id").select("class_id", "method", "fields", (F.col("others") / (F.col("fields") * F.greatest(F.lit(1), F.col("m") - 1))).alias("shared_ratio"))
+
+
+def after_extraction(methods: DataFrame, accesses: DataFrame, chosen: DataFrame) -> DataFrame:
+    """class_id, lcom5, tcc of what is left without the chosen methods; below two methods 0 and 1."""
+    key = ["class_id", "method"]
+    left, used = methods.join(chosen, key, "left_anti"), accesses.join(chosen, key, "left_anti")
+    n = left.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
+    j = lcom5(left, used).join(tcc(left, used), "class_id").join(n, "class_id")
+    return j.select("class_id", "lcom5", F.when(F.col("n") < 2, 1.0).otherwise(F.col("tcc")).alias("tcc"))
+
+
+def extraction_coverage(methods: DataFrame, chosen: DataFrame) -> DataFrame:
+    """class_id, coverage: chosen methods in per cent of all."""
+    j = methods.distinct().join(chosen.distinct().withColumn("taken", F.lit(1)), ["class_id", "method"], "left")
+    return j.groupBy("class_id").agg((100 * F.count("taken") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("coverage"))

@@ -72,3 +72,46 @@ def without_accessors(methods: DataFrame, fields: DataFrame) -> DataFrame:
     names = fields.select("class_id", F.explode(F.array(*(F.concat(F.lit(p), cap) for p in ("get", "set", "is")))).alias("name"))
     m = methods.withColumn("name", F.substring_index("signature", "(", 1))
     return m.join(names, ["class_id", "name"], "left_anti").select("class_id", "signature")
+
+
+def filled(clusters: DataFrame, named: DataFrame, confidence: float = 0.5) -> DataFrame:
+    """named (class_id, cluster_id, name, confidence) and, for clusters (with names) it lacks, a name made from theirs."""
+    missing = clusters.join(named, ["class_id", "cluster_id"], "left_anti")
+    made = missing.select("class_id", "cluster_id", auto_name("names").alias("name"), F.lit(confidence).alias("confidence"))
+    return named.select(*made.columns).unionByName(made)
+
+
+def confident(rows: DataFrame, least: float) -> DataFrame:
+    """Rows of that confidence or more; unknown confidence passes."""
+    return rows.filter(F.col("confidence").isNull() | (F.col("confidence") >= least))
+
+
+def helper_closure(chosen: DataFrame, calls: DataFrame, hidden: DataFrame, rounds: int = 10) -> DataFrame:
+    """chosen (class_id, method) with the hidden methods it calls (class_id, src, dst), directly or not.
+
+    A level a round; the frontier alone is joined, and rounds end when it is empty.
+    """
+    from weftline.operators.lineage import cut
+
+    reach = calls.select("class_id", "src", "dst").join(hidden.select("class_id", F.col("method").alias("dst")), ["class_id", "dst"], "left_semi").distinct()
+    every = frontier = cut(chosen.select("class_id", "method").distinct())
+    for _ in range(rounds):
+        step = frontier.join(reach, (frontier["class_id"] == reach["class_id"]) & (frontier["method"] == reach["src"])).select(reach["class_id"], reach["dst"].alias("method")).distinct()
+        frontier = cut(step.join(every, ["class_id", "method"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        every = cut(every.union(frontier))
+    return every
+
+
+def too_much(chosen: Column, total: Column, most: int = 40, share: float = 0.5) -> Column:
+    """An extraction that takes more than most methods and more than that share of them."""
+    return (chosen > most) & (chosen > share * total)
+
+
+def message(name: Column, members: Column, rationale: Column, most: int = 5, length: int = 200) -> Column:
+    """A commit text: name, the first methods (with a parenthesis) and fields, the rationale cut."""
+    methods = F.filter(members, lambda m: m.contains("("))
+    fields = F.filter(members, lambda m: ~m.contains("("))
+    listed = lambda label, a: F.when(F.size(a) > 0, F.concat(F.lit(f"\n{label}: "), F.array_join(F.slice(a, 1, most), ", "))).otherwise("")
+    return F.concat(F.lit("Extract "), name, listed("Methods", methods), listed("Fields", fields), F.lit("\n\n"), F.substring(rationale, 1, length))

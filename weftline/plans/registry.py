@@ -623,3 +623,6 @@ def m01_windowed_cochange(spark, d):
 def m02_windowed_counts(spark, d):
     e = B.t(spark, d, "events").select(F.col("user_id").alias("commit_id"), "ts", F.col("event_type").alias("member"))
     return X.member_counts(e, length="7 days")
+
+
+from weftline.plans import review  # noqa: E402,F401  (adds its queries to these)
