@@ -53,16 +53,16 @@ def pagerank(nodes: DataFrame, edges: DataFrame, steps: int = 20, damping: float
     """Weighted PageRank after so many steps; nodes without edges give their rank to all."""
     from weftline.operators.lineage import cut
 
+    # shares and ranks are written: every step reads them, and none computes an earlier one again
     n = F.broadcast(nodes.agg(F.count(F.lit(1)).alias("n")))
-    out = ends(edges).withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("node"))).select("node", "other", "share")
-    linked = out.select("node").distinct()
-    rank = nodes.join(n).select("node", "n", (1 / F.col("n")).alias("r"))
-    for step in range(steps):
-        loose = F.broadcast(rank.join(linked, "node", "left_anti").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("loose")))
-        given = rank.join(out, "node").groupBy(F.col("other").alias("node")).agg(F.sum(F.col("r") * F.col("share")).alias("in"))
-        rank = rank.select("node", "n").join(given, "node", "left").join(loose).select("node", "n", ((1 - damping) / F.col("n") + damping * (F.coalesce("in", F.lit(0.0)) + F.col("loose") / F.col("n"))).alias("r"))
-        if step % 5 == 4:
-            rank = cut(rank)
+    out = cut(ends(edges).withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("node"))).select("node", "other", "share"))
+    linked = out.select("node").distinct().withColumn("linked", F.lit(True))
+    rank = cut(nodes.join(n).join(linked, "node", "left").select("node", "n", F.coalesce("linked", F.lit(False)).alias("linked"), (1 / F.col("n")).alias("r")))
+    for _ in range(steps):
+        loose = F.broadcast(rank.agg(F.coalesce(F.sum(F.when(~F.col("linked"), F.col("r"))), F.lit(0.0)).alias("loose")))
+        given = rank.select("node", "r").join(out, "node").groupBy(F.col("other").alias("node")).agg(F.sum(F.col("r") * F.col("share")).alias("in"))
+        new = (1 - damping) / F.col("n") + damping * (F.coalesce("in", F.lit(0.0)) + F.col("loose") / F.col("n"))
+        rank = cut(rank.drop("r").join(given, "node", "left").join(loose).select("node", "n", "linked", new.alias("r")))
     return rank.select("node", F.col("r").alias("score"))
 
 
@@ -70,7 +70,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component (least node): minimum labels passed on and jumped until none changes."""
     from weftline.operators.lineage import cut
 
-    both = ends(edges).select("node", "other")
+    both = cut(ends(edges).select("node", "other"))
     label = cut(nodes.select("node", F.col("node").alias("component")))
     while True:
         near = both.join(label.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("low"))
