@@ -300,3 +300,36 @@ def test_jaccard_join_combined_keys():
     assert np.frombuffer(rows[0][3], "<i8").tolist() == [11]
     ids, c = jaccard_join.shared_keys([rows[0][1:], next(jaccard_join.bucket_rows(np.array([7, 9], np.uint64), np.array([0, 0]), np.array([20]), 1))[1:]])
     assert dict(zip(ids.tolist(), c.tolist(), strict=True)) == {11: 1, 20: 2}
+
+
+def test_substring_dedup_inside_sentences(spark):
+    def words(n, tag):
+        return [f"{tag}{i}" for i in range(n)]
+
+    def around(passage, tag):
+        return " ".join(words(25, tag) + passage + words(25, tag + "end"))
+
+    plain = words(60, "plain")  # no stops, in mid-sentence
+    stops = [w + "." if i % 17 == 9 else w for i, w in enumerate(words(60, "stops"))]
+    changed = words(150, "changed")
+    other = ["new" if i in (40, 90) else w for i, w in enumerate(changed)]
+    twice = ["other" if i % 8 == 7 else w for i, w in enumerate(words(60, "twice"))]
+    texts = [around(p, f"d{k}x") for k, p in enumerate((plain, plain, stops, stops, changed, other, words(60, "twice"), twice))]
+    got = by_id(substring_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[k].n_removed_words for k in range(8)] == [0, 60, 0, 60, 0, 150, 0, 0]
+    assert all(got[k].text == around([], f"d{k}x") for k in (1, 3, 5))
+
+
+def test_substring_dedup_fills_similar_gaps():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        edge = np.cumsum(rng.integers(1, 40, 14))
+        start, stop = edge[::2], edge[1::2]
+        want = np.zeros(7, bool)
+        for i in range(7):
+            for j in range(i + 1, 7):
+                gaps = start[i + 1 : j + 1] - stop[i:j]
+                n, c = stop[j] - start[i] - 4, int((gaps + 4).sum())
+                if gaps.max() < 10 and 100 * (n - c) >= 75 * (n + c):
+                    want[i:j] = True
+        assert substring_dedup.filled(start, stop, 75).tolist() == want.tolist()

@@ -1,16 +1,19 @@
-"""Substring dedup over paragraphs: MinHash banding, exact verification, removal by components.
+"""Substring dedup over paragraphs and word windows: MinHash banding, exact verification, components.
 
-Paragraphs are the lines of a text and, so that a passage inside a longer line is found too, its
-sentences. Lines of five words or more get MinHash signatures of their 5-word shingles in 8 bands of
-2 rows: at similarity 0.75 a pair collides with probability 0.9987. Sentences collide by their
-whole content. Band keys travel packed by bucket; lines whose keys collide with another content are
+Paragraphs are the lines of a text and its short sentences. A passage may stand anywhere, in the
+middle of lines and sentences: so every run of WINDOW words, wherever it begins, is looked up too.
+Lines of five words or more get MinHash signatures of their 5-word shingles in 8 bands of
+2 rows: at similarity 0.75 a pair collides with probability 0.9987. Windows, and sentences shorter
+than a window, collide by their whole content. Band keys travel packed by bucket; lines whose keys collide with another content are
 paired at the first place of each content (all pairs of up to 8 contents a key, beyond that each
 with the key's first and the one before it), and pairs are verified by exact Jaccard similarity of
 their shingle sets. Components of verified lines are formed; every line but those of the component's
-least doc_id is a repeat, and so is a sentence whose content a document with a smaller doc_id has
-(equal lines have equal sentences).
+least doc_id is a repeat, and so are a window and a sentence whose content a document with a smaller
+doc_id has (equal lines have equal sentences). Windows are noted with the least such doc_id. Where
+those of one other document leave gaps of less than a window (changed words), the gaps are repeats
+too if the shingles of the run around them, changed ones against its own, are similar enough.
 
-Of a document are removed: runs of words in repeated lines and sentences (sentences under five
+Of a document are removed: runs of words in repeated lines, windows and sentences (sentences under five
 words count where they lie between repeats) of ``min_words`` or more. Texts without such a run stay
 as they are, byte for byte.
 
@@ -35,6 +38,7 @@ from weftline.llm.components import components
 from weftline.llm.jaccard_join import KEY_BYTES, links, pack_keys, unpack_keys
 
 SHINGLE, BANDS, ROWS, PERCENT, MIN_WORDS = 5, 8, 2, 75, 30
+WINDOW = 2 * SHINGLE
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 _MASK = np.uint64((1 << 8 * KEY_BYTES) - 1)
@@ -74,12 +78,26 @@ class Paragraphs:
         place = (np.arange(len(self.hash)) - np.repeat(start, size)).astype(np.uint64)
         return mix64(np.add.reduceat(mix64(self.hash + mix64(place * _STEP)), start) + size.astype(np.uint64))
 
-    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
-        """Shingle hashes inside lines, and the line of each."""
+    def grams(self) -> np.ndarray:
+        """A hash of the SHINGLE words from each word on, across lines and texts."""
         n = max(0, len(self.hash) - SHINGLE + 1)
         key = np.zeros(n, np.uint64)
         for k in range(SHINGLE):
             key = mix64(key * _STEP + self.hash[k : n + k])
+        return key
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of all runs of WINDOW words of one text, the text of each, and its first word there."""
+        key = self.grams()
+        n = max(0, len(key) - SHINGLE)
+        at = np.flatnonzero(self.text[:n] == self.text[WINDOW - 1 :][:n])
+        text = self.text[at]
+        return mix64(key[at] * _STEP + key[at + SHINGLE]), text, at - np.searchsorted(self.text, np.arange(text[-1] + 1 if len(text) else 0))[text]
+
+    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
+        """Shingle hashes inside lines, and the line of each."""
+        key = self.grams()
+        n = len(key)
         ok = self.line[:n] == self.line[SHINGLE - 1 :][:n]
         return key[ok], self.line[:n][ok]
 
@@ -100,18 +118,19 @@ class Paragraphs:
 _BLOBS = "kind int, bucket long, keys binary, place binary, unit binary, content binary, ids binary"
 
 
-def _scan(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed keys of lines (kind 0; content: their hash) and sentences (kind 1; content: their words) by bucket."""
+def _scan(docs: DataFrame, few_buckets: int, many_buckets: int) -> DataFrame:
+    """Packed keys of lines (kind 0; content: their hash), sentences shorter than a window (kind 1;
+    content: their words) and windows (kind 2; no content) by bucket."""
 
     def rows(kind, keys, place, unit, content, ids):
-        keys = keys & _MASK
+        keys, buckets = keys & _MASK, many_buckets if kind == 2 else few_buckets
         of = (keys % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((keys, of))
         cuts = np.flatnonzero(np.diff(of[order], prepend=-1, append=-1))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             at = order[a:b]
             used, local = np.unique(place[at], return_inverse=True)
-            yield kind, int(of[at[0]]), pack_keys(keys[at]), local.astype("<u2" if len(used) < 65536 else "<u4").tobytes(), unit[at].astype("<u4").tobytes(), content[at].astype("<u4").tobytes(), ids[used].astype("<i8").tobytes()
+            yield kind, int(of[at[0]]), pack_keys(keys[at]), local.astype("<u2" if len(used) < 65536 else "<u4").tobytes(), unit[at].astype("<u4").tobytes(), b"" if content is None else content[at].astype("<u4").tobytes(), ids[used].astype("<i8").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,20 +140,34 @@ def _scan(docs: DataFrame, buckets: int) -> DataFrame:
                 keys, at = p.bands()
                 content = p.contents(p.line_start, p.line_size)[at]
                 made = list(rows(0, keys.ravel(), np.repeat(p.line_text[at], BANDS), np.repeat(p.line_no[at], BANDS), np.repeat(content, BANDS), ids))
-                long = p.sentence_size >= SHINGLE
-                made += rows(1, p.contents(p.sentence_start, p.sentence_size)[long], p.sentence_text[long], p.sentence_no[long], p.sentence_size[long], ids)
+                short = (p.sentence_size >= SHINGLE) & (p.sentence_size < WINDOW)
+                made += rows(1, p.contents(p.sentence_start, p.sentence_size)[short], p.sentence_text[short], p.sentence_no[short], p.sentence_size[short], ids)
+                made += rows(2, *p.windows(), None, ids)
                 kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
                 yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], [c.split()[0] for c in _BLOBS.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null").mapInArrow(run, _BLOBS)
 
 
-_FOUND = "kind int, doc_id long, unit int, other_doc long, other_unit int"
+_FOUND = "kind int, doc_id long, unit int, other_doc long, other_unit int, packed binary"
 
 
-def _collisions(scan: DataFrame, few: int = 8) -> DataFrame:
+def _collisions(scan: DataFrame, buckets: int, few: int = 8) -> DataFrame:
     """kind 0: pairs of lines of different content, each at its first place; kind 1: sentences that a
-    smaller doc_id has (other_unit: their words)."""
+    smaller doc_id has (other_unit: their words); kind 2: windows that a smaller doc_id has, packed
+    by a bucket of their documents (in doc_id)."""
+
+    def pack(doc, unit, least):
+        to = (mix64(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((unit, doc, to))
+        cuts = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            r = order[a:b]
+            ids, local = np.unique(np.concatenate([doc[r], least[r]]), return_inverse=True)
+            out.append(np.array([len(ids), b - a], "<i8").tobytes() + ids.astype("<i8").tobytes() + local.astype("<u4").tobytes() + unit[r].astype("<u4").tobytes())
+        n = len(out)
+        return _table([np.full(n, 2), to[order][cuts[:-1]], np.zeros(n), np.zeros(n), np.zeros(n)], out)
 
     def run(t: pa.Table) -> pa.Table:
         kind = t["kind"][0].as_py()
@@ -143,10 +176,14 @@ def _collisions(scan: DataFrame, few: int = 8) -> DataFrame:
         place = [np.frombuffer(x, "<u2" if len(i) < 65536 else "<u4").astype(np.int64) for x, i in zip(t["place"].to_pylist(), ids, strict=True)]
         doc = np.concatenate([i[p] for i, p in zip(ids, place, strict=True)])
         unit = np.concatenate([np.frombuffer(x, "<u4") for x in t["unit"].to_pylist()]).astype(np.int64)
-        order = np.lexsort((unit, doc, keys))
+        order = np.argsort(keys) if kind == 2 else np.lexsort((unit, doc, keys))
         keys, doc, unit = keys[order], doc[order], unit[order]
         start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         size = np.diff(np.append(start, len(keys)))
+        if kind == 2:
+            least = np.repeat(np.minimum.reduceat(doc, start), size)
+            hit = doc > least
+            return pack(doc[hit], unit[hit], least[hit])
         first = np.repeat(start, size)
         content = np.concatenate([np.frombuffer(x, "<u4") for x in t["content"].to_pylist()])[order]
         if kind == 1:
@@ -167,14 +204,62 @@ def _collisions(scan: DataFrame, few: int = 8) -> DataFrame:
         s, d = np.concatenate(src), np.concatenate(dst)
         return _table([np.zeros(len(s)), doc[s], unit[s], doc[d], unit[d]])
 
-    def _table(cols):
+    def _table(cols, packed=None):
         names = [c.split()[0] for c in _FOUND.split(", ")]
         kinds = (np.int32, np.int64, np.int32, np.int64, np.int32)
-        return pa.table([pa.array(np.asarray(c).astype(k)) for c, k in zip(cols, kinds, strict=True)], names)
+        return pa.table([*(pa.array(np.asarray(c).astype(k)) for c, k in zip(cols, kinds, strict=True)), pa.nulls(len(cols[0]), pa.binary()) if packed is None else pa.array(packed, pa.binary())], names)
 
     return scan.groupBy("kind", "bucket").applyInArrow(run, _FOUND)
 
 
+def filled(start: np.ndarray, stop: np.ndarray, percent: int) -> np.ndarray:
+    """Which gaps (each after a stretch, the last none) to fill between the stretches that a text and
+    one other have in common, in their order.
+
+    A gap of k words changes k + SHINGLE - 1 of the run's shingles; a run of n shingles of which c are
+    changed has the Jaccard similarity (n - c) / (n + c). Gaps of a window or more are never filled.
+    """
+    gap = start[1:] - stop[:-1]
+    changed = np.append(0, np.cumsum(np.where(gap < WINDOW, gap + SHINGLE - 1, 1 << 40)))
+    high = (100 - percent) * stop - (100 + percent) * changed
+    low = (100 - percent) * (start + SHINGLE - 1) - (100 + percent) * changed
+    best = np.maximum.accumulate(high[::-1])[::-1]
+    last = np.searchsorted(-best, -low, side="right") - 1  # the farthest stretch a similar run from each ends with
+    return np.maximum.accumulate(last) > np.arange(len(start))
+
+
+def _stretches(found: DataFrame, percent: int) -> DataFrame:
+    """doc_id, starts, stops (packed) and words of the stretches of words that windows cover."""
+
+    def run(t: pa.Table) -> pa.Table:
+        docs, units, others = [], [], []
+        for x in t["packed"].to_pylist():
+            m, n = np.frombuffer(x, "<i8", 2)
+            ids, local = np.frombuffer(x, "<i8", m, 16), np.frombuffer(x, "<u4", 2 * n, 16 + 8 * m)
+            docs.append(ids[local[:n]])
+            others.append(ids[local[n:]])
+            units.append(np.frombuffer(x, "<u4", n, 16 + 8 * m + 8 * n).astype(np.int64))
+        doc, unit, other = (np.concatenate(x) for x in (docs, units, others))
+        order = np.lexsort((unit, other, doc))
+        doc, unit, other = doc[order], unit[order], other[order]
+        apart = (doc[1:] != doc[:-1]) | (other[1:] != other[:-1])
+        new = np.append(True, apart | (unit[1:] > unit[:-1] + WINDOW))
+        first = np.flatnonzero(new)
+        start, stop = unit[first], unit[np.append(first[1:], len(unit)) - 1] + WINDOW
+        doc, pair = doc[first], np.cumsum(np.append(True, apart))[first]
+        edge = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        fill = np.zeros(len(start), bool)
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(start)], strict=True):
+            if b - a > 1:
+                fill[a:b] = filled(start[a:b], stop[a:b], percent)
+        stop = np.where(fill, np.append(start[1:], 0), stop)
+        cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        packed = [pa.array([x.astype("<u4").tobytes() for x in np.split(v, cuts[1:])], pa.binary()) for v in (start, stop)]
+        return pa.table([pa.array(doc[cuts]), *packed, pa.array(np.add.reduceat(stop - start, cuts))], ["doc_id", "starts", "stops", "words"])
+
+    return found.filter("kind = 2").select(F.col("doc_id").alias("bucket"), "packed").groupBy("bucket").applyInArrow(run, "doc_id long, starts binary, stops binary, words long")
+
+
 def _line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, unit, tokens: shingle sets of the lines wanted (doc_id, units)."""
 
@@ -210,10 +295,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, keys_per_bucket: int = 500_000) -> DataFrame:
-    """doc_id, lines, sentences: numbers of the paragraphs that a document with a smaller id has, for
-    documents where they could make a run of min_words (short sentences between them counted in)."""
+    """doc_id, lines, sentences (numbers of the paragraphs that a document with a smaller id has),
+    starts and stops (stretches of words that one has), for documents where they could make a run of
+    min_words (short sentences between them counted in)."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    found = cut(_collisions(_scan(docs, max(8, round(size / 40 / keys_per_bucket)))))
+    many = max(8, round(size / 6 / (3 * keys_per_bucket)))
+    found = cut(_collisions(_scan(docs, max(8, round(size / 40 / keys_per_bucket)), many), many))
     near = cut(found.filter("kind = 0").select("doc_id", "unit", "other_doc", "other_unit").distinct())
     edges = cut(_verified(docs, near, percent).withColumns({"src": F.xxhash64("doc_id", "unit"), "dst": F.xxhash64("other_doc", "other_unit")}))
     label = cut(components(edges))
@@ -223,13 +310,15 @@ def repeats(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS,
     lines = placed.join(least, "component").filter("doc_id > least").select("doc_id", F.col("unit").alias("line"), F.lit(None).cast("int").alias("sentence"), F.lit(min_words).alias("words"))
     sentences = found.filter("kind = 1").select("doc_id", F.lit(None).cast("int").alias("line"), F.col("unit").alias("sentence"), (F.col("other_unit") + SHINGLE - 1).alias("words"))
     marks = lines.union(sentences).groupBy("doc_id").agg(F.collect_set("line").alias("lines"), F.collect_set("sentence").alias("sentences"), F.sum("words").alias("words"))
-    return marks.filter(F.col("words") >= min_words).drop("words")
+    both = marks.join(_stretches(found, percent).withColumnRenamed("words", "more"), "doc_id", "full")
+    words = F.coalesce("words", F.lit(0)) + F.coalesce(F.col("more") + SHINGLE - 1, F.lit(0))
+    return both.filter(words >= min_words).drop("words", "more")
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def removed_words(p: Paragraphs, text: int, lines: list[int], sentences: list[int], min_words: int) -> list[tuple[int, int]]:
+def removed_words(p: Paragraphs, text: int, lines: list[int], sentences: list[int], min_words: int, starts: bytes = b"", stops: bytes = b"") -> list[tuple[int, int]]:
     """Runs (first word, end) of one text to remove."""
     a, b = np.searchsorted(p.text, [text, text + 1])
     hit = np.zeros(b - a, np.int8)
@@ -238,6 +327,8 @@ def removed_words(p: Paragraphs, text: int, lines: list[int], sentences: list[in
         rows = np.arange(x, y)
         for k in rows[np.isin(no[x:y], gone)]:
             hit[start[k] - a : start[k] - a + size[k]] = 1
+    for s, e in zip(np.frombuffer(starts, "<u4").tolist(), np.frombuffer(stops, "<u4").tolist(), strict=True):
+        hit[s:e] = 1
     x, y = np.searchsorted(p.sentence_text, [text, text + 1])
     for k in range(x, y):  # short sentences between repeats
         s = p.sentence_start[k] - a
@@ -274,9 +365,9 @@ def dedup(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -
                 n = np.bincount(p.text, minlength=len(texts))
                 spans: list[list] = [[] for _ in texts]
                 gone = [0] * len(texts)
-                for i, (ls, ss) in enumerate(zip(part.column("__lines").to_pylist(), part.column("__sentences").to_pylist(), strict=True)):
-                    if (ls or ss) and texts[i]:
-                        runs = removed_words(p, i, ls or [], ss or [], min_words)
+                for i, (ls, ss, starts, stops) in enumerate(zip(*(part.column(c).to_pylist() for c in ("__lines", "__sentences", "__starts", "__stops")), strict=True)):
+                    if (ls or ss or starts) and texts[i]:
+                        runs = removed_words(p, i, ls or [], ss or [], min_words, starts or b"", stops or b"")
                         if runs:
                             texts[i], spans[i] = without(texts[i], runs)
                             gone[i] = sum(e - s for s, e in runs)
@@ -284,9 +375,9 @@ def dedup(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -
                 cols = [pa.array(texts, pa.string()), *(part.column(c) for c in keep), pa.array(n.astype(np.int64)), pa.array(gone, pa.int64()), new]
                 yield pa.RecordBatch.from_arrays(cols, ["text", *keep, "n_words", "n_removed_words", "spans"])
 
-    marked = docs.join(small_side(found.withColumnsRenamed({"lines": "__lines", "sentences": "__sentences"}), 128), "doc_id", "left")
+    marked = docs.join(small_side(found.withColumnsRenamed({c: f"__{c}" for c in ("lines", "sentences", "starts", "stops")}), 256), "doc_id", "left")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [schema["text"], *(schema[c] for c in keep)])
-    return marked.select("text", *keep, "__lines", "__sentences").mapInArrow(run, f"{fields}, {extra}")
+    return marked.select("text", *keep, "__lines", "__sentences", "__starts", "__stops").mapInArrow(run, f"{fields}, {extra}")
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
