@@ -333,3 +333,15 @@ def test_substring_dedup_fills_similar_gaps():
                 if gaps.max() < 10 and 100 * (n - c) >= 75 * (n + c):
                     want[i:j] = True
         assert substring_dedup.filled(start, stop, 75).tolist() == want.tolist()
+
+
+def test_substring_dedup_shared_template(spark):
+    # 300 pairs of similar lines, all with one template: its band keys hold many contents
+    template = [f"template{i}" for i in range(30)]
+    rows = []
+    for k in range(300):
+        own = [f"own{k}x{i}" for i in range(10)]
+        rows += [(k, " ".join(template + own)), (300 + k, " ".join(template + own[:-3] + [f"end{k}x{i}" for i in range(3)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.lines for r in substring_dedup.repeats(docs).collect()}
+    assert [k for k in range(600) if found.get(k)] == list(range(300, 600))

@@ -5,9 +5,9 @@ middle of lines and sentences: so every run of WINDOW words, wherever it begins,
 Lines of five words or more get MinHash signatures of their 5-word shingles in 8 bands of
 2 rows: at similarity 0.75 a pair collides with probability 0.9987. Windows, and sentences shorter
 than a window, collide by their whole content. Band keys travel packed by bucket; lines whose keys collide with another content are
-paired at the first place of each content (all pairs of up to 8 contents a key, beyond that each
-with the key's first and the one before it), and pairs are verified by exact Jaccard similarity of
-their shingle sets. Components of verified lines are formed; every line but those of the component's
+paired at the first place of each content and verified by exact Jaccard similarity of their shingle
+sets; the lines of a key of more than 8 contents go through the exact Jaccard join together, so that
+no pair of theirs is left out. Components of verified lines are formed; every line but those of the component's
 least doc_id is a repeat, and so are a window and a sentence whose content a document with a smaller
 doc_id has (equal lines have equal sentences). Windows are noted with the least such doc_id. Where
 those of one other document leave gaps of less than a window (changed words), the gaps are repeats
@@ -33,6 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm import jaccard_join
 from weftline.llm.common import cut, mix64, slices, small_side, whole, word_codes, words_of
 from weftline.llm.components import components
 from weftline.llm.jaccard_join import KEY_BYTES, links, pack_keys, unpack_keys
@@ -153,7 +154,8 @@ _FOUND = "kind int, doc_id long, unit int, other_doc long, other_unit int, packe
 
 
 def _collisions(scan: DataFrame, buckets: int, few: int = 8) -> DataFrame:
-    """kind 0: pairs of lines of different content, each at its first place; kind 1: sentences that a
+    """kind 0: pairs of lines of different content, each at its first place; kind 3: such lines, once
+    each, of keys of more than few contents; kind 1: sentences that a
     smaller doc_id has (other_unit: their words); kind 2: windows that a smaller doc_id has, packed
     by a bucket of their documents (in doc_id)."""
 
@@ -191,18 +193,19 @@ def _collisions(scan: DataFrame, buckets: int, few: int = 8) -> DataFrame:
             return _table([np.ones(hit.sum()), doc[hit], unit[hit], doc[first][hit], content[hit]])
         src: list[np.ndarray] = [np.zeros(0, np.int64)]
         dst: list[np.ndarray] = [np.zeros(0, np.int64)]
+        many: list[np.ndarray] = [np.zeros(0, np.int64)]
         low, high = np.minimum.reduceat(content, start), np.maximum.reduceat(content, start)
         for a, n in zip(start[low < high].tolist(), size[low < high].tolist(), strict=True):
             lead = np.sort(np.unique(content[a : a + n], return_index=True)[1]) + a
             if len(lead) <= few:
                 i, j = np.triu_indices(len(lead), 1)
+                src.append(lead[i])
+                dst.append(lead[j])
             else:
-                i = np.concatenate([np.zeros(len(lead) - 1, np.int64), np.arange(len(lead) - 1)])
-                j = np.concatenate([np.arange(1, len(lead)), np.arange(1, len(lead))])
-            src.append(lead[i])
-            dst.append(lead[j])
-        s, d = np.concatenate(src), np.concatenate(dst)
-        return _table([np.zeros(len(s)), doc[s], unit[s], doc[d], unit[d]])
+                many.append(lead)
+        s, d, m = np.concatenate(src), np.concatenate(dst), np.unique(np.concatenate(many))
+        kinds, s, d = np.repeat([0, 3], [len(s), len(m)]), np.append(s, m), np.append(d, m)
+        return _table([kinds, doc[s], unit[s], doc[d], unit[d]])
 
     def _table(cols, packed=None):
         names = [c.split()[0] for c in _FOUND.split(", ")]
@@ -294,17 +297,42 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.select("doc_id", "unit", "other_doc", "other_unit", "tokens", "other_tokens").mapInArrow(run, "doc_id long, unit int, other_doc long, other_unit int")
 
 
+def _line_texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc_id (the line's node) and text of lines (doc_id, unit, node)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                nodes, texts = [], []
+                for text, wanted in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist(), strict=True):
+                    split = text.split("\n")
+                    for w in wanted:
+                        if w["unit"] < len(split):
+                            nodes.append(w["node"])
+                            texts.append(split[w["unit"]])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    wanted = cut(lines.groupBy("doc_id").agg(F.collect_list(F.struct("unit", "node")).alias("wanted")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").join(small_side(wanted, 256), "doc_id")
+    return cut(texts.select("text", "wanted").mapInArrow(run, "doc_id long, text string"))
+
+
 def repeats(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, keys_per_bucket: int = 500_000) -> DataFrame:
     """doc_id, lines, sentences (numbers of the paragraphs that a document with a smaller id has),
     starts and stops (stretches of words that one has), for documents where they could make a run of
     min_words (short sentences between them counted in)."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    many = max(8, round(size / 6 / (3 * keys_per_bucket)))
-    found = cut(_collisions(_scan(docs, max(8, round(size / 40 / keys_per_bucket)), many), many))
+    wide = max(8, round(size / 6 / (3 * keys_per_bucket)))
+    found = cut(_collisions(_scan(docs, max(8, round(size / 40 / keys_per_bucket)), wide), wide))
     near = cut(found.filter("kind = 0").select("doc_id", "unit", "other_doc", "other_unit").distinct())
     edges = cut(_verified(docs, near, percent).withColumns({"src": F.xxhash64("doc_id", "unit"), "dst": F.xxhash64("other_doc", "other_unit")}))
-    label = cut(components(edges))
-    nodes = edges.select(F.col("src").alias("node"), "doc_id", "unit").union(edges.select("dst", "other_doc", "other_unit")).distinct()
+    many = cut(found.filter("kind = 3").select("doc_id", "unit").distinct().withColumn("node", F.xxhash64("doc_id", "unit")))
+    pairs, ends = edges.select("src", "dst"), edges.select(F.col("src").alias("node"), "doc_id", "unit").union(edges.select("dst", "other_doc", "other_unit"))
+    if not many.isEmpty():
+        joined = jaccard_join.join(_line_texts(docs, many), percent).filter("component_id <> doc_id")
+        pairs, ends = pairs.union(cut(joined.select("doc_id", "component_id"))), ends.union(many.select("node", "doc_id", "unit"))
+    label = cut(components(pairs))
+    nodes = ends.distinct()
     placed = cut(nodes.join(label, "node"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("least"))
     lines = placed.join(least, "component").filter("doc_id > least").select("doc_id", F.col("unit").alias("line"), F.lit(None).cast("int").alias("sentence"), F.lit(min_words).alias("words"))
