@@ -345,3 +345,11 @@ def test_substring_dedup_shared_template(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: r.lines for r in substring_dedup.repeats(docs).collect()}
     assert [k for k in range(600) if found.get(k)] == list(range(300, 600))
+
+
+def test_substring_dedup_short_units(spark):
+    sentences = " ".join(f"{w}." if i % 12 in (5, 8, 11) else w for i, w in enumerate(f"verse{i}" for i in range(60)))
+    lines = "\n".join(f"item{i} of list{i}" for i in range(20))
+    rows = [(0, sentences), (1, " ".join(f"before{i}" for i in range(30)) + ". " + sentences + " " + " ".join(f"after{i}" for i in range(30))), (2, lines), (3, "head\n" + lines + "\nfoot")]
+    got = by_id(substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[k].n_removed_words for k in range(4)] == [0, 60, 0, 60]
