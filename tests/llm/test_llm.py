@@ -353,3 +353,64 @@ def test_substring_dedup_short_units(spark):
     rows = [(0, sentences), (1, " ".join(f"before{i}" for i in range(30)) + ". " + sentences + " " + " ".join(f"after{i}" for i in range(30))), (2, lines), (3, "head\n" + lines + "\nfoot")]
     got = by_id(substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")))
     assert [got[k].n_removed_words for k in range(4)] == [0, 60, 0, 60]
+
+
+def brute_run_words(rows, size):
+    """{(doc_id, text): places of words in runs of size words that a smaller doc_id has too}"""
+    first, out = {}, {}
+    split = [(d, t, (t or "").split()) for d, t in rows]
+    for d, _, w in split:
+        for i in range(len(w) - size + 1):
+            key = tuple(w[i : i + size])
+            first[key] = min(d, first.get(key, d))
+    for d, t, w in split:
+        hit = set()
+        for i in range(len(w) - size + 1):
+            if first[tuple(w[i : i + size])] < d:
+                hit.update(range(i, i + size))
+        out[d, t] = hit
+    return out
+
+
+def test_substring_dedup_against_brute_force(spark):
+    """Words in runs of 30 that a smaller doc_id has go; nearly all that goes is in a shared run of 10."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.lower("text").alias("text"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want, near = brute_run_words(rows, 30), brute_run_words(rows, 10)
+    total = caught = gone = stray = 0
+    for r, old in zip(sorted(substring_dedup.dedup(docs).collect(), key=lambda r: r.doc_id), sorted(rows), strict=True):
+        at = [m.start() for m in substring_dedup._WORD.finditer(old[1])]
+        lost = {i for s in r.spans for i in range(*np.searchsorted(at, [s.start, s.stop]))}
+        assert len(lost) == r.n_removed_words and r.n_words == len(at)
+        total, caught = total + len(want[old]), caught + len(want[old] & lost)
+        gone, stray = gone + len(lost), stray + len(lost - near[old])
+    assert caught > 0.99 * total and stray < 0.05 * gone
+
+
+def test_substring_dedup_repeated_ids(spark):
+    """Rows of one doc_id are told apart by their text; a row that repeats wholly keeps its text."""
+    a, b = (" ".join(f"{t}{i}" for i in range(60)) for t in "ab")
+    rows = [(3, a), (7, a), (7, b), (7, b), (9, b), (9, a + " " + b)]
+    got = [(r.doc_id, r.text, r.n_removed_words) for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted([(3, a, 0), (7, "", 60), (7, b, 0), (7, b, 0), (9, "", 60), (9, "", 120)])
+
+
+def test_substring_dedup_pieces_meet():
+    """Two texts that share a run of 2 * REACH + 4 words share a piece of it, wherever it stands."""
+    rng = random.Random(4)
+    size = 2 * substring_dedup.REACH + 4
+    for k in range(200):
+        run = [f"r{k}x{i}" for i in range(size)]
+        texts = [" ".join([f"{t}{i}" for i in range(rng.randrange(30))] + run + [f"{t}e{i}" for i in range(rng.randrange(30))]) for t in "ab"]
+        key, text, _, _ = substring_dedup.Paragraphs(pa.array(texts)).pieces()
+        assert set(key[text == 0].tolist()) & set(key[text == 1].tolist())
+
+
+def test_hot_join(spark):
+    from weftline.llm.common import cut, hot_join
+
+    many = spark.range(500).selectExpr("if(id < 300, 0, id) AS k", "id")
+    one = cut(spark.range(400).selectExpr("id AS k", "id * 2 AS v"))
+    counts = cut(many.groupBy("k").agg(F.count(F.lit(1)).alias("n")))
+    got = hot_join(many, one, ["k"], counts, least=10, most_keys=5)
+    assert sorted(map(tuple, got.select("id", "v").collect())) == sorted(map(tuple, many.join(one, "k").select("id", "v").collect()))

@@ -45,9 +45,52 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, bytes_per_row: int, limit: int = 16 << 20) -> DataFrame:
-    """df (a written table) marked for broadcast if its rows take at most limit bytes, else as it is."""
-    return F.broadcast(df) if df.count() * bytes_per_row <= limit else df
+def measured(df: DataFrame) -> int:
+    """Bytes of the rows of df (a written table): its columns of varying length as they are, eight bytes for others."""
+    size = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size += F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) + 16
+        elif kind in ("array", "map"):
+            inner = F.coalesce(F.octet_length(F.to_json(f"`{f.name}`")), F.lit(0))
+            size += inner + 16
+        else:
+            size += 8
+    return df.agg(F.coalesce(F.sum(size + 16), F.lit(0))).first()[0]
+
+
+def small_side(df: DataFrame, bytes_per_row: int | None = None, limit: int = 16 << 20) -> DataFrame:
+    """df (a written table) marked for broadcast if its rows take at most limit bytes, else as it is.
+
+    Rows whose columns are all of fixed length may be counted at bytes_per_row; others are measured.
+    """
+    size = measured(df) if bytes_per_row is None else df.count() * bytes_per_row
+    return F.broadcast(df) if size <= limit else df
+
+
+def hot_join(many: DataFrame, one: DataFrame, on: list[str], counts: DataFrame, least: int = 10_000, most_keys: int = 20_000) -> DataFrame:
+    """Inner join of many with one (a written table, a row a key), given the rows n of many by key.
+
+    Keys with more than 1 / most_keys of the rows of many (and least rows) are so few that their rows
+    of one are broadcast; the others are joined by key, none of which is large any more.
+    """
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = cut(counts.filter(F.col("n") > max(least, total // most_keys)).select(*on))
+    if hot.isEmpty():
+        return many.join(one, on)
+    few = one.join(F.broadcast(hot), on)
+    return many.join(F.broadcast(few), on).unionByName(many.join(F.broadcast(hot), on, "left_anti").join(one, on))
+
+
+def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
+    """best (minimum or maximum) of each run of width values."""
+    done = 1
+    while 2 * done <= width:
+        x = best(x[:-done], x[done:])
+        done *= 2
+    rest = width - done
+    return best(x[: len(x) - rest], x[rest:]) if rest else x
 
 
 def text_or_empty(column: str = "text"):

@@ -1,25 +1,33 @@
-"""Substring dedup over paragraphs and word windows: MinHash banding, exact verification, components.
-
-Paragraphs are the lines of a text and its short sentences. A passage may stand anywhere, in the
-middle of lines and sentences: so every run of WINDOW words, wherever it begins, is looked up too.
-Lines of five words or more get MinHash signatures of their 5-word shingles in 8 bands of
-2 rows: at similarity 0.75 a pair collides with probability 0.9987. Windows, and sentences shorter
-than a window, collide by their whole content. Band keys travel packed by bucket; lines whose keys collide with another content are
-paired at the first place of each content and verified by exact Jaccard similarity of their shingle
-sets; the lines of a key of more than 8 contents go through the exact Jaccard join together, so that
-no pair of theirs is left out. Components of verified lines are formed; every line but those of the component's
-least doc_id is a repeat, and so are a window and a sentence whose content a document with a smaller
-doc_id has (equal lines have equal sentences). Windows are noted with the least such doc_id. Where
-those of one other document leave gaps of less than a window (changed words), the gaps are repeats
-too if the shingles of the run around them, changed ones against its own, are similar enough.
-
-Of a document are removed: runs of words in repeated lines, windows and sentences (sentences under five
-words count where they lie between repeats) of ``min_words`` or more. Texts without such a run stay
-as they are, byte for byte.
+"""Substring dedup over paragraphs: MinHash banding, exact verification, components.
+
+Two kinds of paragraphs are looked up. Lines of five words or more get MinHash signatures of their
+5-word shingles in 8 bands of 2 rows: at similarity 0.75 a pair collides with probability 0.9987.
+Pieces are cut by content, wherever a passage stands (in the middle of lines and sentences, too):
+a cut is a shingle whose hash is the least of ``REACH`` shingles in a row, a piece the words from one
+cut to the next with the shingle there. Two documents that share a run of 2 * REACH + 4 words share a
+piece of it. A piece is too short for a word to differ within similarity 0.75, so all its rows make
+one band: its whole content.
+
+1. Scan. Each task combines equal lines and equal pieces of some million words before the shuffle, so
+   a passage of a third of all documents reaches its bucket once for each such batch, not once for
+   each document; the answers (which pieces a smaller doc_id has, and where) return by batch.
+2. Lines of different contents that collide are paired at the first place of each content and
+   verified by exact Jaccard similarity of their shingle sets; the lines of a key of more than 8
+   contents go through the exact Jaccard join together, so that no pair of theirs is left out.
+   Components of verified lines are formed; every line but those of the least doc_id is a repeat.
+3. Shared pieces in a row form stretches of one document in another. The words beside a stretch are
+   compared with those beside it at its first place (the least doc_id), and it grows while they are
+   equal: REACH words a side reach any end. Where stretches of one other document leave gaps of less
+   than ``WINDOW`` words (changed words), the gaps are repeats too if the run is similar enough.
+
+Of a document are removed: runs of ``min_words`` words or more in repeated lines and stretches. Texts
+without such a run stay as they are, byte for byte. Keys and words are compared by 64-bit hashes; a
+run of min_words never rests on one of them alone.
 
 A-Z are lower-cased for comparison. Null, empty and blank texts and rows without doc_id have no
-repeats and are not searched. Rows that repeat a doc_id are one document. Extra columns are kept, but for those
-named like one that is added.
+repeats and are not searched. Rows that share a doc_id are told apart by their text and are not
+compared with each other; rows equal in both are one document. Ties go to the row with the smaller
+hash. Extra columns are kept, but for those named like one that is added.
 """
 
 from __future__ import annotations
@@ -34,19 +42,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import jaccard_join
-from weftline.llm.common import cut, mix64, slices, small_side, whole, word_codes, words_of
+from weftline.llm.common import cut, hot_join, mix64, slices, sliding, small_side, whole, word_codes, words_of
 from weftline.llm.components import components
-from weftline.llm.jaccard_join import KEY_BYTES, links, pack_keys, unpack_keys
+from weftline.llm.jaccard_join import links
 
 SHINGLE, BANDS, ROWS, PERCENT, MIN_WORDS = 5, 8, 2, 75, 30
-WINDOW = 2 * SHINGLE
+REACH, WINDOW = 10, 2 * SHINGLE
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
-_MASK = np.uint64((1 << 8 * KEY_BYTES) - 1)
+_TOP = np.uint64(2**64 - 1)
 
 
 class Paragraphs:
-    """Words of some texts with their lines and sentences; numbers count within each text."""
+    """Words of some texts with their lines and pieces; numbers count within each text."""
 
     def __init__(self, texts: pa.Array):
         import xxhash
@@ -57,50 +65,50 @@ class Paragraphs:
         codes, distinct = word_codes(flat)
         h = xxhash.xxh3_64_intdigest
         table = np.fromiter(map(h, distinct.cast(pa.large_binary()).to_pylist()), np.uint64, len(distinct))
-        stops = pc.match_substring_regex(distinct, r"[.!?]$").to_numpy(zero_copy_only=False).astype(bool)
         self.hash, self.text = table[codes] if len(codes) else np.zeros(0, np.uint64), text_of_line[line]
         n = len(codes)
-        new_line = np.append(True, line[1:] != line[:-1])[:n]
-        new = new_line | np.append(True, stops[codes[:-1]] if n > 1 else np.zeros(0, bool))[:n]
-        self.line_start, self.sentence_start = np.flatnonzero(new_line), np.flatnonzero(new)
-        first = np.searchsorted(text_of_line, np.arange(len(texts)))
+        self.size = np.bincount(self.text, minlength=len(texts))
+        self.first = np.cumsum(self.size) - self.size  # each text's first word
+        self.line_start = np.flatnonzero(np.append(True, line[1:] != line[:-1])[:n])
         self.line_text = self.text[self.line_start]
-        self.line_no = line[self.line_start] - first[self.line_text]
-        self.sentence_text = self.text[self.sentence_start]
-        self.sentence_no = np.arange(len(self.sentence_start)) - np.searchsorted(self.sentence_text, self.sentence_text)
+        self.line_no = line[self.line_start] - np.searchsorted(text_of_line, np.arange(len(texts)))[self.line_text]
         self.line_size = np.diff(np.append(self.line_start, n))
-        self.sentence_size = np.diff(np.append(self.sentence_start, n))
         self.line = np.repeat(np.arange(len(self.line_start)), self.line_size)
+        self.gram = np.zeros(max(0, n - SHINGLE + 1), np.uint64)  # of the SHINGLE words from each word on
+        for k in range(SHINGLE):
+            self.gram = mix64(self.gram * _STEP + self.hash[k : len(self.gram) + k])
 
     def contents(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """A hash of each paragraph's words in their order."""
+        """A hash of each line's words in their order."""
         if not len(start):
             return np.zeros(0, np.uint64)
         place = (np.arange(len(self.hash)) - np.repeat(start, size)).astype(np.uint64)
         return mix64(np.add.reduceat(mix64(self.hash + mix64(place * _STEP)), start) + size.astype(np.uint64))
 
-    def grams(self) -> np.ndarray:
-        """A hash of the SHINGLE words from each word on, across lines and texts."""
-        n = max(0, len(self.hash) - SHINGLE + 1)
-        key = np.zeros(n, np.uint64)
-        for k in range(SHINGLE):
-            key = mix64(key * _STEP + self.hash[k : n + k])
-        return key
-
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of all runs of WINDOW words of one text, the text of each, and its first word there."""
-        key = self.grams()
-        n = max(0, len(key) - SHINGLE)
-        at = np.flatnonzero(self.text[:n] == self.text[WINDOW - 1 :][:n])
-        text = self.text[at]
-        return mix64(key[at] * _STEP + key[at + SHINGLE]), text, at - np.searchsorted(self.text, np.arange(text[-1] + 1 if len(text) else 0))[text]
+    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Content key, text, first word there and number of words of each piece."""
+        n = len(self.gram)
+        inside = self.text[:n] == self.text[SHINGLE - 1 :][:n]
+        g = np.where(inside, np.minimum(self.gram, _TOP - np.uint64(1)), _TOP)
+        low = sliding(g, REACH, np.minimum) if n >= REACH else np.zeros(0, np.uint64)
+        low[self.text[: len(low)] != self.text[REACH + SHINGLE - 2 :][: len(low)]] = 0  # not all in one text
+        wide = np.zeros(n + REACH - 1, np.uint64)
+        wide[REACH - 1 : REACH - 1 + len(low)] = low
+        at = np.flatnonzero((sliding(wide, REACH, np.maximum) == g) & inside) if n else np.zeros(0, np.int64)
+        if len(at) < 2:
+            return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
+        size = np.diff(np.append(at, n))
+        place = (np.arange(at[0], n) - np.repeat(at, size)).astype(np.uint64)
+        key = mix64(np.add.reduceat(mix64(self.gram[at[0] :] + mix64(place * _STEP)), at - at[0]) + size.astype(np.uint64))
+        ok = np.flatnonzero(self.text[at[1:]] == self.text[at[:-1]])
+        start, text = at[ok], self.text[at[ok]]
+        return key[ok], text, start - self.first[text], size[ok] + SHINGLE - 1
 
     def shingles(self) -> tuple[np.ndarray, np.ndarray]:
         """Shingle hashes inside lines, and the line of each."""
-        key = self.grams()
-        n = len(key)
+        n = len(self.gram)
         ok = self.line[:n] == self.line[SHINGLE - 1 :][:n]
-        return key[ok], self.line[:n][ok]
+        return self.gram[ok], self.line[:n][ok]
 
     def bands(self) -> tuple[np.ndarray, np.ndarray]:
         """(lines with shingles, BANDS) keys, and which lines they are."""
@@ -116,103 +124,257 @@ class Paragraphs:
         return out, of[start]
 
 
-_BLOBS = "kind int, bucket long, keys binary, place binary, unit binary, content binary, ids binary"
+def _rows_of(docs: DataFrame) -> DataFrame:
+    """doc_id, row (tells texts of one doc_id apart) and text of the rows that are searched."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    return ids.select("doc_id", F.xxhash64("text").alias("row"), "text")
+
+
+_BLOBS = "kind int, bucket long, flush long, keys binary, place binary, unit binary, content binary, ids binary, rows binary"
+_LINES, _PIECES, _OWN = 0, 1, 2
+
+
+def _least(kind_max: int) -> str:
+    """The shortest unsigned type for numbers up to kind_max."""
+    return "<u2" if kind_max < 1 << 16 else "<u4"
+
+
+def _numbers(data: bytes, n: int) -> np.ndarray:
+    """n unsigned numbers of 2 or 4 bytes."""
+    return np.frombuffer(data, "<u4" if len(data) == 4 * n else "<u2").astype(np.int64)
+
 
+class _Flush:
+    """Lines and pieces of some documents; each distinct one goes out once, at its first place."""
 
-def _scan(docs: DataFrame, few_buckets: int, many_buckets: int) -> DataFrame:
-    """Packed keys of lines (kind 0; content: their hash), sentences shorter than a window (kind 1;
-    content: their words) and windows (kind 2; no content) by bucket."""
+    def __init__(self, line_buckets: int, piece_buckets: int):
+        self.line_buckets, self.piece_buckets = line_buckets, piece_buckets
+        self.clear()
 
-    def rows(kind, keys, place, unit, content, ids):
-        keys, buckets = keys & _MASK, many_buckets if kind == 2 else few_buckets
-        of = (keys % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((keys, of))
+    def clear(self) -> None:
+        self.held: dict[str, list[np.ndarray]] = {k: [] for k in ("ids", "rows", "content", "bands", "line_doc", "line_no", "key", "doc", "start", "words")}
+        self.docs = self.keys = 0
+
+    def add(self, p: Paragraphs, ids: np.ndarray, rows: np.ndarray) -> None:
+        bands, at = p.bands()
+        key, text, start, words = p.pieces()
+        new = {"ids": ids, "rows": rows, "content": p.contents(p.line_start, p.line_size)[at], "bands": bands, "line_doc": p.line_text[at] + self.docs, "line_no": p.line_no[at], "key": key, "doc": text + self.docs, "start": start, "words": words}
+        for k, v in new.items():
+            self.held[k].append(v)
+        self.docs += len(ids)
+        self.keys += len(key) + BANDS * len(at)
+
+    def batch(self, flush: int) -> pa.RecordBatch:
+        x = {k: np.concatenate(v) for k, v in self.held.items()}
+        made = [*self._lines(x, flush), *self._pieces(x, flush)]
+        self.clear()
+        kinds = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6)
+        return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], [c.split()[0] for c in _BLOBS.split(", ")])
+
+    def _lines(self, x, flush):
+        """Packed band keys of lines (content: a hash of their words) by bucket."""
+        doc = x["line_doc"]
+        order = np.lexsort((x["line_no"], x["rows"][doc], x["ids"][doc], x["content"]))
+        content = x["content"][order]
+        at = order[np.append(True, content[1:] != content[:-1])[: len(order)]]
+        keys, line = x["bands"][at].ravel(), np.repeat(at, BANDS)
+        of = (keys % np.uint64(self.line_buckets)).astype(np.int64)
+        order = np.argsort(of, kind="stable")
         cuts = np.flatnonzero(np.diff(of[order], prepend=-1, append=-1))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            at = order[a:b]
-            used, local = np.unique(place[at], return_inverse=True)
-            yield kind, int(of[at[0]]), pack_keys(keys[at]), local.astype("<u2" if len(used) < 65536 else "<u4").tobytes(), unit[at].astype("<u4").tobytes(), b"" if content is None else content[at].astype("<u4").tobytes(), ids[used].astype("<i8").tobytes()
+            r = order[a:b]
+            who, where = x["line_doc"][line[r]], x["line_no"][line[r]]
+            used, local = np.unique(who, return_inverse=True)
+            yield _LINES, int(of[r[0]]), flush, keys[r].astype("<u8").tobytes(), local.astype(_least(len(used))).tobytes(), where.astype(_least(int(where.max()))).tobytes(), x["content"][line[r]].astype("<u8").tobytes(), x["ids"][used].astype("<i8").tobytes(), x["rows"][used].astype("<i8").tobytes()
+
+    def _pieces(self, x, flush):
+        """Packed distinct keys of pieces by bucket, at their first place; and, to read the answers by,
+        each piece's rank among them (keys), words (unit) and the pieces of each document (place, content:
+        their number and the first word)."""
+        key, doc, start = x["key"], x["doc"], x["start"]
+        bucket = (key % np.uint64(self.piece_buckets)).astype(np.int64)
+        order = np.lexsort((start, x["rows"][doc], x["ids"][doc], key, bucket))
+        k = key[order]
+        new = np.append(True, k[1:] != k[:-1])[: len(k)]
+        rank = np.empty(len(k), np.int64)
+        rank[order] = np.cumsum(new) - 1
+        at = order[new]
+        cuts = np.flatnonzero(np.diff(bucket[at], prepend=-1, append=-1))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            r = at[a:b]
+            used, local = np.unique(doc[r], return_inverse=True)
+            yield _PIECES, int(bucket[r[0]]), flush, key[r].astype("<u8").tobytes(), local.astype(_least(len(used))).tobytes(), start[r].astype(_least(int(start[r].max()))).tobytes(), np.array([a], "<u4").tobytes(), x["ids"][used].astype("<i8").tobytes(), x["rows"][used].astype("<i8").tobytes()
+        n = np.bincount(doc, minlength=len(x["ids"]))
+        first = np.zeros(len(n), np.int64)
+        first[n > 0] = start[(np.cumsum(n) - n)[n > 0]]
+        some = np.flatnonzero(n)
+        yield _OWN, flush, flush, rank.astype("<u4").tobytes(), n[some].astype("<u4").tobytes(), x["words"].astype("u1").tobytes(), first[some].astype("<u4").tobytes(), x["ids"][some].astype("<i8").tobytes(), x["rows"][some].astype("<i8").tobytes()
 
+
+def _scan(rows: DataFrame, line_buckets: int, piece_buckets: int, keys_per_flush: int = 1_000_000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        name, flush = TaskContext.get().partitionId() << 24, _Flush(line_buckets, piece_buckets)
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                p = Paragraphs(part.column("text"))
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                keys, at = p.bands()
-                content = p.contents(p.line_start, p.line_size)[at]
-                made = list(rows(0, keys.ravel(), np.repeat(p.line_text[at], BANDS), np.repeat(p.line_no[at], BANDS), np.repeat(content, BANDS), ids))
-                short = (p.sentence_size >= SHINGLE) & (p.sentence_size < WINDOW)
-                made += rows(1, p.contents(p.sentence_start, p.sentence_size)[short], p.sentence_text[short], p.sentence_no[short], p.sentence_size[short], ids)
-                made += rows(2, *p.windows(), None, ids)
-                kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
-                yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], [c.split()[0] for c in _BLOBS.split(", ")])
+                ids, of = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "row"))
+                flush.add(Paragraphs(part.column("text")), ids, of)
+                if flush.keys >= keys_per_flush:
+                    yield flush.batch(name)
+                    name += 1
+        if flush.docs:
+            yield flush.batch(name)
+
+    return rows.mapInArrow(run, _BLOBS)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null").mapInArrow(run, _BLOBS)
+_PAIRS = "many boolean, doc_id long, row long, unit int, node long, other_doc long, other_row long, other_unit int, other_node long"
 
 
-_FOUND = "kind int, doc_id long, unit int, other_doc long, other_unit int, packed binary"
+def _owners(t: pa.Table, n: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """doc_id and row of each key of blobs with n keys."""
+    doc, row = [], []
+    for place, ids, rows, m in zip(*(t[c].to_pylist() for c in ("place", "ids", "rows")), n, strict=True):
+        local = _numbers(place, m)
+        doc.append(np.frombuffer(ids, "<i8")[local])
+        row.append(np.frombuffer(rows, "<i8")[local])
+    return np.concatenate(doc), np.concatenate(row)
 
 
-def _collisions(scan: DataFrame, buckets: int, few: int = 8) -> DataFrame:
-    """kind 0: pairs of lines of different content, each at its first place; kind 3: such lines, once
-    each, of keys of more than few contents; kind 1: sentences that a
-    smaller doc_id has (other_unit: their words); kind 2: windows that a smaller doc_id has, packed
-    by a bucket of their documents (in doc_id)."""
+def _line_pairs(scan: DataFrame, few: int = 8) -> DataFrame:
+    """Pairs of lines of different content with a band key in common, each at its first place; such
+    lines once each (many), without a partner, of keys of more than few contents."""
 
-    def pack(doc, unit, least):
-        to = (mix64(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((unit, doc, to))
-        cuts = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
+    def run(t: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(x, "<u8") for x in t["keys"].to_pylist()])
+        n = [len(x) // 8 for x in t["keys"].to_pylist()]
+        doc, row = _owners(t, n)
+        unit = np.concatenate([_numbers(x, m) for x, m in zip(t["unit"].to_pylist(), n, strict=True)])
+        content = np.concatenate([np.frombuffer(x, "<u8") for x in t["content"].to_pylist()])
+        order = np.lexsort((unit, row, doc, content, keys))
+        k, c = keys[order], content[order]
+        lead = order[np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))]  # first place of each content of a key
+        k = keys[lead]
+        start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        size = np.diff(np.append(start, len(k)))
+        src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for m in range(2, few + 1):
+            i, j = np.triu_indices(m, 1)
+            at = start[size == m][:, None]
+            src.append((at + i).ravel())
+            dst.append((at + j).ravel())
+        hot = np.repeat(size > few, size)
+        lone = lead[hot][np.unique(content[lead[hot]], return_index=True)[1]]
+        s, d = lead[np.concatenate(src)], lead[np.concatenate(dst)]
+        many = np.repeat([False, True], [len(s), len(lone)])
+        s, d = np.append(s, lone), np.append(d, lone)
+        cols = [many, *(v[i].astype(np.uint64).view(np.int64).astype(w) for i in (s, d) for v, w in ((doc, np.int64), (row, np.int64), (unit, np.int32), (content, np.int64)))]
+        return pa.table([pa.array(v) for v in cols], [f.split()[0] for f in _PAIRS.split(", ")])
+
+    return scan.filter(F.col("kind") == _LINES).select("bucket", "keys", "place", "unit", "content", "ids", "rows").groupBy("bucket").applyInArrow(run, _PAIRS)
+
+
+def _answers(scan: DataFrame) -> DataFrame:
+    """For each batch of the scan, packed: its pieces (by rank) that a smaller doc_id outside it has, and where."""
+
+    def run(t: pa.Table) -> pa.Table:
+        n = [len(x) // 8 for x in t["keys"].to_pylist()]
+        keys = np.concatenate([np.frombuffer(x, "<u8") for x in t["keys"].to_pylist()])
+        doc, row = _owners(t, n)
+        start = np.concatenate([_numbers(x, m) for x, m in zip(t["unit"].to_pylist(), n, strict=True)])
+        rank = np.concatenate([np.arange(m) + np.frombuffer(x, "<u4")[0] for x, m in zip(t["content"].to_pylist(), n, strict=True)])
+        flush = np.repeat(np.array(t["flush"].to_pylist(), np.int64), n)
+        order = np.lexsort((start, row, doc, keys))
+        k = keys[order]
+        new = np.append(True, k[1:] != k[:-1])
+        first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        hit = doc[first] < doc[order]
+        at, first = order[hit], first[hit]
+        by = np.argsort(flush[at], kind="stable")
+        at, first = at[by], first[by]
+        cuts = np.flatnonzero(np.diff(flush[at], prepend=-1, append=-1))
         out = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            r = order[a:b]
-            ids, local = np.unique(np.concatenate([doc[r], least[r]]), return_inverse=True)
-            out.append(np.array([len(ids), b - a], "<i8").tobytes() + ids.astype("<i8").tobytes() + local.astype("<u4").tobytes() + unit[r].astype("<u4").tobytes())
-        n = len(out)
-        return _table([np.full(n, 2), to[order][cuts[:-1]], np.zeros(n), np.zeros(n), np.zeros(n)], out)
+            f = first[a:b]
+            out.append((int(flush[at[a]]), *(v.tobytes() for v in (rank[at[a:b]].astype("<u4"), doc[f].astype("<i8"), row[f].astype("<i8"), start[f].astype("<u4")))))
+        return pa.table([pa.array([x[i] for x in out], w) for i, w in enumerate((pa.int64(), *[pa.binary()] * 4))], ["flush", "rank", "docs", "of", "starts"])
+
+    keys = scan.filter(F.col("kind") == _PIECES).select("bucket", "flush", "keys", "place", "unit", "content", "ids", "rows")
+    return keys.groupBy("bucket").applyInArrow(run, "flush long, rank binary, docs binary, of binary, starts binary")
+
+
+_STRETCHES = "doc_id long, row long, start int, stop int, other_doc long, other_row long, other_start int, other_stop int"
+
+
+def _stretches(scan: DataFrame, min_words: int) -> DataFrame:
+    """Stretches of pieces in a row that follow each other in one document with a smaller doc_id, too;
+    without those that could not grow to min_words together with stretches near them."""
+
+    def run(own: pa.Table, found: pa.Table) -> pa.Table:
+        names = [c.split()[0] for c in _STRETCHES.split(", ")]
+        if not len(own):
+            return pa.table([pa.array([], pa.int32() if "st" in c else pa.int64()) for c in names], names)
+        one = {c: own[c][0].as_py() for c in ("keys", "place", "unit", "content", "ids", "rows")}
+        rank, words = np.frombuffer(one["keys"], "<u4").astype(np.int64), np.frombuffer(one["unit"], "u1").astype(np.int64)
+        ids, rows = (np.frombuffer(one[c], "<i8") for c in ("ids", "rows"))
+        n, first = (np.frombuffer(one[c], "<u4").astype(np.int64) for c in ("place", "content"))
+        text = np.repeat(np.arange(len(n)), n)
+        steps = np.cumsum(words - (SHINGLE - 1)) - (words - (SHINGLE - 1))
+        start = steps + np.repeat(first - steps[np.cumsum(n) - n], n)
+        doc, row = ids[text], rows[text]
+        order = np.lexsort((start, row, doc, rank))
+        r = rank[order]
+        lead = order[np.append(True, r[1:] != r[:-1])[: len(r)]]  # ranks are 0, 1, ...
+        least, of, at = doc[lead], row[lead], start[lead]
+        for answers in zip(*(found[c].to_pylist() for c in ("rank", "docs", "of", "starts")), strict=True):
+            i = np.frombuffer(answers[0], "<u4")
+            least[i], of[i], at[i] = (np.frombuffer(x, w) for x, w in zip(answers[1:], ("<i8", "<i8", "<u4"), strict=True))
+        other, other_row, other_start = least[rank], of[rank], at[rank]
+        hit = np.flatnonzero(other < doc)
+        prev = hit[:-1]
+        follows = (hit[1:] == prev + 1) & (text[hit[1:]] == text[prev]) & (other[hit[1:]] == other[prev]) & (other_row[hit[1:]] == other_row[prev]) & (other_start[hit[1:]] - other_start[prev] == start[hit[1:]] - start[prev])
+        a = np.flatnonzero(np.append(True, ~follows)[: len(hit)])
+        b = hit[np.append(a[1:], len(hit)) - 1] if len(hit) else hit
+        a = hit[a]
+        stop = start[b] + words[b]
+        far = np.append(True, (text[a[1:]] != text[a[:-1]]) | (start[a[1:]] > stop[:-1] + 2 * REACH))[: len(a)]
+        zone = np.cumsum(far) - 1
+        low = start[a][far]
+        high = np.maximum.reduceat(stop, np.flatnonzero(far)) if len(a) else stop
+        keep = (high - low + 2 * REACH >= min_words)[zone] if len(a) else np.zeros(0, bool)
+        a, stop = a[keep], stop[keep]
+        cols = [doc[a], row[a], start[a], stop, other[a], other_row[a], other_start[a], other_start[a] + stop - start[a]]
+        return pa.table([pa.array(v.astype(np.int32 if "st" in c else np.int64)) for v, c in zip(cols, names, strict=True)], names)
+
+    own = scan.filter(F.col("kind") == _OWN).select("flush", "keys", "place", "unit", "content", "ids", "rows")
+    return own.groupBy("flush").cogroup(_answers(scan).groupBy("flush")).applyInArrow(run, _STRETCHES)
+
+
+def _beside(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """The words (hashes) before and behind the places (doc_id, row, start, stop) in their documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                p, out = Paragraphs(part.column("text")), []
+                for i, (d, r, places) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "row", "places")), strict=True)):
+                    own = p.hash[p.first[i] : p.first[i] + p.size[i]]
+                    out += [(d, r, x["start"], x["stop"], own[max(0, x["start"] - REACH) : x["start"]].tobytes(), own[x["stop"] : x["stop"] + REACH].tobytes()) for x in places]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], w) for k, w in enumerate(kinds)], ["other_doc", "other_row", "other_start", "other_stop", "before", "behind"])
+
+    wanted = cut(places.groupBy(F.col("other_doc").alias("doc_id"), F.col("other_row").alias("row")).agg(F.collect_list(F.struct(F.col("other_start").alias("start"), F.col("other_stop").alias("stop"))).alias("places")))
+    texts = rows.join(small_side(wanted), ["doc_id", "row"]).select("doc_id", "row", "text", "places")
+    return texts.mapInArrow(run, "other_doc long, other_row long, other_start int, other_stop int, before binary, behind binary").dropDuplicates(["other_doc", "other_row", "other_start", "other_stop"])
 
-    def run(t: pa.Table) -> pa.Table:
-        kind = t["kind"][0].as_py()
-        keys = np.concatenate([unpack_keys(x) for x in t["keys"].to_pylist()])
-        ids = [np.frombuffer(x, "<i8") for x in t["ids"].to_pylist()]
-        place = [np.frombuffer(x, "<u2" if len(i) < 65536 else "<u4").astype(np.int64) for x, i in zip(t["place"].to_pylist(), ids, strict=True)]
-        doc = np.concatenate([i[p] for i, p in zip(ids, place, strict=True)])
-        unit = np.concatenate([np.frombuffer(x, "<u4") for x in t["unit"].to_pylist()]).astype(np.int64)
-        order = np.argsort(keys) if kind == 2 else np.lexsort((unit, doc, keys))
-        keys, doc, unit = keys[order], doc[order], unit[order]
-        start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        size = np.diff(np.append(start, len(keys)))
-        if kind == 2:
-            least = np.repeat(np.minimum.reduceat(doc, start), size)
-            hit = doc > least
-            return pack(doc[hit], unit[hit], least[hit])
-        first = np.repeat(start, size)
-        content = np.concatenate([np.frombuffer(x, "<u4") for x in t["content"].to_pylist()])[order]
-        if kind == 1:
-            hit = doc > doc[first]
-            return _table([np.ones(hit.sum()), doc[hit], unit[hit], doc[first][hit], content[hit]])
-        src: list[np.ndarray] = [np.zeros(0, np.int64)]
-        dst: list[np.ndarray] = [np.zeros(0, np.int64)]
-        many: list[np.ndarray] = [np.zeros(0, np.int64)]
-        low, high = np.minimum.reduceat(content, start), np.maximum.reduceat(content, start)
-        for a, n in zip(start[low < high].tolist(), size[low < high].tolist(), strict=True):
-            lead = np.sort(np.unique(content[a : a + n], return_index=True)[1]) + a
-            if len(lead) <= few:
-                i, j = np.triu_indices(len(lead), 1)
-                src.append(lead[i])
-                dst.append(lead[j])
-            else:
-                many.append(lead)
-        s, d, m = np.concatenate(src), np.concatenate(dst), np.unique(np.concatenate(many))
-        kinds, s, d = np.repeat([0, 3], [len(s), len(m)]), np.append(s, m), np.append(d, m)
-        return _table([kinds, doc[s], unit[s], doc[d], unit[d]])
-
-    def _table(cols, packed=None):
-        names = [c.split()[0] for c in _FOUND.split(", ")]
-        kinds = (np.int32, np.int64, np.int32, np.int64, np.int32)
-        return pa.table([*(pa.array(np.asarray(c).astype(k)) for c, k in zip(cols, kinds, strict=True)), pa.nulls(len(cols[0]), pa.binary()) if packed is None else pa.array(packed, pa.binary())], names)
-
-    return scan.groupBy("kind", "bucket").applyInArrow(run, _FOUND)
+
+def _grown(rows: DataFrame, stretches: DataFrame) -> DataFrame:
+    """doc_id, row, and the stretches of the document with the words beside their first places."""
+    place = ["other_doc", "other_row", "other_start", "other_stop"]
+    places = cut(stretches.groupBy(*place).agg(F.count(F.lit(1)).alias("n")))
+    joined = hot_join(stretches, cut(_beside(rows, places)), place, places)
+    return joined.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "stop", "other_doc", "other_row", "before", "behind")).alias("stretches"))
 
 
 def filled(start: np.ndarray, stop: np.ndarray, percent: int) -> np.ndarray:
@@ -222,7 +384,7 @@ def filled(start: np.ndarray, stop: np.ndarray, percent: int) -> np.ndarray:
     A gap of k words changes k + SHINGLE - 1 of the run's shingles; a run of n shingles of which c are
     changed has the Jaccard similarity (n - c) / (n + c). Gaps of a window or more are never filled.
     """
-    gap = start[1:] - stop[:-1]
+    gap = np.maximum(start[1:] - stop[:-1], 0)
     changed = np.append(0, np.cumsum(np.where(gap < WINDOW, gap + SHINGLE - 1, 1 << 40)))
     high = (100 - percent) * stop - (100 + percent) * changed
     low = (100 - percent) * (start + SHINGLE - 1) - (100 + percent) * changed
@@ -231,138 +393,125 @@ def filled(start: np.ndarray, stop: np.ndarray, percent: int) -> np.ndarray:
     return np.maximum.accumulate(last) > np.arange(len(start))
 
 
-def _stretches(found: DataFrame, percent: int) -> DataFrame:
-    """doc_id, starts, stops (packed) and words of the stretches of words that windows cover."""
-
-    def run(t: pa.Table) -> pa.Table:
-        docs, units, others = [], [], []
-        for x in t["packed"].to_pylist():
-            m, n = np.frombuffer(x, "<i8", 2)
-            ids, local = np.frombuffer(x, "<i8", m, 16), np.frombuffer(x, "<u4", 2 * n, 16 + 8 * m)
-            docs.append(ids[local[:n]])
-            others.append(ids[local[n:]])
-            units.append(np.frombuffer(x, "<u4", n, 16 + 8 * m + 8 * n).astype(np.int64))
-        doc, unit, other = (np.concatenate(x) for x in (docs, units, others))
-        order = np.lexsort((unit, other, doc))
-        doc, unit, other = doc[order], unit[order], other[order]
-        apart = (doc[1:] != doc[:-1]) | (other[1:] != other[:-1])
-        new = np.append(True, apart | (unit[1:] > unit[:-1] + WINDOW))
-        first = np.flatnonzero(new)
-        start, stop = unit[first], unit[np.append(first[1:], len(unit)) - 1] + WINDOW
-        doc, pair = doc[first], np.cumsum(np.append(True, apart))[first]
-        edge = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-        fill = np.zeros(len(start), bool)
-        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(start)], strict=True):
-            if b - a > 1:
-                fill[a:b] = filled(start[a:b], stop[a:b], percent)
-        stop = np.where(fill, np.append(start[1:], 0), stop)
-        cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        packed = [pa.array([x.astype("<u4").tobytes() for x in np.split(v, cuts[1:])], pa.binary()) for v in (start, stop)]
-        return pa.table([pa.array(doc[cuts]), *packed, pa.array(np.add.reduceat(stop - start, cuts))], ["doc_id", "starts", "stops", "words"])
-
-    return found.filter("kind = 2").select(F.col("doc_id").alias("bucket"), "packed").groupBy("bucket").applyInArrow(run, "doc_id long, starts binary, stops binary, words long")
-
-
-def _line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, unit, tokens: shingle sets of the lines wanted (doc_id, units)."""
+def covered(words: np.ndarray, stretches: list[dict], percent: int) -> list[tuple[int, int]]:
+    """First and end word of what the stretches of a text (hashes of its words) cover, grown and filled."""
+    by_other: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for x in stretches:
+        start, stop = x["start"], x["stop"]
+        before, behind = np.frombuffer(x["before"], "<u8"), np.frombuffer(x["behind"], "<u8")
+        m = min(len(before), start)
+        if m:
+            same = words[start - m : start] == before[len(before) - m :]
+            start -= m if same.all() else int(np.argmin(same[::-1]))
+        m = min(len(behind), len(words) - stop)
+        if m:
+            same = words[stop : stop + m] == behind[:m]
+            stop += m if same.all() else int(np.argmin(same))
+        by_other.setdefault((x["other_doc"], x["other_row"]), []).append((start, stop))
+    out = []
+    for spans in by_other.values():
+        if len(spans) > 1:
+            spans = sorted(set(spans))
+            start, stop = (np.array(v, np.int64) for v in zip(*spans, strict=True))
+            stop = np.maximum.accumulate(stop)
+            fill = filled(start, stop, percent)
+            stop[:-1] = np.where(fill[:-1], np.maximum(stop[:-1], start[1:]), stop[:-1])
+            spans = list(zip(start.tolist(), stop.tolist(), strict=True))
+        out += spans
+    return out
+
+
+def _line_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, tokens: shingle sets of the lines wanted (doc_id, row, lines of unit and node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 p = Paragraphs(part.column("text"))
-                ids, units = part.column("doc_id").to_pylist(), [set(u) for u in part.column("units").to_pylist()]
+                nodes = [{x["unit"]: x["node"] for x in v} for v in part.column("lines").to_pylist()]
                 key, of = p.shingles()
                 start = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
                 ends = np.append(start[1:], len(of))
-                out = [(ids[p.line_text[line]], int(p.line_no[line]), np.unique(key[a:b]).tobytes()) for a, b, line in zip(start, ends, of[start], strict=True) if int(p.line_no[line]) in units[p.line_text[line]]]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["doc_id", "unit", "tokens"])
+                out = [(nodes[t][u], np.unique(key[a:b]).tobytes()) for a, b, t, u in zip(start, ends, p.line_text[of[start]].tolist(), p.line_no[of[start]].tolist(), strict=True) if u in nodes[t]]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["node", "tokens"])
+
+    return rows.join(small_side(wanted), ["doc_id", "row"]).select("text", "lines").mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("doc_id", "text", "units").mapInArrow(run, "doc_id long, unit int, tokens binary")
+def _by_document(lines: DataFrame) -> DataFrame:
+    return cut(lines.groupBy("doc_id", "row").agg(F.collect_list(F.struct("unit", "node")).alias("lines")))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those pairs of lines whose shingle sets are similar enough."""
+def _verified(rows: DataFrame, pairs: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
+    """src, dst: those pairs of lines (nodes) whose shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(c).to_pylist() for c in ("tokens", "other_tokens"))
             ok = [links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b, strict=True)]
-            yield batch.select(["doc_id", "unit", "other_doc", "other_unit"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(["src", "dst"]).filter(pa.array(ok, pa.bool_()))
 
-    ends = pairs.select("doc_id", "unit").union(pairs.select("other_doc", "other_unit")).distinct()
-    wanted = cut(ends.groupBy("doc_id").agg(F.collect_set("unit").alias("units")))
-    sets = cut(_line_sets(docs, small_side(wanted, 256)))
-    other = sets.select(F.col("doc_id").alias("other_doc"), F.col("unit").alias("other_unit"), F.col("tokens").alias("other_tokens"))
-    both = pairs.join(sets, ["doc_id", "unit"]).join(other, ["other_doc", "other_unit"])
-    return both.select("doc_id", "unit", "other_doc", "other_unit", "tokens", "other_tokens").mapInArrow(run, "doc_id long, unit int, other_doc long, other_unit int")
+    sets = cut(_line_sets(rows, _by_document(ends)))
+    mine, other = sets.withColumnRenamed("node", "src"), sets.select(F.col("node").alias("dst"), F.col("tokens").alias("other_tokens"))
+    both = pairs.join(mine, "src").join(other, "dst")
+    return both.select("src", "dst", "tokens", "other_tokens").mapInArrow(run, "src long, dst long")
 
 
-def _line_texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc_id (the line's node) and text of lines (doc_id, unit, node)."""
+def _line_texts(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc_id (the line's node) and text of lines (doc_id, row, unit, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 nodes, texts = [], []
-                for text, wanted in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist(), strict=True):
+                for text, wanted in zip(part.column("text").to_pylist(), part.column("lines").to_pylist(), strict=True):
                     split = text.split("\n")
-                    for w in wanted:
-                        if w["unit"] < len(split):
-                            nodes.append(w["node"])
-                            texts.append(split[w["unit"]])
+                    nodes += [x["node"] for x in wanted]
+                    texts += [split[x["unit"]] for x in wanted]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    wanted = cut(lines.groupBy("doc_id").agg(F.collect_list(F.struct("unit", "node")).alias("wanted")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").join(small_side(wanted, 256), "doc_id")
-    return cut(texts.select("text", "wanted").mapInArrow(run, "doc_id long, text string"))
+    texts = rows.join(small_side(_by_document(lines)), ["doc_id", "row"])
+    return cut(texts.select("text", "lines").mapInArrow(run, "doc_id long, text string").dropDuplicates(["doc_id"]))
 
 
-def repeats(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, keys_per_bucket: int = 500_000) -> DataFrame:
-    """doc_id, lines, sentences (numbers of the paragraphs that a document with a smaller id has),
-    starts and stops (stretches of words that one has), for documents where they could make a run of
-    min_words (short sentences between them counted in)."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    wide = max(8, round(size / 6 / (3 * keys_per_bucket)))
-    found = cut(_collisions(_scan(docs, max(8, round(size / 40 / keys_per_bucket)), wide), wide))
-    near = cut(found.filter("kind = 0").select("doc_id", "unit", "other_doc", "other_unit").distinct())
-    edges = cut(_verified(docs, near, percent).withColumns({"src": F.xxhash64("doc_id", "unit"), "dst": F.xxhash64("other_doc", "other_unit")}))
-    many = cut(found.filter("kind = 3").select("doc_id", "unit").distinct().withColumn("node", F.xxhash64("doc_id", "unit")))
-    pairs, ends = edges.select("src", "dst"), edges.select(F.col("src").alias("node"), "doc_id", "unit").union(edges.select("dst", "other_doc", "other_unit"))
+def _repeated_lines(rows: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """doc_id, row, lines: the numbers of lines that are similar to one of a smaller doc_id."""
+    pairs = cut(found.filter("not many").drop("many").distinct())
+    first = ["doc_id", "row", "unit", "node"]
+    ends = cut(pairs.select(*first).union(pairs.select("other_doc", "other_row", "other_unit", "other_node")).distinct())
+    edges = cut(_verified(rows, pairs.select(F.col("node").alias("src"), F.col("other_node").alias("dst")), ends, percent))
+    many = cut(found.filter("many").select(*first).distinct())
     if not many.isEmpty():
-        joined = jaccard_join.join(_line_texts(docs, many), percent).filter("component_id <> doc_id")
-        pairs, ends = pairs.union(cut(joined.select("doc_id", "component_id"))), ends.union(many.select("node", "doc_id", "unit"))
-    label = cut(components(pairs))
-    nodes = ends.distinct()
-    placed = cut(nodes.join(label, "node"))
+        joined = jaccard_join.join(_line_texts(rows, many), percent).filter("component_id <> doc_id")
+        edges, ends = edges.union(joined.select("doc_id", "component_id")), ends.union(many).distinct()
+    placed = cut(ends.join(components(edges), "node"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("least"))
-    lines = placed.join(least, "component").filter("doc_id > least").select("doc_id", F.col("unit").alias("line"), F.lit(None).cast("int").alias("sentence"), F.lit(min_words).alias("words"))
-    sentences = found.filter("kind = 1").select("doc_id", F.lit(None).cast("int").alias("line"), F.col("unit").alias("sentence"), (F.col("other_unit") + SHINGLE - 1).alias("words"))
-    marks = lines.union(sentences).groupBy("doc_id").agg(F.collect_set("line").alias("lines"), F.collect_set("sentence").alias("sentences"), F.sum("words").alias("words"))
-    both = marks.join(_stretches(found, percent).withColumnRenamed("words", "more"), "doc_id", "full")
-    words = F.coalesce("words", F.lit(0)) + F.coalesce(F.col("more") + SHINGLE - 1, F.lit(0))
-    return both.filter(words >= min_words).drop("words", "more")
+    return placed.join(least, "component").filter("doc_id > least").groupBy("doc_id", "row").agg(F.collect_set("unit").alias("lines"))
+
+
+def repeats(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, keys_per_bucket: int = 400_000) -> DataFrame:
+    """doc_id, row, lines (numbers of repeated lines), stretches (of words, with what is beside them at
+    their first place) of the documents that have any."""
+    rows = _rows_of(docs)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    # a line of 300 bytes has 8 keys, a piece is 30 bytes or so
+    scan = cut(_scan(rows, max(8, round(size / 40 / keys_per_bucket)), max(8, round(size / 30 / keys_per_bucket))))
+    lines = _repeated_lines(rows, cut(_line_pairs(scan)), percent)
+    return lines.join(_grown(rows, cut(_stretches(scan, min_words))), ["doc_id", "row"], "full")
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def removed_words(p: Paragraphs, text: int, lines: list[int], sentences: list[int], min_words: int, starts: bytes = b"", stops: bytes = b"") -> list[tuple[int, int]]:
+def removed_words(p: Paragraphs, text: int, lines: list[int], stretches: list[dict], percent: int, min_words: int) -> list[tuple[int, int]]:
     """Runs (first word, end) of one text to remove."""
-    a, b = np.searchsorted(p.text, [text, text + 1])
-    hit = np.zeros(b - a, np.int8)
-    for no, start, size, of, gone in ((p.sentence_no, p.sentence_start, p.sentence_size, p.sentence_text, sentences), (p.line_no, p.line_start, p.line_size, p.line_text, lines)):
-        x, y = np.searchsorted(of, [text, text + 1])
-        rows = np.arange(x, y)
-        for k in rows[np.isin(no[x:y], gone)]:
-            hit[start[k] - a : start[k] - a + size[k]] = 1
-    for s, e in zip(np.frombuffer(starts, "<u4").tolist(), np.frombuffer(stops, "<u4").tolist(), strict=True):
+    a = int(p.first[text])
+    hit = np.zeros(int(p.size[text]), np.int8)
+    x, y = np.searchsorted(p.line_text, [text, text + 1])
+    for k in np.arange(x, y)[np.isin(p.line_no[x:y], lines)]:
+        hit[p.line_start[k] - a : p.line_start[k] - a + p.line_size[k]] = 1
+    for s, e in covered(p.hash[a : a + len(hit)], stretches, percent):
         hit[s:e] = 1
-    x, y = np.searchsorted(p.sentence_text, [text, text + 1])
-    for k in range(x, y):  # short sentences between repeats
-        s = p.sentence_start[k] - a
-        e = s + p.sentence_size[k]
-        if e - s < SHINGLE and 0 < s and e < len(hit) and hit[s - 1] and hit[e]:
-            hit[s:e] = 1
     edge = np.flatnonzero(np.diff(hit, prepend=0, append=0))
     return [(int(s), int(e)) for s, e in zip(edge[::2], edge[1::2], strict=True) if e - s >= min_words]
 
@@ -388,24 +537,26 @@ def dedup(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                p = Paragraphs(part.column("text"))
                 texts = part.column("text").to_pylist()
-                n = np.bincount(p.text, minlength=len(texts))
+                n = np.bincount(words_of(part.column("text"))[1], minlength=len(texts))
                 spans: list[list] = [[] for _ in texts]
                 gone = [0] * len(texts)
-                for i, (ls, ss, starts, stops) in enumerate(zip(*(part.column(c).to_pylist() for c in ("__lines", "__sentences", "__starts", "__stops")), strict=True)):
-                    if (ls or ss or starts) and texts[i]:
-                        runs = removed_words(p, i, ls or [], ss or [], min_words, starts or b"", stops or b"")
-                        if runs:
-                            texts[i], spans[i] = without(texts[i], runs)
-                            gone[i] = sum(e - s for s, e in runs)
+                lines, stretches = (part.column(c).to_pylist() for c in ("__lines", "__stretches"))
+                marked = [i for i, (x, y) in enumerate(zip(lines, stretches, strict=True)) if x or y]
+                p = Paragraphs(part.column("text").take(pa.array(marked, pa.int64())))
+                for k, i in enumerate(marked):
+                    runs = removed_words(p, k, lines[i] or [], stretches[i] or [], percent, min_words)
+                    if runs:
+                        texts[i], spans[i] = without(texts[i], runs)
+                        gone[i] = sum(e - s for s, e in runs)
                 new = pa.array([[{"start": s, "stop": e} for s, e in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
                 cols = [pa.array(texts, pa.string()), *(part.column(c) for c in keep), pa.array(n.astype(np.int64)), pa.array(gone, pa.int64()), new]
                 yield pa.RecordBatch.from_arrays(cols, ["text", *keep, "n_words", "n_removed_words", "spans"])
 
-    marked = docs.join(small_side(found.withColumnsRenamed({c: f"__{c}" for c in ("lines", "sentences", "starts", "stops")}), 256), "doc_id", "left")
+    marks = small_side(found.withColumnsRenamed({c: f"__{c}" for c in found.columns}))
+    own = (docs["doc_id"].cast("long") == marks["__doc_id"]) & (F.xxhash64(docs["text"]) == marks["__row"])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [schema["text"], *(schema[c] for c in keep)])
-    return marked.select("text", *keep, "__lines", "__sentences", "__starts", "__stops").mapInArrow(run, f"{fields}, {extra}")
+    return docs.join(marks, own, "left").select("text", *keep, "__lines", "__stretches").mapInArrow(run, f"{fields}, {extra}")
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
