@@ -69,6 +69,27 @@ def small_side(df: DataFrame, bytes_per_row: int | None = None, limit: int = 16
     return F.broadcast(df) if size <= limit else df
 
 
+def picked(rows: DataFrame, wanted: DataFrame, on: list[str], limit: int = 16 << 20) -> DataFrame:
+    """Inner join of rows (with texts) with wanted (a written table, few rows a key): wanted is broadcast
+    if it is small enough; else, if its keys are, they thin out rows before the shuffle."""
+    if measured(wanted) <= limit:
+        return rows.join(F.broadcast(wanted), on)
+    if wanted.count() * 40 <= limit:
+        rows = rows.join(F.broadcast(wanted.select(*on)), on, "left_semi")
+    return rows.join(wanted, on)
+
+
+def marked_rows(rows: DataFrame, marks: DataFrame, on: str, limit: int = 16 << 20) -> DataFrame:
+    """rows left joined with marks (a written table, a row a key, columns of its own but for on): rows
+    without a mark are not shuffled unless even the keys are too many to broadcast."""
+    if measured(marks) <= limit or marks.count() * 40 > limit:
+        return rows.join(small_side(marks, limit=limit), on, "left")
+    keys = F.broadcast(marks.select(on))
+    names = [c for c in marks.columns if c != on]
+    plain = rows.join(keys, on, "left_anti").withColumns({c: F.lit(None).cast(marks.schema[c].dataType) for c in names})
+    return rows.join(keys, on, "left_semi").join(marks, on).unionByName(plain)
+
+
 def hot_join(many: DataFrame, one: DataFrame, on: list[str], counts: DataFrame, least: int = 10_000, most_keys: int = 20_000) -> DataFrame:
     """Inner join of many with one (a written table, a row a key), given the rows n of many by key.
 

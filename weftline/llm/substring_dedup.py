@@ -1,7 +1,7 @@
 """Substring dedup over paragraphs: MinHash banding, exact verification, components.
 
 Two kinds of paragraphs are looked up. Lines of five words or more get MinHash signatures of their
-5-word shingles in 8 bands of 2 rows: at similarity 0.75 a pair collides with probability 0.9987.
+5-word shingles in 6 bands of 2 rows: at similarity 0.75 a pair collides with probability 0.993.
 Pieces are cut by content, wherever a passage stands (in the middle of lines and sentences, too):
 a cut is a shingle whose hash is the least of ``REACH`` shingles in a row, a piece the words from one
 cut to the next with the shingle there. Two documents that share a run of 2 * REACH + 4 words share a
@@ -22,7 +22,8 @@ one band: its whole content.
 
 Of a document are removed: runs of ``min_words`` words or more in repeated lines and stretches. Texts
 without such a run stay as they are, byte for byte. Keys and words are compared by 64-bit hashes; a
-run of min_words never rests on one of them alone.
+run of min_words never rests on one of them alone. A repeated line is named by its doc_id, its number
+and a hash of its words.
 
 A-Z are lower-cased for comparison. Null, empty and blank texts and rows without doc_id have no
 repeats and are not searched. Rows that share a doc_id are told apart by their text and are not
@@ -42,13 +43,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import jaccard_join
-from weftline.llm.common import cut, hot_join, mix64, slices, sliding, small_side, whole, word_codes, words_of
+from weftline.llm.common import cut, hot_join, marked_rows, mix64, picked, slices, sliding, whole, word_codes, words_of
 from weftline.llm.components import components
-from weftline.llm.jaccard_join import links
+from weftline.llm.jaccard_join import KEY_BYTES, links, pack_keys, unpack_keys
 
-SHINGLE, BANDS, ROWS, PERCENT, MIN_WORDS = 5, 8, 2, 75, 30
-REACH, WINDOW = 10, 2 * SHINGLE
+SHINGLE, BANDS, ROWS, PERCENT, MIN_WORDS = 5, 6, 2, 75, 30
+REACH, WINDOW = 13, 2 * SHINGLE
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.uint64((1 << 8 * KEY_BYTES) - 1)
 _SEEDS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 _TOP = np.uint64(2**64 - 1)
 
@@ -104,6 +106,10 @@ class Paragraphs:
         start, text = at[ok], self.text[at[ok]]
         return key[ok], text, start - self.first[text], size[ok] + SHINGLE - 1
 
+    def names(self) -> np.ndarray:
+        """What tells lines of one doc_id and number apart: part of their content's hash."""
+        return self.contents(self.line_start, self.line_size).astype(np.uint32).astype(np.int64)
+
     def shingles(self) -> tuple[np.ndarray, np.ndarray]:
         """Shingle hashes inside lines, and the line of each."""
         n = len(self.gram)
@@ -144,6 +150,18 @@ def _numbers(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, "<u4" if len(data) == 4 * n else "<u2").astype(np.int64)
 
 
+def _pack_ids(ids: np.ndarray) -> bytes:
+    """The least of some ids and what the others have more, in 4 bytes each if that is enough."""
+    more = ids - ids.min()
+    return np.array([ids.min()], "<i8").tobytes() + more.astype("<u4" if 0 <= more.min() and more.max() < 1 << 32 else "<i8").tobytes()
+
+
+def _unpack_ids(data: bytes, used: int) -> np.ndarray:
+    """Ids of which one has the number used, the greatest."""
+    more = np.frombuffer(data, "<u4" if len(data) == 12 + 4 * used else "<i8", offset=8)
+    return np.frombuffer(data, "<i8", 1)[0] + more.astype(np.int64)
+
+
 class _Flush:
     """Lines and pieces of some documents; each distinct one goes out once, at its first place."""
 
@@ -174,10 +192,10 @@ class _Flush:
     def _lines(self, x, flush):
         """Packed band keys of lines (content: a hash of their words) by bucket."""
         doc = x["line_doc"]
-        order = np.lexsort((x["line_no"], x["rows"][doc], x["ids"][doc], x["content"]))
+        order = np.lexsort((x["line_no"], x["ids"][doc], x["content"]))
         content = x["content"][order]
         at = order[np.append(True, content[1:] != content[:-1])[: len(order)]]
-        keys, line = x["bands"][at].ravel(), np.repeat(at, BANDS)
+        keys, line = x["bands"][at].ravel() & _MASK, np.repeat(at, BANDS)
         of = (keys % np.uint64(self.line_buckets)).astype(np.int64)
         order = np.argsort(of, kind="stable")
         cuts = np.flatnonzero(np.diff(of[order], prepend=-1, append=-1))
@@ -185,7 +203,7 @@ class _Flush:
             r = order[a:b]
             who, where = x["line_doc"][line[r]], x["line_no"][line[r]]
             used, local = np.unique(who, return_inverse=True)
-            yield _LINES, int(of[r[0]]), flush, keys[r].astype("<u8").tobytes(), local.astype(_least(len(used))).tobytes(), where.astype(_least(int(where.max()))).tobytes(), x["content"][line[r]].astype("<u8").tobytes(), x["ids"][used].astype("<i8").tobytes(), x["rows"][used].astype("<i8").tobytes()
+            yield _LINES, int(of[r[0]]), flush, pack_keys(keys[r]), local.astype(_least(len(used))).tobytes(), where.astype(_least(int(where.max()))).tobytes(), x["content"][line[r]].astype("<u4").tobytes(), _pack_ids(x["ids"][used]), None
 
     def _pieces(self, x, flush):
         """Packed distinct keys of pieces by bucket, at their first place; and, to read the answers by,
@@ -193,7 +211,7 @@ class _Flush:
         their number and the first word)."""
         key, doc, start = x["key"], x["doc"], x["start"]
         bucket = (key % np.uint64(self.piece_buckets)).astype(np.int64)
-        order = np.lexsort((start, x["rows"][doc], x["ids"][doc], key, bucket))
+        order = np.lexsort((start, x["ids"][doc], key, bucket))
         k = key[order]
         new = np.append(True, k[1:] != k[:-1])[: len(k)]
         rank = np.empty(len(k), np.int64)
@@ -203,7 +221,7 @@ class _Flush:
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             r = at[a:b]
             used, local = np.unique(doc[r], return_inverse=True)
-            yield _PIECES, int(bucket[r[0]]), flush, key[r].astype("<u8").tobytes(), local.astype(_least(len(used))).tobytes(), start[r].astype(_least(int(start[r].max()))).tobytes(), np.array([a], "<u4").tobytes(), x["ids"][used].astype("<i8").tobytes(), x["rows"][used].astype("<i8").tobytes()
+            yield _PIECES, int(bucket[r[0]]), flush, key[r].astype("<u8").tobytes(), local.astype(_least(len(used))).tobytes(), start[r].astype(_least(int(start[r].max()))).tobytes(), np.array([a], "<u4").tobytes(), _pack_ids(x["ids"][used]), None
         n = np.bincount(doc, minlength=len(x["ids"]))
         first = np.zeros(len(n), np.int64)
         first[n > 0] = start[(np.cumsum(n) - n)[n > 0]]
@@ -211,7 +229,7 @@ class _Flush:
         yield _OWN, flush, flush, rank.astype("<u4").tobytes(), n[some].astype("<u4").tobytes(), x["words"].astype("u1").tobytes(), first[some].astype("<u4").tobytes(), x["ids"][some].astype("<i8").tobytes(), x["rows"][some].astype("<i8").tobytes()
 
 
-def _scan(rows: DataFrame, line_buckets: int, piece_buckets: int, keys_per_flush: int = 1_000_000) -> DataFrame:
+def _scan(rows: DataFrame, line_buckets: int, piece_buckets: int, keys_per_flush: int = 300_000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -229,17 +247,13 @@ def _scan(rows: DataFrame, line_buckets: int, piece_buckets: int, keys_per_flush
     return rows.mapInArrow(run, _BLOBS)
 
 
-_PAIRS = "many boolean, doc_id long, row long, unit int, node long, other_doc long, other_row long, other_unit int, other_node long"
+_PAIRS = "many boolean, doc_id long, unit int, content long, other_doc long, other_unit int, other_content long"
 
 
-def _owners(t: pa.Table, n: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """doc_id and row of each key of blobs with n keys."""
-    doc, row = [], []
-    for place, ids, rows, m in zip(*(t[c].to_pylist() for c in ("place", "ids", "rows")), n, strict=True):
-        local = _numbers(place, m)
-        doc.append(np.frombuffer(ids, "<i8")[local])
-        row.append(np.frombuffer(rows, "<i8")[local])
-    return np.concatenate(doc), np.concatenate(row)
+def _owners(t: pa.Table, n: list[int]) -> np.ndarray:
+    """doc_id of each key of blobs with n keys."""
+    places = [_numbers(place, m) for place, m in zip(t["place"].to_pylist(), n, strict=True)]
+    return np.concatenate([_unpack_ids(ids, int(p.max()))[p] for ids, p in zip(t["ids"].to_pylist(), places, strict=True)])
 
 
 def _line_pairs(scan: DataFrame, few: int = 8) -> DataFrame:
@@ -247,12 +261,12 @@ def _line_pairs(scan: DataFrame, few: int = 8) -> DataFrame:
     lines once each (many), without a partner, of keys of more than few contents."""
 
     def run(t: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x, "<u8") for x in t["keys"].to_pylist()])
-        n = [len(x) // 8 for x in t["keys"].to_pylist()]
-        doc, row = _owners(t, n)
+        keys = np.concatenate([unpack_keys(x) for x in t["keys"].to_pylist()])
+        n = [len(x) // KEY_BYTES for x in t["keys"].to_pylist()]
+        doc = _owners(t, n)
         unit = np.concatenate([_numbers(x, m) for x, m in zip(t["unit"].to_pylist(), n, strict=True)])
-        content = np.concatenate([np.frombuffer(x, "<u8") for x in t["content"].to_pylist()])
-        order = np.lexsort((unit, row, doc, content, keys))
+        content = np.concatenate([np.frombuffer(x, "<u4") for x in t["content"].to_pylist()]).astype(np.int64)
+        order = np.lexsort((unit, doc, content, keys))
         k, c = keys[order], content[order]
         lead = order[np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))]  # first place of each content of a key
         k = keys[lead]
@@ -269,10 +283,10 @@ def _line_pairs(scan: DataFrame, few: int = 8) -> DataFrame:
         s, d = lead[np.concatenate(src)], lead[np.concatenate(dst)]
         many = np.repeat([False, True], [len(s), len(lone)])
         s, d = np.append(s, lone), np.append(d, lone)
-        cols = [many, *(v[i].astype(np.uint64).view(np.int64).astype(w) for i in (s, d) for v, w in ((doc, np.int64), (row, np.int64), (unit, np.int32), (content, np.int64)))]
+        cols = [many, *(v[i].astype(w) for i in (s, d) for v, w in ((doc, np.int64), (unit, np.int32), (content, np.int64)))]
         return pa.table([pa.array(v) for v in cols], [f.split()[0] for f in _PAIRS.split(", ")])
 
-    return scan.filter(F.col("kind") == _LINES).select("bucket", "keys", "place", "unit", "content", "ids", "rows").groupBy("bucket").applyInArrow(run, _PAIRS)
+    return scan.filter(F.col("kind") == _LINES).select("bucket", "keys", "place", "unit", "content", "ids").groupBy("bucket").applyInArrow(run, _PAIRS)
 
 
 def _answers(scan: DataFrame) -> DataFrame:
@@ -281,11 +295,11 @@ def _answers(scan: DataFrame) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         n = [len(x) // 8 for x in t["keys"].to_pylist()]
         keys = np.concatenate([np.frombuffer(x, "<u8") for x in t["keys"].to_pylist()])
-        doc, row = _owners(t, n)
+        doc = _owners(t, n)
         start = np.concatenate([_numbers(x, m) for x, m in zip(t["unit"].to_pylist(), n, strict=True)])
         rank = np.concatenate([np.arange(m) + np.frombuffer(x, "<u4")[0] for x, m in zip(t["content"].to_pylist(), n, strict=True)])
         flush = np.repeat(np.array(t["flush"].to_pylist(), np.int64), n)
-        order = np.lexsort((start, row, doc, keys))
+        order = np.lexsort((start, doc, keys))
         k = keys[order]
         new = np.append(True, k[1:] != k[:-1])
         first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
@@ -297,14 +311,14 @@ def _answers(scan: DataFrame) -> DataFrame:
         out = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             f = first[a:b]
-            out.append((int(flush[at[a]]), *(v.tobytes() for v in (rank[at[a:b]].astype("<u4"), doc[f].astype("<i8"), row[f].astype("<i8"), start[f].astype("<u4")))))
-        return pa.table([pa.array([x[i] for x in out], w) for i, w in enumerate((pa.int64(), *[pa.binary()] * 4))], ["flush", "rank", "docs", "of", "starts"])
+            out.append((int(flush[at[a]]), *(v.tobytes() for v in (rank[at[a:b]].astype("<u4"), doc[f].astype("<i8"), start[f].astype("<u4")))))
+        return pa.table([pa.array([x[i] for x in out], w) for i, w in enumerate((pa.int64(), *[pa.binary()] * 3))], ["flush", "rank", "docs", "starts"])
 
-    keys = scan.filter(F.col("kind") == _PIECES).select("bucket", "flush", "keys", "place", "unit", "content", "ids", "rows")
-    return keys.groupBy("bucket").applyInArrow(run, "flush long, rank binary, docs binary, of binary, starts binary")
+    keys = scan.filter(F.col("kind") == _PIECES).select("bucket", "flush", "keys", "place", "unit", "content", "ids")
+    return keys.groupBy("bucket").applyInArrow(run, "flush long, rank binary, docs binary, starts binary")
 
 
-_STRETCHES = "doc_id long, row long, start int, stop int, other_doc long, other_row long, other_start int, other_stop int"
+_STRETCHES = "doc_id long, row long, start int, stop int, other_doc long, other_start int, other_stop int"
 
 
 def _stretches(scan: DataFrame, min_words: int) -> DataFrame:
@@ -323,17 +337,17 @@ def _stretches(scan: DataFrame, min_words: int) -> DataFrame:
         steps = np.cumsum(words - (SHINGLE - 1)) - (words - (SHINGLE - 1))
         start = steps + np.repeat(first - steps[np.cumsum(n) - n], n)
         doc, row = ids[text], rows[text]
-        order = np.lexsort((start, row, doc, rank))
+        order = np.lexsort((start, doc, rank))
         r = rank[order]
         lead = order[np.append(True, r[1:] != r[:-1])[: len(r)]]  # ranks are 0, 1, ...
-        least, of, at = doc[lead], row[lead], start[lead]
-        for answers in zip(*(found[c].to_pylist() for c in ("rank", "docs", "of", "starts")), strict=True):
+        least, at = doc[lead], start[lead]
+        for answers in zip(*(found[c].to_pylist() for c in ("rank", "docs", "starts")), strict=True):
             i = np.frombuffer(answers[0], "<u4")
-            least[i], of[i], at[i] = (np.frombuffer(x, w) for x, w in zip(answers[1:], ("<i8", "<i8", "<u4"), strict=True))
-        other, other_row, other_start = least[rank], of[rank], at[rank]
+            least[i], at[i] = (np.frombuffer(x, w) for x, w in zip(answers[1:], ("<i8", "<u4"), strict=True))
+        other, other_start = least[rank], at[rank]
         hit = np.flatnonzero(other < doc)
         prev = hit[:-1]
-        follows = (hit[1:] == prev + 1) & (text[hit[1:]] == text[prev]) & (other[hit[1:]] == other[prev]) & (other_row[hit[1:]] == other_row[prev]) & (other_start[hit[1:]] - other_start[prev] == start[hit[1:]] - start[prev])
+        follows = (hit[1:] == prev + 1) & (text[hit[1:]] == text[prev]) & (other[hit[1:]] == other[prev]) & (other_start[hit[1:]] - other_start[prev] == start[hit[1:]] - start[prev])
         a = np.flatnonzero(np.append(True, ~follows)[: len(hit)])
         b = hit[np.append(a[1:], len(hit)) - 1] if len(hit) else hit
         a = hit[a]
@@ -344,7 +358,7 @@ def _stretches(scan: DataFrame, min_words: int) -> DataFrame:
         high = np.maximum.reduceat(stop, np.flatnonzero(far)) if len(a) else stop
         keep = (high - low + 2 * REACH >= min_words)[zone] if len(a) else np.zeros(0, bool)
         a, stop = a[keep], stop[keep]
-        cols = [doc[a], row[a], start[a], stop, other[a], other_row[a], other_start[a], other_start[a] + stop - start[a]]
+        cols = [doc[a], row[a], start[a], stop, other[a], other_start[a], other_start[a] + stop - start[a]]
         return pa.table([pa.array(v.astype(np.int32 if "st" in c else np.int64)) for v, c in zip(cols, names, strict=True)], names)
 
     own = scan.filter(F.col("kind") == _OWN).select("flush", "keys", "place", "unit", "content", "ids", "rows")
@@ -352,29 +366,29 @@ def _stretches(scan: DataFrame, min_words: int) -> DataFrame:
 
 
 def _beside(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """The words (hashes) before and behind the places (doc_id, row, start, stop) in their documents."""
+    """The words (hashes) before and behind the places in their documents; once each for rows of one doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 p, out = Paragraphs(part.column("text")), []
-                for i, (d, r, places) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "row", "places")), strict=True)):
+                for i, (d, places) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "places")), strict=True)):
                     own = p.hash[p.first[i] : p.first[i] + p.size[i]]
-                    out += [(d, r, x["start"], x["stop"], own[max(0, x["start"] - REACH) : x["start"]].tobytes(), own[x["stop"] : x["stop"] + REACH].tobytes()) for x in places]
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], w) for k, w in enumerate(kinds)], ["other_doc", "other_row", "other_start", "other_stop", "before", "behind"])
+                    out += [(d, x["start"], x["stop"], own[max(0, x["start"] - REACH) : x["start"]].tobytes(), own[x["stop"] : x["stop"] + REACH].tobytes()) for x in places]
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], w) for k, w in enumerate(kinds)], ["other_doc", "other_start", "other_stop", "before", "behind"])
 
-    wanted = cut(places.groupBy(F.col("other_doc").alias("doc_id"), F.col("other_row").alias("row")).agg(F.collect_list(F.struct(F.col("other_start").alias("start"), F.col("other_stop").alias("stop"))).alias("places")))
-    texts = rows.join(small_side(wanted), ["doc_id", "row"]).select("doc_id", "row", "text", "places")
-    return texts.mapInArrow(run, "other_doc long, other_row long, other_start int, other_stop int, before binary, behind binary").dropDuplicates(["other_doc", "other_row", "other_start", "other_stop"])
+    wanted = cut(places.groupBy(F.col("other_doc").alias("doc_id")).agg(F.collect_list(F.struct(F.col("other_start").alias("start"), F.col("other_stop").alias("stop"))).alias("places")))
+    texts = picked(rows, wanted, ["doc_id"]).select("doc_id", "text", "places")
+    return texts.mapInArrow(run, "other_doc long, other_start int, other_stop int, before binary, behind binary").distinct()
 
 
 def _grown(rows: DataFrame, stretches: DataFrame) -> DataFrame:
-    """doc_id, row, and the stretches of the document with the words beside their first places."""
-    place = ["other_doc", "other_row", "other_start", "other_stop"]
+    """doc_id, and the stretches of its rows with the words beside their first places."""
+    place = ["other_doc", "other_start", "other_stop"]
     places = cut(stretches.groupBy(*place).agg(F.count(F.lit(1)).alias("n")))
     joined = hot_join(stretches, cut(_beside(rows, places)), place, places)
-    return joined.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "stop", "other_doc", "other_row", "before", "behind")).alias("stretches"))
+    return joined.groupBy("doc_id").agg(F.collect_list(F.struct("row", "start", "stop", "other_doc", "before", "behind")).alias("stretches"))
 
 
 def filled(start: np.ndarray, stop: np.ndarray, percent: int) -> np.ndarray:
@@ -395,7 +409,7 @@ def filled(start: np.ndarray, stop: np.ndarray, percent: int) -> np.ndarray:
 
 def covered(words: np.ndarray, stretches: list[dict], percent: int) -> list[tuple[int, int]]:
     """First and end word of what the stretches of a text (hashes of its words) cover, grown and filled."""
-    by_other: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    by_other: dict[int, list[tuple[int, int]]] = {}
     for x in stretches:
         start, stop = x["start"], x["stop"]
         before, behind = np.frombuffer(x["before"], "<u8"), np.frombuffer(x["behind"], "<u8")
@@ -407,7 +421,7 @@ def covered(words: np.ndarray, stretches: list[dict], percent: int) -> list[tupl
         if m:
             same = words[stop : stop + m] == behind[:m]
             stop += m if same.all() else int(np.argmin(same))
-        by_other.setdefault((x["other_doc"], x["other_row"]), []).append((start, stop))
+        by_other.setdefault(x["other_doc"], []).append((start, stop))
     out = []
     for spans in by_other.values():
         if len(spans) > 1:
@@ -422,24 +436,25 @@ def covered(words: np.ndarray, stretches: list[dict], percent: int) -> list[tupl
 
 
 def _line_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, tokens: shingle sets of the lines wanted (doc_id, row, lines of unit and node)."""
+    """node, tokens: shingle sets of the lines wanted (doc_id, lines of unit, content and node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 p = Paragraphs(part.column("text"))
-                nodes = [{x["unit"]: x["node"] for x in v} for v in part.column("lines").to_pylist()]
+                nodes = [{(x["unit"], x["content"]): x["node"] for x in v} for v in part.column("lines").to_pylist()]
                 key, of = p.shingles()
                 start = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
                 ends = np.append(start[1:], len(of))
-                out = [(nodes[t][u], np.unique(key[a:b]).tobytes()) for a, b, t, u in zip(start, ends, p.line_text[of[start]].tolist(), p.line_no[of[start]].tolist(), strict=True) if u in nodes[t]]
+                text, name = p.line_text[of[start]].tolist(), zip(p.line_no[of[start]].tolist(), p.names()[of[start]].tolist(), strict=True)
+                out = [(nodes[t][u], np.unique(key[a:b]).tobytes()) for a, b, t, u in zip(start, ends, text, name, strict=True) if u in nodes[t]]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["node", "tokens"])
 
-    return rows.join(small_side(wanted), ["doc_id", "row"]).select("text", "lines").mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
+    return picked(rows, wanted, ["doc_id"]).select("text", "lines").mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
 
 
 def _by_document(lines: DataFrame) -> DataFrame:
-    return cut(lines.groupBy("doc_id", "row").agg(F.collect_list(F.struct("unit", "node")).alias("lines")))
+    return cut(lines.groupBy("doc_id").agg(F.collect_list(F.struct("unit", "content", "node")).alias("lines")))
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
@@ -458,57 +473,62 @@ def _verified(rows: DataFrame, pairs: DataFrame, ends: DataFrame, percent: int)
 
 
 def _line_texts(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc_id (the line's node) and text of lines (doc_id, row, unit, node)."""
+    """doc_id (the line's node) and text of lines (doc_id, unit, content, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
+                p = Paragraphs(part.column("text"))
+                have = set(zip(p.line_text.tolist(), p.line_no.tolist(), p.names().tolist(), strict=True))
                 nodes, texts = [], []
-                for text, wanted in zip(part.column("text").to_pylist(), part.column("lines").to_pylist(), strict=True):
+                for i, (text, wanted) in enumerate(zip(part.column("text").to_pylist(), part.column("lines").to_pylist(), strict=True)):
                     split = text.split("\n")
+                    wanted = [x for x in wanted if (i, x["unit"], x["content"]) in have]
                     nodes += [x["node"] for x in wanted]
                     texts += [split[x["unit"]] for x in wanted]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    texts = rows.join(small_side(_by_document(lines)), ["doc_id", "row"])
+    texts = picked(rows, _by_document(lines), ["doc_id"])
     return cut(texts.select("text", "lines").mapInArrow(run, "doc_id long, text string").dropDuplicates(["doc_id"]))
 
 
 def _repeated_lines(rows: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """doc_id, row, lines: the numbers of lines that are similar to one of a smaller doc_id."""
-    pairs = cut(found.filter("not many").drop("many").distinct())
-    first = ["doc_id", "row", "unit", "node"]
-    ends = cut(pairs.select(*first).union(pairs.select("other_doc", "other_row", "other_unit", "other_node")).distinct())
+    """doc_id, lines: the lines (unit, content) that are similar to one of a smaller doc_id."""
+    first = ["doc_id", "unit", "content"]
+    node = lambda *c: F.xxhash64(*c)
+    pairs = cut(found.filter("not many").drop("many").distinct().withColumns({"node": node(*first), "other_node": node("other_doc", "other_unit", "other_content")}))
+    ends = cut(pairs.select(*first, "node").union(pairs.select("other_doc", "other_unit", "other_content", "other_node")).distinct())
     edges = cut(_verified(rows, pairs.select(F.col("node").alias("src"), F.col("other_node").alias("dst")), ends, percent))
-    many = cut(found.filter("many").select(*first).distinct())
+    many = cut(found.filter("many").select(*first).distinct().withColumn("node", node(*first)))
     if not many.isEmpty():
         joined = jaccard_join.join(_line_texts(rows, many), percent).filter("component_id <> doc_id")
         edges, ends = edges.union(joined.select("doc_id", "component_id")), ends.union(many).distinct()
     placed = cut(ends.join(components(edges), "node"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "component").filter("doc_id > least").groupBy("doc_id", "row").agg(F.collect_set("unit").alias("lines"))
+    return placed.join(least, "component").filter("doc_id > least").groupBy("doc_id").agg(F.collect_set(F.struct("unit", "content")).alias("lines"))
 
 
 def repeats(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, keys_per_bucket: int = 400_000) -> DataFrame:
-    """doc_id, row, lines (numbers of repeated lines), stretches (of words, with what is beside them at
-    their first place) of the documents that have any."""
+    """doc_id, lines (number and content of repeated ones), stretches (of words of a row, with what is
+    beside them at their first place) of the documents that have any."""
     rows = _rows_of(docs)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    # a line of 300 bytes has 8 keys, a piece is 30 bytes or so
-    scan = cut(_scan(rows, max(8, round(size / 40 / keys_per_bucket)), max(8, round(size / 30 / keys_per_bucket))))
+    # a line of 200 bytes has 6 keys, a piece is 40 bytes or so
+    scan = cut(_scan(rows, max(8, round(size / 36 / keys_per_bucket)), max(8, round(size / 40 / keys_per_bucket))))
     lines = _repeated_lines(rows, cut(_line_pairs(scan)), percent)
-    return lines.join(_grown(rows, cut(_stretches(scan, min_words))), ["doc_id", "row"], "full")
+    return lines.join(_grown(rows, cut(_stretches(scan, min_words))), "doc_id", "full")
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def removed_words(p: Paragraphs, text: int, lines: list[int], stretches: list[dict], percent: int, min_words: int) -> list[tuple[int, int]]:
+def removed_words(p: Paragraphs, names: np.ndarray, text: int, lines: list[dict], stretches: list[dict], percent: int, min_words: int) -> list[tuple[int, int]]:
     """Runs (first word, end) of one text to remove."""
     a = int(p.first[text])
     hit = np.zeros(int(p.size[text]), np.int8)
     x, y = np.searchsorted(p.line_text, [text, text + 1])
-    for k in np.arange(x, y)[np.isin(p.line_no[x:y], lines)]:
+    wanted = {(line["unit"], line["content"]) for line in lines}
+    for k in (k for k in range(x, y) if (int(p.line_no[k]), int(names[k])) in wanted) if wanted else ():
         hit[p.line_start[k] - a : p.line_start[k] - a + p.line_size[k]] = 1
     for s, e in covered(p.hash[a : a + len(hit)], stretches, percent):
         hit[s:e] = 1
@@ -541,11 +561,13 @@ def dedup(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -
                 n = np.bincount(words_of(part.column("text"))[1], minlength=len(texts))
                 spans: list[list] = [[] for _ in texts]
                 gone = [0] * len(texts)
-                lines, stretches = (part.column(c).to_pylist() for c in ("__lines", "__stretches"))
+                lines, stretches, row = (part.column(c).to_pylist() for c in ("__lines", "__stretches", "__row"))
                 marked = [i for i, (x, y) in enumerate(zip(lines, stretches, strict=True)) if x or y]
                 p = Paragraphs(part.column("text").take(pa.array(marked, pa.int64())))
+                names = p.names()
                 for k, i in enumerate(marked):
-                    runs = removed_words(p, k, lines[i] or [], stretches[i] or [], percent, min_words)
+                    own = [x for x in stretches[i] or () if x["row"] == row[i]]
+                    runs = removed_words(p, names, k, lines[i] or [], own, percent, min_words)
                     if runs:
                         texts[i], spans[i] = without(texts[i], runs)
                         gone[i] = sum(e - s for s, e in runs)
@@ -553,10 +575,10 @@ def dedup(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -
                 cols = [pa.array(texts, pa.string()), *(part.column(c) for c in keep), pa.array(n.astype(np.int64)), pa.array(gone, pa.int64()), new]
                 yield pa.RecordBatch.from_arrays(cols, ["text", *keep, "n_words", "n_removed_words", "spans"])
 
-    marks = small_side(found.withColumnsRenamed({c: f"__{c}" for c in found.columns}))
-    own = (docs["doc_id"].cast("long") == marks["__doc_id"]) & (F.xxhash64(docs["text"]) == marks["__row"])
+    marks = found.withColumnsRenamed({c: f"__{c}" for c in found.columns})
+    rows = docs.withColumns({"__doc_id": F.col("doc_id").cast("long"), "__row": F.xxhash64("text")})
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [schema["text"], *(schema[c] for c in keep)])
-    return docs.join(marks, own, "left").select("text", *keep, "__lines", "__stretches").mapInArrow(run, f"{fields}, {extra}")
+    return marked_rows(rows, marks, "__doc_id").select("text", *keep, "__row", "__lines", "__stretches").mapInArrow(run, f"{fields}, {extra}")
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
