@@ -345,13 +345,22 @@ def _opened(sets: DataFrame, groups: DataFrame, buckets: int, percent: int, bloc
         ids, toks = members["doc_id"].to_pylist(), [np.frombuffer(x, np.uint64) for x in members["tokens"].to_pylist()]
         grp = members["grp"].to_pylist()
         src, dst = [], []
+        parent: dict[int, int] = {}
+
+        def root(g: int) -> int:
+            while parent.setdefault(g, g) != g:
+                parent[g] = parent[parent[g]]
+                g = parent[g]
+            return g
+
         for d, n, g, x in zip(*(asking[c].to_pylist() for c in ("doc_id", "n", "grp", "tokens")), strict=True):
-            x, joined = np.frombuffer(x, np.uint64), {g}
+            x = np.frombuffer(x, np.uint64)
             for j in range(*np.searchsorted(size, [-(-percent * n // 100), 100 * n // percent + 1])):
-                if grp[j] not in joined and links(x, toks[j], percent):  # one link joins the set to a component
+                a, b = root(g), root(grp[j])
+                if a != b and links(x, toks[j], percent):  # groups joined already need no further link
                     src.append(d)
                     dst.append(ids[j])
-                    joined.add(grp[j])
+                    parent[max(a, b)] = min(a, b)
         return pa.table([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
     t = F.ceil(F.col("n") * percent / 100).cast("long")
