@@ -414,3 +414,70 @@ def test_hot_join(spark):
     counts = cut(many.groupBy("k").agg(F.count(F.lit(1)).alias("n")))
     got = hot_join(many, one, ["k"], counts, least=10, most_keys=5)
     assert sorted(map(tuple, got.select("id", "v").collect())) == sorted(map(tuple, many.join(one, "k").select("id", "v").collect()))
+
+
+def test_packing_encoder_on_every_character():
+    """The word encoder gives the library's ids for every character of its range, wherever it stands."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, enc = Tokenizer.from_file(path), packing.WordEncoder(path)
+    texts = [t for c in map(chr, [9, 10, 13, *range(0x20, 0x7F), *range(0xA0, 0x260)]) for t in (c, f"a{c}", f"{c}a", f"a{c}b", f"1{c}", f"{c}1", f"A{c}!", f"é{c}{c} {c}", f"'{c}s", f"!{c}?")]
+    got = enc.encode(texts)
+    assert [x.tolist() for x in got] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_language_id_letters(spark):
+    rows = [(1, "½ ² Ⅷ 12 !"), (2, "ª"), (3, None), (4, "́")]
+    model = language_id.train([(b"abc abc abc", "x"), (b"xyz xyz xyz", "y")], steps=5)
+    got = by_id(language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), model))
+    assert [got[k].lang_pred == "und" for k in (1, 2, 3, 4)] == [True, False, True, True]
+    long = bytes(range(65, 91)) * 500
+    assert len(language_id.drawn(long, 24, 1)) == 24 * language_id.WINDOW and language_id.drawn(b"ab", 24, 1) == b"ab"
+
+
+def test_bounded_sample(spark):
+    from weftline.llm.common import bounded_sample
+
+    docs = spark.createDataFrame([(k, "x" * (100 if k % 2 else 5000)) for k in range(40)] + [(3, "b"), (None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 8)) for k in range(40)] + [(9, 1), (None, 1), (50, 1), (10, 7)], "doc_id long, toxic int")
+    rows = bounded_sample(labels, docs, "toxic", 6, 1000).collect()
+    assert len(rows) == 12 and len({r.doc_id for r in rows}) == 12 and 9 not in {r.doc_id for r in rows}
+    assert {r.doc_id for r in rows if r.toxic} >= {1, 3, 5, 7} and all(r.doc_id % 2 for r in rows if not r.toxic)
+    assert [r.text for r in rows if r.doc_id == 3] == ["b"]
+
+
+def test_sentence_pieces_strings_of_other_pieces(tmp_path):
+    model = sentence_pieces.Model([("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("▁", -3.0, 1), ("a", -3.0, 1), ("<", -3.0, 1), ("s", -3.0, 1), (">", -3.0, 1)])
+    assert sentence_pieces.build(model).encode("a<s>").tokens == ["▁", "a", "<", "s", ">"]
+    with pytest.raises(ValueError):
+        sentence_pieces.build(sentence_pieces.Model([("<unk>", 0.0, 2), ("<sep>", 0.0, 4)], kind=2))
+
+
+def test_empty_tables(spark, docs):
+    none = docs.limit(0)
+    labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    net, forest, model = toxicity.fit(none, labels), quality.fit(none, labels), language_id.fit(none)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    made = [toxicity.score(none, net), quality.judge(none, forest), language_id.identify(none, model), token_counts.count_tokens(none, path), packing.pack_digests(none, public_tokenizers.path("word_bpe_49k.json")), sentence_pieces.encode(none, public_tokenizers.path("piece_bpe_32k.model"))]
+    assert [d.count() for d in made] == [0] * 6
+    assert len(toxicity.score(docs, net).collect()) == len(ROWS) and {r.lang_pred for r in language_id.identify(docs, model).collect()} == {"und"}
+
+
+def test_pipeline_stages_on_odd_rows(spark, monkeypatch):
+    """Each filtering stage keeps whole rows, by their own text; nulls, repeats and empty tables are defined."""
+    import corpus_pipeline
+
+    model = language_id.train([(b"abcd " * 40, "x"), (b"wxyz " * 40, "y")], steps=60)
+    monkeypatch.setattr(corpus_pipeline.language_id, "fit", lambda *a, **k: model)
+    rows = [(1, "abcd abcd", "x", "s", 9), (None, "abcd", None, None, None), (2, "", "x", "s", 0), (3, None, "x", "s", 0), (1, "wxyz wxyz", "y", "s", 9), (4, "123", None, "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.language(spark, docs, SF)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r.text in ("abcd abcd", "abcd", "wxyz wxyz"))
+    long, lead = (" ".join(f"{t}{i}" for i in range(n)) for t, n in (("w", 50), ("lead", 20)))
+    rows = [(5, long, "x", "s", 1), (6, long + " end", "x", "s", 1), (7, "other text here", "x", "s", 1), (7, "other text here", "x", "s", 1), (None, long, "x", "s", 1), (8, None, "x", "s", 1)]
+    docs = spark.createDataFrame(rows, docs.schema)
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.near_copies(spark, docs, SF).collect()) == ["5", "7", "8", "None"]
+    docs = spark.createDataFrame([(5, long, "x", "s", 1), (6, long, "x", "s", 1), (7, lead + " " + long, "x", "s", 1), (None, long, "x", "s", 1)], docs.schema)
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.repeated_passages(spark, docs, SF).collect()}
+    assert got == {5: (long, 1), 7: (lead, len(lead)), None: (long, 1)}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a folder of our own only where none is named (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="weftline-ckpt-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -114,6 +117,36 @@ def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+def kept_rows(docs: DataFrame, keep) -> DataFrame:
+    """The rows of docs, with all columns, for whose texts keep (text column -> booleans) says so; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                yield part.filter(keep(part.column("text")))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def bounded_sample(labels: DataFrame, docs: DataFrame, label: str, per_class: int, max_bytes: int = 64_000) -> DataFrame:
+    """doc_id, label and text of at most per_class documents with each label (0 or 1), by hash of doc_id.
+
+    A doc_id whose labels contradict each other is left out; of rows that share a doc_id the least text
+    is taken. Documents of more than max_bytes are taken, whole, only where there are too few others.
+    """
+    own = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias(label), F.max(label).alias("other"))
+    own = own.filter(F.col(label) == F.col("other")).drop("other")
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    size = texts.select("doc_id", F.octet_length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
+    known = own.join(size, "doc_id")
+    order = [F.col("n") > max_bytes, F.xxhash64("doc_id"), F.col("doc_id")]
+    picked = None
+    for k in (0, 1):  # a limit after an order keeps per_class rows a task; a window would move all of a label to one
+        one = known.filter(F.col(label) == k).orderBy(*order).limit(per_class).select("doc_id", label)
+        picked = one if picked is None else picked.union(one)
+    return texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text"))
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -6,26 +6,28 @@ probabilities are the means over its bytes. A text that is null or has no letter
 score 1.0. Without any labelled text every document gets ``und`` with score 0.0. Equal texts get
 equal results; ties go to the first language in alphabetical order. Extra columns are not carried.
 
-The training sample is bounded: at most ``per_lang`` documents of each of the ``max_langs`` most
-frequent languages, those with the smallest hash of doc_id. Every document is scored.
+The training sample is bounded: at most ``per_lang`` documents of each language, those with the
+smallest hash of doc_id, and of each at most ``per_text`` windows, drawn over its whole text. Letters
+are the characters of Unicode's category L. Every document is scored.
 """
 
 from __future__ import annotations
 
-import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import gru
-from weftline.llm.common import crc_mod, slices, text_or_empty
+from weftline.llm.common import crc_mod, kept_rows, slices, text_or_empty
 
 WINDOW = 64
 BATCH = 4096
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def windows(data: np.ndarray, length: int) -> np.ndarray:
@@ -119,20 +121,60 @@ def train(samples: list[tuple[bytes, str]], hidden: int = 8, steps: int = 220, b
     return model
 
 
-def training_sample(docs: DataFrame, per_lang: int, max_langs: int, max_chars: int) -> list[tuple[bytes, str]]:
-    """Bounded by per_lang * max_langs documents of max_chars characters each."""
+def drawn(text: bytes, per_text: int, seed: int) -> bytes:
+    """At most per_text windows of a text, drawn over the whole of it; shorter texts as they are."""
+    n = len(text) // WINDOW
+    if n <= per_text:
+        return text
+    at = np.sort(np.random.default_rng(seed).choice(n, per_text, replace=False))
+    return np.frombuffer(text, np.uint8)[: n * WINDOW].reshape(n, WINDOW)[at].tobytes()
+
+
+def training_sample(docs: DataFrame, per_lang: int, per_text: int) -> list[tuple[bytes, str]]:
+    """At most per_lang documents of each language and per_text windows of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [drawn(t.encode(), per_text, zlib.crc32(t.encode())) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(data, pa.binary())], ["lang", "data"])
+
     rows = docs.filter(F.col("lang").isNotNull() & (crc_mod("doc_id", 4) != 2) & F.col("text").isNotNull())
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    if not langs:
-        return []
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id")), "doc_id")
-    ids = rows.filter(F.col("lang").isin(langs)).select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_lang).select("doc_id").distinct()
-    picked = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", F.substring("text", 1, max_chars).alias("text"))
-    return [(r.text.encode(), r.lang) for r in picked.orderBy("doc_id", "lang", "text").collect() if r.lang in langs]
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "t")
+    hashes = rows.select("doc_id", "lang", F.xxhash64(F.col("doc_id")).alias("h"), F.xxhash64("text").alias("t"))
+    ids = hashes.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_lang).select("doc_id", "lang", "t")
+    # (doc_id, lang, text) once each: repeated rows do not make the sample larger
+    texts = rows.withColumn("t", F.xxhash64("text")).join(F.broadcast(ids.distinct()), ["doc_id", "lang", "t"], "left_semi")
+    picked = texts.select("lang", "text").mapInArrow(run, "lang string, data binary").groupBy("lang", "data").count()
+    return sorted((bytes(r.data), r.lang) for r in picked.collect())
+
+
+def fit(docs: DataFrame, per_lang: int = 200, per_text: int = 24, **how) -> ByteTagger:
+    return train(training_sample(docs, per_lang, per_text), **how)
+
+
+def keep_known(docs: DataFrame, model: ByteTagger, least: float) -> DataFrame:
+    """The rows of docs, as they are, that have a letter and whose language is known with a score of least or more."""
+
+    def known(texts: pa.Array) -> pa.Array:
+        lang, score = judged(model, texts)
+        return pa.array([p != "und" and s >= least for p, s in zip(lang, score, strict=True)], pa.bool_())
+
+    return kept_rows(docs, known)
 
 
-def fit(docs: DataFrame, per_lang: int = 200, max_langs: int = 64, max_chars: int = 1500, **how) -> ByteTagger:
-    return train(training_sample(docs, per_lang, max_langs, max_chars), **how)
+def judged(model: ByteTagger, column: pa.Array) -> tuple[list[str], list[float]]:
+    """Language and score of each text."""
+    texts = [t or "" for t in column.to_pylist()]
+    lang, score = ["und"] * len(texts), [1.0] * len(texts)
+    rows = [i for i, t in enumerate(texts) if LETTER.search(t)]
+    if not model.langs:
+        for i in rows:
+            score[i] = 0.0
+    elif rows:
+        prob = model.pooled([texts[i].encode() for i in rows])
+        for i, q in zip(rows, prob, strict=True):
+            lang[i], score[i] = model.langs[int(q.argmax())], float(min(1.0, q.max()))
+    return lang, score
 
 
 def identify(docs: DataFrame, model: ByteTagger) -> DataFrame:
@@ -141,16 +183,7 @@ def identify(docs: DataFrame, model: ByteTagger) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                texts = part.column("text").to_pylist()
-                lang, score = ["und"] * len(texts), [1.0] * len(texts)
-                rows = [i for i, t in enumerate(texts) if LETTER.search(t)]
-                if not model.langs:
-                    for i in rows:
-                        score[i] = 0.0
-                elif rows:
-                    prob = model.pooled([texts[i].encode() for i in rows])
-                    for i, q in zip(rows, prob, strict=True):
-                        lang[i], score[i] = model.langs[int(q.argmax())], float(min(1.0, q.max()))
+                lang, score = judged(model, part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")

@@ -3,7 +3,7 @@
 Every document is encoded, ended with ``end_id`` and cut into full windows; the rest (shorter than a
 window) and the full windows are dealt to shards by a hash of (doc_id, start, length). Within a
 shard a segment tree over remaining capacities finds the tightest open window for each piece,
-longest first. Shards hold about ``pieces_per_shard`` pieces whatever the input, so no task sees the
+longest first; rows without doc_id are dealt by their place in the input. Shards hold about ``pieces_per_shard`` pieces whatever the input, so no task sees the
 whole corpus; a shard of some thousand pieces leaves little padding.
 
 Nulls count as empty texts: one piece with the end id. Ties in length go by (doc_id, start).
@@ -98,16 +98,18 @@ class WordEncoder:
     """Ids of a tokenizer that works word by word; each distinct word is encoded by the library once.
 
     Only for a tokenizer that composes Unicode, lower-cases, drops white space and splits by the
-    word pattern below. Texts with characters outside U+0020..U+024F (tab and line ends aside),
-    where library and Python might disagree, and texts with a special string go to the library whole.
+    word pattern below. Texts with characters outside U+0020..U+024F (tab and line ends aside), or
+    whose lower case is outside, where library and Python might disagree, and texts with a special
+    string go to the library whole.
     """
 
     def __init__(self, path: str, cache: int = 400_000):
         from tokenizers import Tokenizer
 
         letter, number = _letters()
+        leaving = "".join(chr(c) for c in range(0x80, 0x250) if any(ord(x) > 0x24F for x in chr(c).lower()))
         self.tok, self.limit = Tokenizer.from_file(path), cache
-        self.odd = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa0-\\u024f]|\\u0130" + "".join("|" + re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()))
+        self.odd = re.compile(f"[^\\t\\n\\r\\x20-\\x7e\\xa0-\\u024f]|[{leaving}]" + "".join("|" + re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()))
         self.word = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^\\s{letter}{number}]+")
         self.ends_word = np.zeros(self.tok.get_vocab_size() + 1, bool)
         for piece, i in self.tok.get_vocab().items():
@@ -197,7 +199,9 @@ def pack(pieces: DataFrame, shards: int, window: int = WINDOW) -> DataFrame:
         out = t.drop_columns(["shard"]).append_column("sequence_id", pa.array(shard * (1 << 32) + where, pa.int64()))
         return out.append_column("offset", pa.array(offset, pa.int64()))
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "doc_tokens"), F.lit(shards)))
+    # rows without doc_id are dealt by their place in the input: equal ones may be many
+    key = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.col("doc_id"))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(key, "start", "doc_tokens"), F.lit(shards)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return dealt.groupBy("shard").applyInArrow(run, f"{fields}, sequence_id long, offset long")
 

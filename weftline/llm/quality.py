@@ -7,7 +7,7 @@ repeated words or capitals never raise a score (monotonic constraints).
 Null and empty texts have no words and fail the base rule. Repeated ids stay one row each. Without
 labels of both kinds the verdict is that of the base rule. Extra columns are not carried. The trees
 are fitted on at most ``per_class`` labelled documents a class, those with the smallest hash of
-doc_id; every document is scored.
+doc_id (of more than ``max_bytes`` only where there are too few others); every document is scored.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import mix64, slices, text_or_empty, whole, word_codes, words_of
+from weftline.llm.common import bounded_sample, mix64, slices, text_or_empty, whole, word_codes, words_of
 
 SHINGLE = 5
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -211,8 +211,8 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: f
 _SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double"
 
 
-def measure(docs: DataFrame, forest: Forest | None, with_features: bool = False) -> DataFrame:
-    """doc_id, COUNTS, score (and features) of each row of docs (doc_id, text)."""
+def measure(docs: DataFrame, forest: Forest | None) -> DataFrame:
+    """doc_id, COUNTS, score of each row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,28 +220,25 @@ def measure(docs: DataFrame, forest: Forest | None, with_features: bool = False)
                 counts, x = statistics(part.column("text"))
                 score = forest.score(x) if forest else np.ones(len(x))
                 cols = [part.column("doc_id"), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS), pa.array(score)]
-                names = ["doc_id", *COUNTS, "score"]
-                if with_features:
-                    cols.append(pa.array(list(x), pa.list_(pa.float64())))
-                    names.append("features")
-                yield pa.RecordBatch.from_arrays(cols, names)
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", *COUNTS, "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, _SCHEMA + (", features array<double>" if with_features else ""))
+    return rows.mapInArrow(run, _SCHEMA)
 
 
-def bounded_labels(labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """doc_id and label of at most per_class labelled ids of each class, by hash of doc_id."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    ok = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", label)
-    return ok.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_class).drop("k").dropDuplicates(["doc_id"])
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_bytes: int = 64_000, **how) -> Forest:
+    """Trees of the label quality; the sample is bounded by 2 * per_class documents."""
+    sample = bounded_sample(labels, docs, "quality", per_class, max_bytes)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                x = statistics(part.column("text"))[1]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(x), pa.list_(pa.float64())), part.column("quality")], ["doc_id", "features", "quality"])
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, **how) -> Forest:
-    """Trees of the label quality; the sample is bounded by 2 * per_class documents."""
-    sample = bounded_labels(labels, "quality", per_class)
-    rows = measure(docs.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi"), None, True).join(F.broadcast(sample), "doc_id").select("doc_id", "features", "quality").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.features))
+    measured = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("quality").cast("int").alias("quality"))
+    rows = measured.mapInArrow(run, "doc_id long, features array<double>, quality int").collect()
+    rows.sort(key=lambda r: r.doc_id)
     x = np.array([r.features for r in rows]).reshape(len(rows), len(FEATURES))
     return train(x, np.array([float(r.quality) for r in rows]), monotone=MONOTONE, **how)
 

@@ -9,7 +9,8 @@ window. Trained in numpy; each round trains on every sampled document's highest-
 Null and empty texts are one window without words. Words are lower-cased and trimmed of
 punctuation. Repeated ids stay one row each; equal texts score alike. Without labels of both kinds
 every score is that of an untrained network's bias, 0. Extra columns are not carried. The training
-sample is bounded: at most ``per_class`` documents a class by hash of doc_id, ``max_chars`` each.
+sample is bounded: at most ``per_class`` whole documents a class by hash of doc_id, those of more than
+``max_bytes`` only where there are too few others.
 """
 
 from __future__ import annotations
@@ -23,8 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import gru
-from weftline.llm.common import crc_mod, slices, text_or_empty, word_codes, words_of
-from weftline.llm.quality import bounded_labels
+from weftline.llm.common import bounded_sample, crc_mod, kept_rows, slices, text_or_empty, word_codes, words_of
 
 WINDOW, STRIDE, BATCH = 48, 36, 4096
 WORDS, TRIGRAMS, DIM, HIDDEN, ATTEND = 1 << 14, 1 << 14, 8, 8, 8
@@ -229,14 +229,18 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 4, steps: int = 80,
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200, max_chars: int = 16_000, **how) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200, max_bytes: int = 64_000, **how) -> Network:
     """Trained on labels of ids outside the held-out fifth."""
-    sample = bounded_labels(labels.filter(crc_mod("doc_id", 5) != 0), "toxic", per_class)
-    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", F.substring(text_or_empty(), 1, max_chars).alias("text"), "toxic").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
+    rows = bounded_sample(labels.filter(crc_mod("doc_id", 5) != 0), docs, "toxic", per_class, max_bytes).collect()
+    rows.sort(key=lambda r: r.doc_id)
     return train([r.text for r in rows], np.array([r.toxic for r in rows], np.int64), **how)
 
 
+def keep_clean(docs: DataFrame, net: Network) -> DataFrame:
+    """The rows of docs, as they are, that are not predicted toxic."""
+    return kept_rows(docs, lambda texts: pa.array(net.score(pc.fill_null(texts, "")) < 0.5))
+
+
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs (doc_id, text)."""
 
