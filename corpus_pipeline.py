@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import jaccard_join, language_id, packing, substring_dedup, toxicity
-from weftline.llm.common import checkpoint_dir, small_batches, table
+from weftline.llm.common import checkpoint_dir, cut, small_batches, small_side, table
 
 #: SQL can express neither the networks nor the packing: tested against brute force instead.
 ORACLE_SQL = None
@@ -23,30 +23,41 @@ LEAST_LANGUAGE_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those no learned language fits."""
+    """Rejects documents without a letter (also null and empty texts) and those no learned language fits.
+
+    Every row is judged by its own text, whatever its doc_id.
+    """
     small_batches(spark)
-    model = language_id.fit(docs.select("doc_id", "text", "lang"))
-    kept = language_id.identify(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    return language_id.keep_known(docs, language_id.fit(docs.select("doc_id", "text", "lang")), LEAST_LANGUAGE_SCORE)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that are predicted toxic."""
-    net = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    bad = toxicity.score(docs, net).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """Rejects documents that are predicted toxic; every row is judged by its own text."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the least doc_id, of each component of similar ones."""
+    """Keeps one document, that of the least doc_id, of each component of similar ones.
+
+    Rows that share a doc_id are one document; of those equal in text, too, one stays. Rows without
+    doc_id are not compared and stay.
+    """
     small_batches(spark)
-    found = jaccard_join.join(docs.select("doc_id", "text"))
-    keep = found.filter("component_id = doc_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi").select(docs.columns)
+    found = cut(jaccard_join.join(docs.select("doc_id", "text")))
+    copies = cut(found.filter("component_id <> doc_id").select("doc_id").distinct())
+    rest = docs.join(small_side(copies, 40), "doc_id", "left_anti").select(docs.columns)
+    again = cut(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return rest
+    again = small_side(again, 40)
+    return rest.join(again, "doc_id", "left_anti").select(docs.columns).union(rest.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated passages; a document that loses all its words goes."""
+    """Removes repeated passages; a document that loses all its words goes.
+
+    Rows without doc_id and null texts stay as they are; n_chars is counted anew where words went.
+    """
     small_batches(spark)
     out = substring_dedup.dedup(docs)
     left = out.filter((F.col("n_removed_words") == 0) | (F.col("n_removed_words") < F.col("n_words")))
