@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling.
 
 Each word enters as two vectors: one of its own (hashed word table) and one from its characters
-(mean over hashed character trigrams). The network reads windows of ``WINDOW`` words that overlap
+(hashed trigrams and beginnings that the word goes on after; the first unit takes their maximum, so
+that one telling stem is not lost among them, the others their mean). The network reads windows of ``WINDOW`` words that overlap
 by a quarter, attention weighs their positions, and a document's score is that of its highest
 window. Trained in numpy; each round trains on every sampled document's highest-scoring window
 (first chosen by word log-odds) and on random windows of clean documents.
@@ -24,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import gru
-from weftline.llm.common import bounded_sample, crc_mod, kept_rows, slices, text_or_empty, word_codes, words_of
+from weftline.llm.common import bounded_sample, crc_mod, kept_rows, mix64, slices, text_or_empty, word_codes, words_of
 
 WINDOW, STRIDE, BATCH = 48, 36, 4096
-WORDS, TRIGRAMS, DIM, HIDDEN, ATTEND = 1 << 14, 1 << 14, 8, 8, 8
+WORDS, TRIGRAMS, DIM, HIDDEN, ATTEND = 1 << 14, 1 << 16, 8, 8, 8
+STEMS = range(4, 13)  # bytes of a word's beginnings
 _TRIM = ".,;:!?\"'()[]{}<>*_-#"
 
 
@@ -46,8 +48,19 @@ class Lexicon:
         owner = np.repeat(np.arange(self.n), size + 1)[: len(data) - 2]
         gram = ((data[:-2] << 16) + (data[1:-1] << 8) + data[2:]).astype(np.uint64)
         inner = data[1:-1] != 32
-        self.owner = owner[inner]
-        self.gram = ((gram[inner] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TRIGRAMS.bit_length() + 1)).astype(np.int64)
+        owners, grams = [owner[inner]], [gram[inner]]
+        first = np.cumsum(size + 1) - size
+        stem = np.zeros(self.n, np.uint64)
+        for k in range(max(STEMS)):
+            longer = size > k + 1
+            stem = np.where(longer, mix64(stem * np.uint64(257) + data[np.minimum(first + k, len(data) - 1)].astype(np.uint64)), stem)
+            if k + 1 in STEMS:
+                owners.append(np.flatnonzero(longer))
+                grams.append(stem[longer])
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        self.owner = owner[order]
+        self.gram = ((np.concatenate(grams)[order] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TRIGRAMS.bit_length() + 1)).astype(np.int64)
         self._count()
 
     def _count(self) -> None:
@@ -68,17 +81,29 @@ class Lexicon:
 
     def vectors(self, p: dict[str, np.ndarray], use: np.ndarray | None = None) -> np.ndarray:
         """(2 * DIM, words); use (words): 0 hides a word's own vector, as for words too rare to know."""
-        chars = np.stack([np.bincount(self.owner, weights=row[self.gram], minlength=self.n) for row in p["chars"]])
+        chars = np.stack([np.bincount(self.owner, weights=row[self.gram], minlength=self.n) for row in p["chars"]]) / self.count
+        chars[0] = self.most(p)[0]
         own = p["words"][:, self.bucket] * p["known"][self.bucket]
         if use is not None:
             own = own * use
-        return np.concatenate([own, (chars / self.count).astype(np.float32)])
+        return np.concatenate([own, chars.astype(np.float32)])
+
+    def most(self, p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The greatest first unit among each word's items, and each item's share in it (ties share)."""
+        value = p["chars"][0][self.gram]
+        best = np.zeros(self.n, np.float32)
+        some = np.diff(self.ends, prepend=0) > 0
+        if some.any():
+            best[some] = np.maximum.reduceat(value, (self.ends - np.diff(self.ends, prepend=0))[some])
+        top = (value == best[self.owner]).astype(np.float32)
+        return best, top / np.maximum(np.bincount(self.owner, weights=top, minlength=self.n), 1)[self.owner].astype(np.float32)
 
     def gradients(self, de: np.ndarray, p: dict[str, np.ndarray], use: np.ndarray) -> dict[str, np.ndarray]:
-        own, spread = de[:DIM] * (use * p["known"][self.bucket]), de[DIM:] / self.count
+        own, spread = de[:DIM] * (use * p["known"][self.bucket]), (de[DIM:] / self.count)[:, self.owner]
+        spread[0] = de[DIM][self.owner] * self.most(p)[1]
         return {
             "words": np.stack([np.bincount(self.bucket, weights=r, minlength=WORDS) for r in own]).astype(np.float32),
-            "chars": np.stack([np.bincount(self.gram, weights=r[self.owner], minlength=TRIGRAMS) for r in spread]).astype(np.float32),
+            "chars": np.stack([np.bincount(self.gram, weights=r, minlength=TRIGRAMS) for r in spread]).astype(np.float32),
         }
 
 
@@ -180,7 +205,7 @@ def document_odds(y: np.ndarray, doc: np.ndarray, item: np.ndarray, n_items: int
     return np.log((bad + 2 * prior * share) / (good + 2 * prior * (1 - share))) - np.log(share / (1 - share))
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 4, steps: int = 80, batch: int = 384, rate: float = 0.02, hide: float = 0.5, decay: float = 1e-2, seed: int = 11) -> Network:
+def train(texts: list[str], toxic: np.ndarray, rounds: int = 2, steps: int = 60, batch: int = 384, rate: float = 0.02, hide: float = 0.3, decay: float = 1e-2, seed: int = 11) -> Network:
     net = Network.fresh(seed)
     if len(np.unique(toxic)) < 2:
         return net
