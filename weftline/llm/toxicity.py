@@ -48,19 +48,19 @@ class Lexicon:
         owner = np.repeat(np.arange(self.n), size + 1)[: len(data) - 2]
         gram = ((data[:-2] << 16) + (data[1:-1] << 8) + data[2:]).astype(np.uint64)
         inner = data[1:-1] != 32
-        owners, grams = [owner[inner]], [gram[inner]]
+        owners, grams = [owner[inner].astype(np.int32)], [gram[inner]]
         first = np.cumsum(size + 1) - size
         stem = np.zeros(self.n, np.uint64)
         for k in range(max(STEMS)):
             longer = size > k + 1
             stem = np.where(longer, mix64(stem * np.uint64(257) + data[np.minimum(first + k, len(data) - 1)].astype(np.uint64)), stem)
             if k + 1 in STEMS:
-                owners.append(np.flatnonzero(longer))
+                owners.append(np.flatnonzero(longer).astype(np.int32))
                 grams.append(stem[longer])
         owner = np.concatenate(owners)
         order = np.argsort(owner, kind="stable")
-        self.owner = owner[order]
-        self.gram = ((np.concatenate(grams)[order] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TRIGRAMS.bit_length() + 1)).astype(np.int64)
+        self.owner = owner[order].astype(np.int32)
+        self.gram = ((np.concatenate(grams)[order] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TRIGRAMS.bit_length() + 1)).astype(np.int32)
         self._count()
 
     def _count(self) -> None:
@@ -74,19 +74,21 @@ class Lexicon:
         out.n, out.bucket = len(codes), self.bucket[codes]
         n = np.diff(self.ends, prepend=0)[codes]
         ends = np.cumsum(n)
-        out.owner = np.repeat(np.arange(len(codes)), n)
+        out.owner = np.repeat(np.arange(len(codes), dtype=np.int32), n)
         out.gram = self.gram[np.repeat(self.ends[codes] - ends, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
         out._count()
         return out
 
     def vectors(self, p: dict[str, np.ndarray], use: np.ndarray | None = None) -> np.ndarray:
         """(2 * DIM, words); use (words): 0 hides a word's own vector, as for words too rare to know."""
-        chars = np.stack([np.bincount(self.owner, weights=row[self.gram], minlength=self.n) for row in p["chars"]]) / self.count
+        chars = np.zeros((DIM, self.n), np.float32)
         chars[0] = self.most(p)[0]
+        for k in range(1, DIM):
+            chars[k] = np.bincount(self.owner, weights=p["chars"][k][self.gram], minlength=self.n) / self.count
         own = p["words"][:, self.bucket] * p["known"][self.bucket]
         if use is not None:
             own = own * use
-        return np.concatenate([own, chars.astype(np.float32)])
+        return np.concatenate([own, chars])
 
     def most(self, p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The greatest first unit among each word's items, and each item's share in it (ties share)."""
@@ -196,11 +198,24 @@ def prepare(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Lexicon]:
     return codes, row, Lexicon(distinct)
 
 
-def document_odds(y: np.ndarray, doc: np.ndarray, item: np.ndarray, n_items: int, prior: float = 3.0) -> np.ndarray:
+def _counted(doc: np.ndarray, item, rows: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Parts of (doc, item) that hold whole documents; doc is in order, item(a, b) gives the items of a part."""
+    a = 0
+    while a < len(doc):
+        b = int(np.searchsorted(doc, doc[min(a + rows, len(doc)) - 1], side="right"))
+        own, n = item(a, b)
+        yield np.repeat(doc[a:b], n), own
+        a = b
+
+
+def document_odds(y: np.ndarray, doc: np.ndarray, item, n_items: int, prior: float = 3.0) -> np.ndarray:
     """Log-odds of label 1 by items that documents have, drawn to 0 by so many documents of either kind."""
-    both = np.unique(doc * n_items + item)
-    doc, item = both // n_items, both % n_items
-    bad, good = (np.bincount(item[y[doc] == k], minlength=n_items) for k in (1, 0))
+    bad, good = np.zeros(n_items, np.int64), np.zeros(n_items, np.int64)
+    for d, i in _counted(doc, item):
+        both = np.unique(d * n_items + i)
+        d, i = both // n_items, both % n_items
+        bad += np.bincount(i[y[d] == 1], minlength=n_items)
+        good += np.bincount(i[y[d] == 0], minlength=n_items)
     share = y.mean()
     return np.log((bad + 2 * prior * share) / (good + 2 * prior * (1 - share))) - np.log(share / (1 - share))
 
@@ -216,15 +231,19 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 2, steps: int = 60,
     pairs = np.unique(row * (lex.n + 1) + codes)
     doc, word = pairs // (lex.n + 1), pairs % (lex.n + 1)
     net.p["known"] = (np.bincount(np.unique(doc * WORDS + lex.bucket[word]) % WORDS, minlength=WORDS) >= 5).astype(np.float32)
-    own = document_odds(y, doc, word, lex.n)
-    n = np.diff(lex.ends, prepend=0)[word]
-    ends = np.cumsum(n)
-    by_gram = document_odds(y, np.repeat(doc, n), lex.gram[np.repeat(lex.ends[word] - ends, n) + np.arange(int(ends[-1]))], TRIGRAMS)
+    own = document_odds(y, doc, lambda a, b: (word[a:b], 1), lex.n)
+
+    def grams(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        n = np.diff(lex.ends, prepend=0)[word[a:b]]
+        ends = np.cumsum(n)
+        return lex.gram[np.repeat(lex.ends[word[a:b]] - ends, n) + np.arange(int(ends[-1]))], n
+
+    by_gram = document_odds(y, doc, grams, TRIGRAMS)
     best_gram = np.full(lex.n, -np.inf)
     np.maximum.at(best_gram, lex.owner, by_gram[lex.gram])
     odds = np.append(np.maximum(own, best_gram), 0.0)
     guess = odds[windows].max(axis=1)
-    net.p["words"][0] = net.p["known"] * document_odds(y, doc, lex.bucket[word], WORDS) / 2
+    net.p["words"][0] = net.p["known"] * document_odds(y, doc, lambda a, b: (lex.bucket[word[a:b]], 1), WORDS) / 2
     net.p["chars"][0] = by_gram / 2
     adam = gru.Adam({k: v for k, v in net.p.items() if k != "known"}, rate)
     for r in range(rounds):
