@@ -26,7 +26,10 @@ def test_camel_tokens(spark, name, want):
 
 
 def test_text(spark):
-    assert one(spark, T.base_type(F.col("s")), s="List<String>[]") == "List"
+    assert one(spark, T.base_type(F.col("s")), s="List<String>[]") == ""
+    assert one(spark, T.base_type(F.col("s")), s="Account<String>[]") == "Account"
+    assert not one(spark, T.valid_class_name(F.col("s")), s="Impl") and one(spark, T.valid_class_name(F.col("s")), s="Class")
+    assert one(spark, T.called_names(F.col("s")), s="default (x); instanceof (y)") == ["instanceof"]
     assert one(spark, T.base_type(F.col("s")), s="INT") == ""
     assert one(spark, T.strip_declaration(F.col("s")), s="void a() { b(); { } }") == " b(); { } "
     assert one(spark, T.strip_declaration(F.col("s")), s="no body") == "no body"
@@ -230,3 +233,17 @@ def test_helper_closure_ends_in_cycles(spark):
     hidden = spark.createDataFrame([(1, "b"), (1, "c"), (1, "d")], "class_id int, method string")
     got = I.helper_closure(spark.createDataFrame([(1, "a"), (2, "a")], "class_id int, method string"), calls, hidden).collect()
     assert sorted((r.class_id, r.method) for r in got) == [(1, "a"), (1, "b"), (1, "c"), (2, "a")]
+
+
+def test_eigenvector(spark):
+    edges = spark.createDataFrame([(0, 1, 2, 1.0), (0, 2, 3, 1.0), (1, 7, 8, 2.0)], "graph_id long, src long, dst long, weight double")
+    got = {(r.graph_id, r.node): r.score for r in G.eigenvector(edges).collect()}
+    assert got[0, 2] == pytest.approx(2**-0.5, abs=1e-4) and got[0, 1] == pytest.approx(0.5, abs=1e-4) and got[1, 7] == pytest.approx(got[1, 8])
+    assert G.eigenvector(edges, most=1).count() == 0
+
+
+def test_suggestion(spark):
+    made = lambda s: one(spark, T.suggestion(F.col("s")), s=s)
+    assert made("<class_name>Impl</class_name><rationale>x</rationale>") is None and made("<class_name>Store</class_name>") is None
+    assert made("<class_name>Store</class_name><rationale>x</rationale><confidence>7</confidence>").confidence == 1.0
+    assert made("<class_name>Store</class_name><rationale>x</rationale>").confidence is None

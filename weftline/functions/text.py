@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the published rules.
 PRIMITIVES = ("boolean", "byte", "char", "double", "float", "int", "long", "short", "void")
-PLATFORM_TYPES = ("String", "Object", "Integer", "Long", "Double", "Float", "Boolean", "Character", "Byte")
-CALL_KEYWORDS = ("if", "for", "while", "switch", "catch", "return", "new", "throw", "super", "this", "synchronized", "assert", "else", "do", "try", "case", "instanceof")
-BARE_NAMES = ("Class", "Helper", "Manager", "Util", "Utils", "Handler", "Service", "Data", "Info")
+PLATFORM_TYPES = ("String", "Integer", "Long", "Double", "Boolean", "Object", "List", "Map", "Set")
+CALL_KEYWORDS = ("if", "for", "while", "switch", "catch", "return", "new", "throw", "super", "this", "synchronized", "assert", "else", "do", "try", "case", "default")
+BARE_NAMES = ("Helper", "Util", "Utils", "Manager", "Handler", "Service", "Data", "Info", "Impl")
 
 
 def camel_tokens(name: Column) -> Column:
@@ -143,3 +143,23 @@ def verdict(text: Column) -> Column:
         F.regexp_extract(text, r"(?s)REASONING:\s*(.*?)\s*(?:MODIFICATIONS:|\z)", 1).alias("reasoning"),
         F.when((mods == "") | (F.lower(mods) == "none"), F.array().cast("array<string>")).otherwise(F.transform(F.split(mods, ","), lambda m: F.trim(m))).alias("modifications"),
     )
+
+
+def suggestion(text: Column) -> Column:
+    """class_name, rationale and confidence (0 to 1, null if none is given) of an answer, or null: both texts
+    must be there and the name a valid one."""
+    name, why = tag(text, "class_name"), tag(text, "rationale")
+    sure = clamped(tag(text, "confidence").try_cast("double"))
+    known = F.when(tag(text, "confidence").try_cast("double").isNotNull(), sure)
+    return F.when(name.isNotNull() & why.isNotNull() & valid_class_name(name), F.struct(name.alias("class_name"), why.alias("rationale"), known.alias("confidence")))
+
+
+def listed(text: Column, name: str) -> Column:
+    """The entries of the comma list in <name>, trimmed, without empty ones."""
+    parts = F.transform(F.split(F.coalesce(tag(text, name), F.lit("")), ","), lambda x: F.trim(x))
+    return F.filter(parts, lambda x: x != "")
+
+
+def suggestions(text: Column) -> Column:
+    """The insides of all <suggestion> blocks of an answer."""
+    return F.regexp_extract_all(text, F.lit(r"(?s)<suggestion>(.*?)</suggestion>"), 1)

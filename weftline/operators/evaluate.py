@@ -68,7 +68,7 @@ def bootstrap(values: DataFrame, rounds: int, n: int) -> DataFrame:
     """round, mean of n draws from values (k 0..n-1, v): draw i of round r is k = a linear congruence of both."""
     spark = values.sparkSession
     draws = spark.range(rounds * n).select((F.col("id") / n).cast("long").alias("round"), F.pmod((F.col("id") * 1103515245 + 12345) % 2147483648, F.lit(n)).alias("k"))
-    return draws.join(F.broadcast(values), "k").groupBy("round").agg(F.avg("v").alias("mean"))
+    return draws.join(values, "k").groupBy("round").agg(F.avg("v").alias("mean"))
 
 
 def mismatch(j: Column, methods: Column, size: Column) -> Column:
@@ -147,3 +147,27 @@ def rates(rows: DataFrame, tiers: tuple[str, ...] = ("should", "could", "potenti
     every = F.broadcast(n)
     out = spark.createDataFrame([(t,) for t in tiers], "tier string").join(every, "tier", "left").na.fill(0)
     return out.withColumn("rate", 100 * F.col("verified") / F.greatest("total", F.lit(1)))
+
+
+def named_ids(suggested: DataFrame, clusters: DataFrame, truth: DataFrame) -> DataFrame:
+    """instance, id: the truth's members (instance, id, name) that are named; all overloads of a name.
+
+    Names come from the suggestions (instance, name), or, for instances without any, from the clusters.
+    """
+    rest = clusters.join(suggested.select("instance").distinct(), "instance", "left_anti")
+    names = suggested.select("instance", "name").unionByName(rest.select("instance", "name")).distinct()
+    return truth.join(names, ["instance", "name"], "left_semi").select("instance", "id").distinct()
+
+
+def system_totals(records: DataFrame) -> DataFrame:
+    """system, suggestions, members a suggestion, and the difference of both to the other systems' mean."""
+    totals = records.groupBy("system").agg(F.count(F.lit(1)).alias("suggestions"), F.avg("members").alias("members"))
+    other = totals.select(F.col("system").alias("other"), F.col("suggestions").alias("s"), F.col("members").alias("m"))
+    mean = totals.select("system").join(other, F.col("system") != F.col("other")).groupBy("system").agg(F.avg("s").alias("s"), F.avg("m").alias("m"))
+    return totals.join(mean, "system", "left").select("system", "suggestions", "members", (F.col("suggestions") - F.col("s")).alias("more_suggestions"), (F.col("members") - F.col("m")).alias("more_members"))
+
+
+def compile_rates(suggestions: DataFrame) -> DataFrame:
+    """system, total, compilable, rate (three places) and mean numbers of methods and fields of suggestions."""
+    rows = suggestions.groupBy("system").agg(F.count(F.lit(1)).alias("total"), F.count_if("compiles").alias("compilable"), F.avg("methods").alias("methods"), F.avg("fields").alias("fields"))
+    return rows.withColumn("rate", F.round(F.col("compilable") / F.col("total"), 3))

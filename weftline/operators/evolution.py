@@ -109,3 +109,15 @@ def overlapping(methods: DataFrame, changed: DataFrame) -> DataFrame:
     """Members whose lines (start, stop) meet a changed range of their commit; an equi-join with a residual."""
     h = changed.select("commit_id", F.col("start").alias("cs"), F.col("stop").alias("ce"))
     return methods.join(h, "commit_id").filter((F.col("stop") >= F.col("cs")) & (F.col("start") <= F.col("ce"))).select("commit_id", "member").distinct()
+
+
+def cluster_context(pairs: DataFrame, clusters: DataFrame, least: float = 2.0, examples: int = 3) -> DataFrame:
+    """cluster_id, n, examples: co-changing pairs (m1, m2, cochange) of least or more inside each cluster.
+
+    Members (cluster_id, member) meet by bare name; examples are the first pairs in order of their names.
+    """
+    own = clusters.select("cluster_id", base_name(F.col("member")).alias("name")).distinct()
+    a, b = own.withColumnRenamed("name", "m1"), own.withColumnRenamed("name", "m2")
+    inside = pairs.filter(F.col("cochange") >= least).join(a, "m1").join(b, ["cluster_id", "m2"])
+    firsts = F.slice(F.array_sort(F.collect_list(F.concat_ws(" ", "m1", "m2"))), 1, examples)
+    return inside.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), firsts.alias("examples"))

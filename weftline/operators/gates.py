@@ -85,3 +85,16 @@ def equivalence(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: tests, passed before and after, differences, and whether behaviour is the same (no tests: yes)."""
     d = test_differences(before, after).agg(F.count(F.lit(1)).alias("tests"), F.count_if(F.col("verdict") != "same").alias("differences"))
     return d.crossJoin(before.agg(F.count_if("passed").alias("passed_before"))).crossJoin(after.agg(F.count_if("passed").alias("passed_after"))).withColumn("equivalent", F.col("differences") == 0)
+
+
+def all_versions(results: DataFrame) -> DataFrame:
+    """item, passed: whether every version's run passed; a missing compiler (null) counts as passed."""
+    return results.groupBy("item").agg(F.bool_and(F.coalesce("passed", F.lit(True))).alias("passed"))
+
+
+def status_lists(rows: DataFrame) -> DataFrame:
+    """The rows of both lists: verified (verified, also after a repair) and rejected (any status but verified
+    or none; one verified after a repair is in both)."""
+    verified = rows.filter(F.col("status").isin("verified", "verified_after_repair")).withColumn("list", F.lit("verified"))
+    rejected = rows.filter(F.col("status").isNotNull() & (F.col("status") != "verified")).withColumn("list", F.lit("rejected"))
+    return verified.unionByName(rejected)

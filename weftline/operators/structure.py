@@ -70,3 +70,22 @@ def extraction_coverage(methods: DataFrame, chosen: DataFrame) -> DataFrame:
     """class_id, coverage: chosen methods in per cent of all."""
     j = methods.distinct().join(chosen.distinct().withColumn("taken", F.lit(1)), ["class_id", "method"], "left")
     return j.groupBy("class_id").agg((100 * F.count("taken") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("coverage"))
+
+
+def strengths(pairs: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """Each pair (src, dst) with the weight of its dependency, 0 where there is none."""
+    return pairs.join(dependencies.select("src", "dst", "weight"), ["src", "dst"], "left").fillna(0.0, ["weight"])
+
+
+def cohesion(methods: DataFrame, accesses: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """class_id, lcom5, tcc."""
+    return lcom5(methods, accesses).join(tcc(methods, accesses, calls), "class_id")
+
+
+def class_metrics(methods: DataFrame, accesses: DataFrame, efferent: DataFrame, afferent: DataFrame) -> DataFrame:
+    """Cohesion, coupling (ce, ca, instability) and numbers of methods and fields of each class with methods."""
+    counts = methods.groupBy("class_id").agg(F.countDistinct("method").alias("num_methods"))
+    fields = accesses.groupBy("class_id").agg(F.countDistinct("field").alias("num_fields"))
+    joined = cohesion(methods, accesses).join(counts, "class_id").join(fields, "class_id", "left")
+    coupled = joined.join(instability(efferent, afferent), "class_id", "left")
+    return coupled.fillna(0, ["num_fields", "ce", "ca"]).fillna(0.0, ["instability"])

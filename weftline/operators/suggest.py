@@ -86,7 +86,7 @@ def confident(rows: DataFrame, least: float) -> DataFrame:
     return rows.filter(F.col("confidence").isNull() | (F.col("confidence") >= least))
 
 
-def helper_closure(chosen: DataFrame, calls: DataFrame, hidden: DataFrame, rounds: int = 10) -> DataFrame:
+def helper_closure(chosen: DataFrame, calls: DataFrame, hidden: DataFrame) -> DataFrame:
     """chosen (class_id, method) with the hidden methods it calls (class_id, src, dst), directly or not.
 
     A level a round; the frontier alone is joined, and rounds end when it is empty.
@@ -95,11 +95,9 @@ def helper_closure(chosen: DataFrame, calls: DataFrame, hidden: DataFrame, round
 
     reach = calls.select("class_id", "src", "dst").join(hidden.select("class_id", F.col("method").alias("dst")), ["class_id", "dst"], "left_semi").distinct()
     every = frontier = cut(chosen.select("class_id", "method").distinct())
-    for _ in range(rounds):
+    while not frontier.isEmpty():
         step = frontier.join(reach, (frontier["class_id"] == reach["class_id"]) & (frontier["method"] == reach["src"])).select(reach["class_id"], reach["dst"].alias("method")).distinct()
         frontier = cut(step.join(every, ["class_id", "method"], "left_anti"))
-        if frontier.isEmpty():
-            break
         every = cut(every.union(frontier))
     return every
 
@@ -115,3 +113,8 @@ def message(name: Column, members: Column, rationale: Column, most: int = 5, len
     fields = F.filter(members, lambda m: ~m.contains("("))
     listed = lambda label, a: F.when(F.size(a) > 0, F.concat(F.lit(f"\n{label}: "), F.array_join(F.slice(a, 1, most), ", "))).otherwise("")
     return F.concat(F.lit("Extract "), name, listed("Methods", methods), listed("Fields", fields), F.lit("\n\n"), F.substring(rationale, 1, length))
+
+
+def refined(first: Column, second: Column) -> Column:
+    """The second confidence if both are known and above 0 and it is the higher one, else the first."""
+    return F.when((first > 0) & (second > 0) & (second > first), second).otherwise(first)

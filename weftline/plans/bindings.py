@@ -24,14 +24,14 @@ CHANGES = "changes AS (SELECT DISTINCT l_orderkey AS commit_id, o_orderdate AS t
 
 
 def accesses(spark, sf_dir) -> DataFrame:
-    """class = nation, method = supplier, field = brand, where quantity is 49 or more."""
-    li = t(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select("l_suppkey", "l_partkey")
+    """class = nation, method = supplier, field = order."""
+    li = t(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey")
     s = t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    p = t(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    return li.join(s, li.l_suppkey == s.s_suppkey).join(p, li.l_partkey == p.p_partkey).select(F.col("s_nationkey").alias("class_id"), F.col("l_suppkey").alias("method"), F.col("p_brand").alias("field")).distinct()
+    joined = li.join(s, li.l_suppkey == s.s_suppkey)
+    return joined.select(F.col("s_nationkey").alias("class_id"), F.col("l_suppkey").alias("method"), F.concat(F.lit("o"), "l_orderkey").alias("field")).distinct()
 
 
-ACCESSES = "accesses AS (SELECT DISTINCT s_nationkey AS class_id, l_suppkey AS method, p_brand AS field FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49)"
+ACCESSES = "accesses AS (SELECT DISTINCT s_nationkey AS class_id, l_suppkey AS method, 'o' || l_orderkey AS field FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"
 
 
 def methods(spark, sf_dir) -> DataFrame:

@@ -91,13 +91,10 @@ def g15_name_groups(spark, d):
     return g.select("class_id", "name_group", F.size("members").cast("long").alias("n"))
 
 
-_WEAK = "l_quantity >= 50 AND l_linenumber = 1 AND l_discount > 0.08"
-
-
-@query(f"WITH RECURSIVE a AS (SELECT DISTINCT s_nationkey AS class_id, 'm:' || s_nationkey || ':' || l_suppkey AS src, 'f:' || s_nationkey || ':' || l_partkey AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE {_WEAK}), both_ AS (SELECT class_id, src AS a, dst AS b FROM a UNION SELECT class_id, dst, src FROM a), reach AS (SELECT DISTINCT class_id, a AS node, a AS other FROM both_ UNION SELECT r.class_id, node, b FROM reach r JOIN both_ x ON r.class_id = x.class_id AND other = a), c AS (SELECT class_id, node, min(other) AS component FROM reach GROUP BY 1, 2) SELECT class_id, component, count_if(node LIKE 'm:%') AS n_methods, count_if(node LIKE 'f:%') AS n_fields FROM c GROUP BY 1, 2 HAVING count(*) BETWEEN 3 AND 15")
+@query(f"WITH RECURSIVE a AS (SELECT DISTINCT c_nationkey AS class_id, 'm:' || c_nationkey || ':' || o_custkey AS src, 'f:' || c_nationkey || ':' || o_orderkey AS dst FROM orders JOIN customer ON o_custkey = c_custkey), both_ AS (SELECT class_id, src AS a, dst AS b FROM a UNION SELECT class_id, dst, src FROM a), reach AS (SELECT DISTINCT class_id, a AS node, a AS other FROM both_ UNION SELECT r.class_id, node, b FROM reach r JOIN both_ x ON r.class_id = x.class_id AND other = a), c AS (SELECT class_id, node, min(other) AS component FROM reach GROUP BY 1, 2) SELECT class_id, component, count_if(node LIKE 'm:%') AS n_methods, count_if(node LIKE 'f:%') AS n_fields FROM c GROUP BY 1, 2 HAVING count(*) BETWEEN 3 AND 15")
 def g18_field_groups(spark, d):
-    li, s = B.t(spark, d, "lineitem").filter(_WEAK), B.t(spark, d, "supplier")
-    return C.field_groups(li.join(s, li.l_suppkey == s.s_suppkey).select(F.col("s_nationkey").alias("class_id"), F.col("l_suppkey").alias("method"), F.col("l_partkey").alias("field")))
+    o, c = B.t(spark, d, "orders"), B.t(spark, d, "customer")
+    return C.field_groups(o.join(c, o.o_custkey == c.c_custkey).select(F.col("c_nationkey").alias("class_id"), F.col("o_custkey").alias("method"), F.col("o_orderkey").alias("field")))
 
 
 @query()
@@ -145,7 +142,7 @@ def i11_helper_closure(spark, d):
     own = li.join(m, li.l_suppkey == m.method).select("l_orderkey", "class_id", "method")
     calls = own.join(own.withColumnRenamed("method", "other"), ["l_orderkey", "class_id"]).filter("method < other").select("class_id", F.col("method").alias("src"), F.col("other").alias("dst")).distinct()
     hidden = B.t(spark, d, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("class_id"), F.col("s_suppkey").alias("method"))
-    return I.helper_closure(_chosen(spark, d), calls, hidden, rounds=100)
+    return I.helper_closure(_chosen(spark, d), calls, hidden)
 
 
 @query(f"WITH {_CHOSEN}, {B.METHODS}, x AS (SELECT class_id, count(c.method) AS k, count(*) AS n FROM methods m LEFT JOIN chosen c USING (class_id, method) GROUP BY 1) SELECT class_id, k > 1 AND k > 0.2 * n AS rejected FROM x")
@@ -203,9 +200,9 @@ def j16_equivalence(spark, d):
     return J.equivalence(*_runs(spark, d))
 
 
-@query("WITH t AS (SELECT DISTINCT l_partkey AS target, l_linenumber AS tier, l_orderkey AS test, CAST(l_quantity AS BIGINT) % 7 AS n_methods FROM lineitem WHERE l_linenumber <= 4), x AS (SELECT target, tier, count(*) AS n, CAST(30 + 2 * sum(CASE WHEN n_methods > 0 THEN n_methods ELSE 10 END) AS BIGINT) AS seconds FROM t GROUP BY 1, 2 HAVING count(*) >= 3) SELECT target, tier, n, seconds FROM x QUALIFY row_number() OVER (PARTITION BY target ORDER BY tier) = 1")
+@query("WITH t AS (SELECT DISTINCT l_partkey AS target, l_linenumber AS tier, l_orderkey AS test, CAST(l_quantity AS BIGINT) % 7 AS n_methods FROM lineitem), x AS (SELECT target, tier, count(*) AS n, CAST(30 + 2 * sum(CASE WHEN n_methods > 0 THEN n_methods ELSE 10 END) AS BIGINT) AS seconds FROM t GROUP BY 1, 2 HAVING count(*) >= 3) SELECT target, tier, n, seconds FROM x QUALIFY row_number() OVER (PARTITION BY target ORDER BY tier) = 1")
 def j09_chosen_tests(spark, d):
-    t = B.t(spark, d, "lineitem").filter("l_linenumber <= 4").select(F.col("l_partkey").alias("target"), F.col("l_linenumber").alias("tier"), F.col("l_orderkey").alias("test"), (F.col("l_quantity").cast("long") % 7).alias("n_methods"))
+    t = B.t(spark, d, "lineitem").select(F.col("l_partkey").alias("target"), F.col("l_linenumber").alias("tier"), F.col("l_orderkey").alias("test"), (F.col("l_quantity").cast("long") % 7).alias("n_methods"))
     return J.chosen_tests(t, 3)
 
 
