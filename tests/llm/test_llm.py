@@ -481,3 +481,39 @@ def test_pipeline_stages_on_odd_rows(spark, monkeypatch):
     assert got == {5: (long, 1), 7: (lead, len(lead)), None: (long, 1)}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_against_sql(spark, name):
+    import oracle
+
+    assert oracle.difference(queries.queries()[name](spark, SF), oracle.connect(SF), queries.oracle_sql()[name]) == ""
+
+
+COUNTS_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM places WHERE i <= len(w) - 4),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) t(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM w),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(d.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+len(w) < 10 OR 100 * coalesce(c.n, 0) > 20 * len(w) AS base_failed
+FROM w LEFT JOIN covered c USING (doc_id) LEFT JOIN dup d USING (doc_id)
+"""
+
+
+def test_quality_counts_against_sql(spark):
+    import oracle
+
+    got = quality.judge(spark.read.parquet(f"{SF}/documents.parquet"), None).drop("kept", "score")
+    assert oracle.difference(got, oracle.connect(SF), COUNTS_SQL) == ""
+
+
+def test_quality_rules_held_out(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    forest = quality.fit(docs, labels.filter("doc_id % 3 <> 0"))
+    rows = quality.judge(docs, forest).join(labels.filter("doc_id % 3 = 0"), "doc_id").collect()
+    assert np.mean([r.kept == bool(r.quality) for r in rows]) > 0.8 and not any(r.kept for r in rows if r.base_failed)
