@@ -16,7 +16,8 @@ from weftline.llm.toxicity import op2_toxicity
 #: Every string of 50 bytes by its place; those that a smaller doc_id has too make the removed runs.
 SUFFIX_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-p AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS g FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
+blocks AS (SELECT doc_id, a, substr(h, 2 * a + 1, 498) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49, 200)) AS a FROM d)),
+p AS (SELECT doc_id, a + j AS i, hash(substr(s, 2 * j + 1, 100)) AS g FROM (SELECT doc_id, a, s, unnest(range(0, least(200, len(s) // 2 - 49))) AS j FROM blocks)),
 hit AS (SELECT doc_id, i FROM p JOIN (SELECT g, min(doc_id) AS least FROM p GROUP BY g) USING (g) WHERE least < doc_id),
 marked AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS new FROM hit),
 numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
