@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -160,6 +161,16 @@ def crc_mod_py(doc_id, n: int) -> int:
     return zlib.crc32(("null" if doc_id is None else str(doc_id)).encode()) % n
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker process lives on from task to task, and what its
+    allocators hold for arrays long gone would add up with the executor's other workers."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20):
     """Cut a batch into runs of rows whose text takes about max_bytes; one long row is a run alone."""
     col = batch.column(column)
@@ -171,6 +182,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20):
         stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    release()
 
 
 def whole(texts: pa.Array) -> pa.Array:

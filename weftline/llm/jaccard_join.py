@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, hash_words, mix64, slices, small_side, whole, words_of
+from weftline.llm.common import cut, hash_words, mix64, release, slices, small_side, whole, words_of
 from weftline.llm.components import components
 
 SIZE, PERCENT = 5, 75
@@ -218,6 +218,7 @@ def _filter(scan: DataFrame) -> DataFrame:
     """doc_id, n, sig of all documents (c null), and doc_id, c: shared first tokens in one bucket."""
 
     def run(t: pa.Table) -> pa.Table:
+        release()
         bucket = t["bucket"][0].as_py()
         cols = [t[c].to_pylist() for c in ("keys", "owners", "ids", "sigs")]
         if bucket < 0:
@@ -268,6 +269,7 @@ def _clusters(sets: DataFrame, block: int, percent: int) -> DataFrame:
     """Verified links (leader, member) within blocks of sets that have one minimum token."""
 
     def run(t: pa.Table) -> pa.Table:
+        release()
         t = t.sort_by([("n", "ascending"), ("doc_id", "ascending")])
         ids = t["doc_id"].to_pylist()
         toks = [np.frombuffer(b, np.uint64) for b in t["tokens"].to_pylist()]
@@ -340,6 +342,7 @@ def _opened(sets: DataFrame, groups: DataFrame, buckets: int, percent: int, bloc
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("doc_id", "n", "grp", "members")), pa.array(token)], ["doc_id", "n", "grp", "members", "token"])
 
     def opened(asking: pa.Table, members: pa.Table) -> pa.Table:
+        release()
         members = members.sort_by([("n", "ascending"), ("doc_id", "ascending")])
         size = members["n"].to_numpy() if len(members) else np.zeros(0, np.int64)
         ids, toks = members["doc_id"].to_pylist(), [np.frombuffer(x, np.uint64) for x in members["tokens"].to_pylist()]

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import jaccard_join
-from weftline.llm.common import cut, hot_join, marked_rows, mix64, picked, slices, sliding, whole, word_codes, words_of
+from weftline.llm.common import cut, hot_join, marked_rows, mix64, picked, release, slices, sliding, whole, word_codes, words_of
 from weftline.llm.components import components
 from weftline.llm.jaccard_join import KEY_BYTES, links, pack_keys, unpack_keys
 
@@ -261,6 +261,7 @@ def _line_pairs(scan: DataFrame, few: int = 8) -> DataFrame:
     lines once each (many), without a partner, of keys of more than few contents."""
 
     def run(t: pa.Table) -> pa.Table:
+        release()
         keys = np.concatenate([unpack_keys(x) for x in t["keys"].to_pylist()])
         n = [len(x) // KEY_BYTES for x in t["keys"].to_pylist()]
         doc = _owners(t, n)
@@ -293,6 +294,7 @@ def _answers(scan: DataFrame) -> DataFrame:
     """For each batch of the scan, packed: its pieces (by rank) that a smaller doc_id outside it has, and where."""
 
     def run(t: pa.Table) -> pa.Table:
+        release()
         n = [len(x) // 8 for x in t["keys"].to_pylist()]
         keys = np.concatenate([np.frombuffer(x, "<u8") for x in t["keys"].to_pylist()])
         doc = _owners(t, n)
@@ -326,6 +328,7 @@ def _stretches(scan: DataFrame, min_words: int) -> DataFrame:
     without those that could not grow to min_words together with stretches near them."""
 
     def run(own: pa.Table, found: pa.Table) -> pa.Table:
+        release()
         names = [c.split()[0] for c in _STRETCHES.split(", ")]
         if not len(own):
             return pa.table([pa.array([], pa.int32() if "st" in c else pa.int64()) for c in names], names)
@@ -508,7 +511,7 @@ def _repeated_lines(rows: DataFrame, found: DataFrame, percent: int) -> DataFram
     return placed.join(least, "component").filter("doc_id > least").groupBy("doc_id").agg(F.collect_set(F.struct("unit", "content")).alias("lines"))
 
 
-def repeats(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, keys_per_bucket: int = 400_000) -> DataFrame:
+def repeats(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, keys_per_bucket: int = 200_000) -> DataFrame:
     """doc_id, lines (number and content of repeated ones), stretches (of words of a row, with what is
     beside them at their first place) of the documents that have any."""
     rows = _rows_of(docs)
