@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts go to Python in batches of so many rows: whole texts make batches of the usual length large."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
+    """Texts go to Python in batches of so many rows and bytes (one longer row is a batch alone): whole
+    texts make batches of the usual length large, in the executor's and in the worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
