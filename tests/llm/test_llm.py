@@ -517,3 +517,21 @@ def test_quality_rules_held_out(spark):
     forest = quality.fit(docs, labels.filter("doc_id % 3 <> 0"))
     rows = quality.judge(docs, forest).join(labels.filter("doc_id % 3 = 0"), "doc_id").collect()
     assert np.mean([r.kept == bool(r.quality) for r in rows]) > 0.8 and not any(r.kept for r in rows if r.base_failed)
+
+
+def test_toxicity_sample_in_parts():
+    """Words and windows of a training sample read in parts are those of the sample read at once."""
+    from weftline.llm import toxicity
+
+    rng = np.random.default_rng(1)
+    texts = ["" if i % 17 == 0 else " ".join(f"wörd{k}" for k in rng.integers(0, 900, rng.integers(1, 200))) for i in range(300)]
+    codes, row, lex = toxicity.prepare(pa.array(texts, pa.large_string()))
+    for max_bytes in (1, 5_000, 1 << 20):
+        c, r, other = toxicity.prepare_in_parts(texts, max_bytes)
+        assert np.array_equal(c, codes) and np.array_equal(r, row) and np.array_equal(other.gram, lex.gram)
+    words = pa.array(["", "a", "é x", "...", "the"] + [f"w{k}" for k in range(500)], pa.large_string())
+    whole, parts = toxicity.Lexicon(words), toxicity.Lexicon(words, 7)
+    assert all(np.array_equal(getattr(whole, k), getattr(parts, k)) for k in ("bucket", "gram", "owner", "ends"))
+    windows, _ = toxicity.cut_windows(codes, row, len(texts), lex.n)
+    net = toxicity.Network.fresh(3)
+    np.testing.assert_allclose(net.score_windows(*toxicity.words_in(lex, windows[:40])), net.score_windows(lex, windows)[:40], rtol=1e-4, atol=1e-5)

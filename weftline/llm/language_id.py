@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import gru
-from weftline.llm.common import crc_mod, kept_rows, slices, text_or_empty
+from weftline.llm.common import crc_mod, kept_rows, release, slices, text_or_empty
 
 WINDOW = 64
 BATCH = 4096
@@ -149,7 +149,9 @@ def training_sample(docs: DataFrame, per_lang: int, per_text: int) -> list[tuple
 
 
 def fit(docs: DataFrame, per_lang: int = 200, per_text: int = 24, **how) -> ByteTagger:
-    return train(training_sample(docs, per_lang, per_text), **how)
+    model = train(training_sample(docs, per_lang, per_text), **how)
+    release()
+    return model
 
 
 def keep_known(docs: DataFrame, model: ByteTagger, least: float) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import gru
-from weftline.llm.common import bounded_sample, crc_mod, kept_rows, mix64, slices, text_or_empty, word_codes, words_of
+from weftline.llm.common import bounded_sample, crc_mod, kept_rows, mix64, release, slices, text_or_empty, word_codes, words_of
 
 WINDOW, STRIDE, BATCH = 48, 36, 4096
 WORDS, TRIGRAMS, DIM, HIDDEN, ATTEND = 1 << 14, 1 << 16, 8, 8, 8
@@ -36,21 +36,30 @@ _TRIM = ".,;:!?\"'()[]{}<>*_-#"
 class Lexicon:
     """Distinct words of some texts: word buckets, trigram buckets and whose they are."""
 
-    def __init__(self, distinct: pa.Array):
+    def __init__(self, distinct: pa.Array, part: int = 1 << 15):
+        words = pc.utf8_trim(pc.utf8_lower(distinct.cast(pa.large_string())), _TRIM).cast(pa.large_binary())
+        self.n = len(words)
+        found = [self._items(words.slice(i, part).to_pylist()) for i in range(0, max(1, self.n), part)]  # in parts: what they take in between is large
+        self.bucket, n, self.gram = (np.concatenate([f[k] for f in found]) for k in range(3))
+        self.owner = np.repeat(np.arange(self.n, dtype=np.int32), n)
+        self._count()
+
+    @staticmethod
+    def _items(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word buckets, numbers of trigrams and beginnings, and those one word after another."""
         import xxhash
 
-        words = pc.utf8_trim(pc.utf8_lower(distinct.cast(pa.large_string())), _TRIM).cast(pa.large_binary()).to_pylist()
         h = xxhash.xxh3_64_intdigest
-        self.n = len(words)
-        self.bucket = (np.fromiter(map(h, words), np.uint64, self.n) % np.uint64(WORDS)).astype(np.int64)
+        many = len(words)
+        bucket = (np.fromiter(map(h, words), np.uint64, many) % np.uint64(WORDS)).astype(np.int64)
         data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.int64)
-        size = np.fromiter(map(len, words), np.int64, self.n)
-        owner = np.repeat(np.arange(self.n), size + 1)[: len(data) - 2]
+        size = np.fromiter(map(len, words), np.int64, many)
+        owner = np.repeat(np.arange(many), size + 1)[: len(data) - 2]
         gram = ((data[:-2] << 16) + (data[1:-1] << 8) + data[2:]).astype(np.uint64)
         inner = data[1:-1] != 32
         owners, grams = [owner[inner].astype(np.int32)], [gram[inner]]
         first = np.cumsum(size + 1) - size
-        stem = np.zeros(self.n, np.uint64)
+        stem = np.zeros(many, np.uint64)
         for k in range(max(STEMS)):
             longer = size > k + 1
             stem = np.where(longer, mix64(stem * np.uint64(257) + data[np.minimum(first + k, len(data) - 1)].astype(np.uint64)), stem)
@@ -59,9 +68,8 @@ class Lexicon:
                 grams.append(stem[longer])
         owner = np.concatenate(owners)
         order = np.argsort(owner, kind="stable")
-        self.owner = owner[order].astype(np.int32)
-        self.gram = ((np.concatenate(grams)[order] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TRIGRAMS.bit_length() + 1)).astype(np.int32)
-        self._count()
+        gram = (np.concatenate(grams)[order] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TRIGRAMS.bit_length() + 1)
+        return bucket, np.bincount(owner, minlength=many), gram.astype(np.int32)
 
     def _count(self) -> None:
         n = np.bincount(self.owner, minlength=self.n)
@@ -122,6 +130,14 @@ def cut_windows(codes: np.ndarray, row: np.ndarray, n_rows: int, blank: int) ->
     return flat[np.where(live, first[owner][:, None] + at, len(codes))], owner
 
 
+def words_in(lex: Lexicon, windows: np.ndarray) -> tuple[Lexicon, np.ndarray]:
+    """The lexicon of the words of some windows, and the windows in its codes."""
+    used, idx = np.unique(windows, return_inverse=True)
+    if used[-1] != lex.n:
+        used = np.append(used, lex.n)
+    return lex.subset(used[:-1]), idx.reshape(windows.shape)
+
+
 class Network:
     def __init__(self, p: dict[str, np.ndarray], trained: bool):
         self.p, self.trained = p, trained
@@ -198,7 +214,21 @@ def prepare(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Lexicon]:
     return codes, row, Lexicon(distinct)
 
 
-def _counted(doc: np.ndarray, item, rows: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def prepare_in_parts(texts: list[str], max_bytes: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, Lexicon]:
+    """What prepare() gives, from so many bytes of text at a time: all words of a sample at once are large."""
+    codes, rows, distinct, seen, at = [], [], [], 0, 0
+    for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"]), "text", max_bytes):
+        flat, row = words_of(part.column(0))
+        own, words = word_codes(flat)
+        codes.append(own + seen)
+        rows.append(row + at)
+        distinct.append(words)
+        seen, at = seen + len(words), at + len(part)
+    to, words = word_codes(pa.concat_arrays(distinct))
+    return to[np.concatenate(codes)], np.concatenate(rows), Lexicon(words)
+
+
+def _counted(doc: np.ndarray, item, rows: int = 10_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Parts of (doc, item) that hold whole documents; doc is in order, item(a, b) gives the items of a part."""
     a = 0
     while a < len(doc):
@@ -225,8 +255,9 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 2, steps: int = 60,
     if len(np.unique(toxic)) < 2:
         return net
     rng = np.random.default_rng(seed)
-    codes, row, lex = prepare(pa.array(texts, pa.large_string()))
+    codes, row, lex = prepare_in_parts(texts)
     windows, owner = cut_windows(codes, row, len(texts), lex.n)
+    release()
     y = toxic.astype(np.int64)
     pairs = np.unique(row * (lex.n + 1) + codes)
     doc, word = pairs // (lex.n + 1), pairs % (lex.n + 1)
@@ -255,11 +286,8 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 2, steps: int = 60,
         for step in range(steps):
             adam.rate = rate * (1 - 0.9 * (r * steps + step) / (rounds * steps))
             pick = np.concatenate([rng.choice(pos, batch // 2), rng.choice(hard, batch // 6), rng.choice(hardest, batch // 6), rng.choice(clean, batch // 6)])
-            used, idx = np.unique(windows[pick], return_inverse=True)
-            if used[-1] != lex.n:
-                used = np.append(used, lex.n)
-            part = lex.subset(used[:-1])
-            idx = np.ascontiguousarray(idx.reshape(len(pick), WINDOW).T)
+            part, idx = words_in(lex, windows[pick])
+            idx = np.ascontiguousarray(idx.T)
             want = y[owner[pick]]
             use = (rng.random(part.n) >= hide).astype(np.float32)
             e = part.vectors(net.p, use)
@@ -268,7 +296,8 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 2, steps: int = 60,
             adam.step(net.p, net.gradients(part, e, idx, kept, d, use))
             net.p["words"] *= 1 - decay
             net.p["chars"] *= 1 - decay
-        guess = net.score_windows(lex, windows)
+        # in parts with their own words: the driver's memory also holds the JVM
+        guess = np.concatenate([net.score_windows(*words_in(lex, windows[i : i + 1024])) for i in range(0, len(windows), 1024)])
     net.trained = True
     return net
 
@@ -277,7 +306,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200, max_bytes: in
     """Trained on labels of ids outside the held-out fifth."""
     rows = bounded_sample(labels.filter(crc_mod("doc_id", 5) != 0), docs, "toxic", per_class, max_bytes).collect()
     rows.sort(key=lambda r: r.doc_id)
-    return train([r.text for r in rows], np.array([r.toxic for r in rows], np.int64), **how)
+    texts, toxic = [r.text for r in rows], np.array([r.toxic for r in rows], np.int64)
+    del rows
+    release()
+    net = train(texts, toxic, **how)
+    release()
+    return net
 
 
 def keep_clean(docs: DataFrame, net: Network) -> DataFrame:
