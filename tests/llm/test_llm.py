@@ -521,8 +521,6 @@ def test_quality_rules_held_out(spark):
 
 def test_toxicity_sample_in_parts():
     """Words and windows of a training sample read in parts are those of the sample read at once."""
-    from weftline.llm import toxicity
-
     rng = np.random.default_rng(1)
     texts = ["" if i % 17 == 0 else " ".join(f"wörd{k}" for k in rng.integers(0, 900, rng.integers(1, 200))) for i in range(300)]
     codes, row, lex = toxicity.prepare(pa.array(texts, pa.large_string()))
