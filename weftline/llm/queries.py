@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import fill_in_middle
+from weftline.llm import fill_in_middle, warc
 from weftline.llm.fill_in_middle import op11_fill_in_middle
 from weftline.llm.jaccard_join import op10_jaccard_join
 from weftline.llm.language_id import op7_language_id
@@ -14,6 +14,7 @@ from weftline.llm.substring_dedup import op5_substring_dedup
 from weftline.llm.suffix_dedup import op1_suffix_dedup
 from weftline.llm.token_counts import op3_token_counts
 from weftline.llm.toxicity import op2_toxicity
+from weftline.llm.warc import op13_warc
 
 #: Every string of 50 bytes by its place; those that a smaller doc_id has too make the removed runs.
 SUFFIX_SQL = """
@@ -51,9 +52,9 @@ SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, least AS component_id FROM n
 
 
 def queries() -> dict:
-    found = [op1_suffix_dedup, op2_toxicity, op3_token_counts, op4_quality_rules, op5_substring_dedup, op6_packing, op7_language_id, op8_sentence_pieces, op9_media, op10_jaccard_join, op11_fill_in_middle]
+    found = [op1_suffix_dedup, op2_toxicity, op3_token_counts, op4_quality_rules, op5_substring_dedup, op6_packing, op7_language_id, op8_sentence_pieces, op9_media, op10_jaccard_join, op11_fill_in_middle, op13_warc]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": SUFFIX_SQL, "op10_jaccard_join": JACCARD_SQL, "op11_fill_in_middle": fill_in_middle.SQL}
+    return {"op1_suffix_dedup": SUFFIX_SQL, "op10_jaccard_join": JACCARD_SQL, "op11_fill_in_middle": fill_in_middle.SQL, "op13_warc": warc.SQL}
