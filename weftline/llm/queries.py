@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from weftline.llm import fill_in_middle, warc
+from weftline.llm import collocations, fill_in_middle, warc
+from weftline.llm.collocations import op12_collocations
 from weftline.llm.fill_in_middle import op11_fill_in_middle
 from weftline.llm.jaccard_join import op10_jaccard_join
 from weftline.llm.language_id import op7_language_id
@@ -52,9 +53,9 @@ SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, least AS component_id FROM n
 
 
 def queries() -> dict:
-    found = [op1_suffix_dedup, op2_toxicity, op3_token_counts, op4_quality_rules, op5_substring_dedup, op6_packing, op7_language_id, op8_sentence_pieces, op9_media, op10_jaccard_join, op11_fill_in_middle, op13_warc]
+    found = [op1_suffix_dedup, op2_toxicity, op3_token_counts, op4_quality_rules, op5_substring_dedup, op6_packing, op7_language_id, op8_sentence_pieces, op9_media, op10_jaccard_join, op11_fill_in_middle, op12_collocations, op13_warc]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": SUFFIX_SQL, "op10_jaccard_join": JACCARD_SQL, "op11_fill_in_middle": fill_in_middle.SQL, "op13_warc": warc.SQL}
+    return {"op1_suffix_dedup": SUFFIX_SQL, "op10_jaccard_join": JACCARD_SQL, "op11_fill_in_middle": fill_in_middle.SQL, "op12_collocations": collocations.SQL, "op13_warc": warc.SQL}
