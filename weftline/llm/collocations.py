@@ -142,6 +142,8 @@ def sketch(parts: DataFrame, blocks: int, most: int) -> DataFrame:
         for batch in batches:
             for shard, lang, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "lang", "text")), strict=True):
                 keys = np.concatenate([keys_of(g, blocks) for _, _, g in Tokens(lang, data).phrases(most)])
+                if not len(keys):
+                    continue
                 keys, counts = np.unique(keys, return_counts=True)
                 found, starts = np.unique(keys >> np.uint64(CELLS), return_index=True)
                 cells = (keys & np.uint64((1 << CELLS) - 1)).astype(np.int64)
