@@ -7,15 +7,16 @@
    key. A shard keeps each distinct context once with its least doc_id. Keys whose contexts are all
    equal are settled; the others' contexts form the shard's text. Its suffix array is built by
    Larsson-Sadakane refinement in numpy (ranks doubled, only groups not yet single are sorted again,
-   up to 50 bytes), with common prefixes by Kasai's rule, all steps of one rank distance at once.
+   up to 50 bytes), with common prefixes on which all suffixes advance together (common_prefixes).
    Runs of suffixes with a common prefix of 50 bytes are equal strings; each run's least doc_id
    decides. A shard of more than ``shard_bytes`` is cut into several arrays; their sorted strings are
    merged by binary search.
 3. The spans so found are joined to their documents, merged, and cut out.
 
 Exact copies of a text are settled first: all their strings start in the copy with the least doc_id.
-Null texts are empty. Rows without doc_id are compared with nothing and keep all their bytes. Rows
-that repeat a doc_id are one document. Extra columns are not carried.
+Null texts are empty. Rows without doc_id are compared with nothing and keep all their bytes. Every
+row of a repeated doc_id is judged by its own text, against rows of smaller doc_ids only. Extra
+columns are not carried.
 """
 
 from __future__ import annotations
@@ -181,7 +182,7 @@ def merged_owners(contexts: np.ndarray, least: np.ndarray, shard_bytes: int) ->
     return np.concatenate(parts)
 
 
-_BLOBS = "bucket long, keys binary, owners binary, places binary, ids binary"
+_BLOBS = "bucket long, keys binary, owners binary, places binary, ids binary, rows binary"
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,7 +198,7 @@ def _anchor_scan(docs: DataFrame, buckets: int) -> DataFrame:
                 at, keys = anchors(data, start, size)
                 if not len(at):
                     continue
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                ids, rows = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "row"))
                 doc = np.searchsorted(start + size, at, side="right")
                 place = at - start[doc]
                 of = (keys % np.uint64(buckets)).astype(np.int64)
@@ -207,54 +208,54 @@ def _anchor_scan(docs: DataFrame, buckets: int) -> DataFrame:
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     r = order[a:b]
                     used, local = np.unique(doc[r], return_inverse=True)
-                    made.append((int(of[r[0]]), pack_keys(keys[r]), local.astype("<u4").tobytes(), place[r].astype("<u4").tobytes(), ids[used].astype("<i8").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate((pa.int64(), *[pa.binary()] * 4))], ["bucket", "keys", "owners", "places", "ids"])
+                    made.append((int(of[r[0]]), pack_keys(keys[r]), local.astype("<u4").tobytes(), place[r].astype("<u4").tobytes(), ids[used].astype("<i8").tobytes(), rows[used].astype("<i8").tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate((pa.int64(), *[pa.binary()] * 5))], ["bucket", "keys", "owners", "places", "ids", "rows"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _BLOBS)
+    return docs.select("doc_id", "row", "text").mapInArrow(run, _BLOBS)
 
 
 def _shared(scan: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, places: shared anchors of each document."""
+    """doc_id, row, places: anchors of each row that rows of another doc_id have too."""
 
     def run(t: pa.Table) -> pa.Table:
         keys = np.concatenate([unpack_keys(x) for x in t["keys"].to_pylist()])
-        ids = [np.frombuffer(x, "<i8") for x in t["ids"].to_pylist()]
-        doc = np.concatenate([i[np.frombuffer(x, "<u4")] for x, i in zip(t["owners"].to_pylist(), ids, strict=True)])
+        owners = [np.frombuffer(x, "<u4") for x in t["owners"].to_pylist()]
+        doc, row = (np.concatenate([np.frombuffer(x, "<i8")[o] for x, o in zip(t[c].to_pylist(), owners, strict=True)]) for c in ("ids", "rows"))
         place = np.concatenate([np.frombuffer(x, "<u4") for x in t["places"].to_pylist()])
         order = np.argsort(keys, kind="stable")
         k, d = keys[order], doc[order]
         start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         two = np.repeat(np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start), np.diff(np.append(start, len(k))))
-        d, p = d[two], place[order][two]
+        d, r, p = d[two], row[order][two], place[order][two]
         to = (mix64(d.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        by = np.lexsort((d, to))
+        by = np.lexsort((r, d, to))
         cuts = np.flatnonzero(np.diff(to[by], prepend=-1, append=-1))
-        made = [(int(to[by[a]]), d[by[a:b]].astype("<i8").tobytes(), p[by[a:b]].astype("<u4").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pa.table([pa.array([m[i] for m in made], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["bucket", "docs", "places"])
+        made = [(int(to[by[a]]), d[by[a:b]].astype("<i8").tobytes(), r[by[a:b]].astype("<i8").tobytes(), p[by[a:b]].astype("<u4").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table([pa.array([m[i] for m in made], k) for i, k in enumerate((pa.int64(), *[pa.binary()] * 3))], ["bucket", "docs", "rows", "places"])
 
     def gather(t: pa.Table) -> pa.Table:
-        d = np.concatenate([np.frombuffer(x, "<i8") for x in t["docs"].to_pylist()])
+        d, r = (np.concatenate([np.frombuffer(x, "<i8") for x in t[c].to_pylist()]) for c in ("docs", "rows"))
         p = np.concatenate([np.frombuffer(x, "<u4") for x in t["places"].to_pylist()])
-        by = np.argsort(d, kind="stable")
-        d, p = d[by], p[by]
-        cuts = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-        return pa.table([pa.array(d[cuts]), pa.array([x.astype("<u4").tobytes() for x in np.split(p, cuts[1:])], pa.binary())], ["doc_id", "places"])
+        by = np.lexsort((r, d))
+        d, r, p = d[by], r[by], p[by]
+        cuts = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (r[1:] != r[:-1])))
+        return pa.table([pa.array(d[cuts]), pa.array(r[cuts]), pa.array([np.unique(x).astype("<u4").tobytes() for x in np.split(p, cuts[1:])], pa.binary())], ["doc_id", "row", "places"])
 
-    packed = scan.groupBy("bucket").applyInArrow(run, "bucket long, docs binary, places binary")
-    return packed.groupBy("bucket").applyInArrow(gather, "doc_id long, places binary")
+    packed = scan.groupBy("bucket").applyInArrow(run, "bucket long, docs binary, rows binary, places binary")
+    return packed.groupBy("bucket").applyInArrow(gather, "doc_id long, row long, places binary")
 
 
-_CONTEXTS = "bucket long, keys binary, places binary, docs binary, contexts binary"
+_CONTEXTS = "bucket long, keys binary, places binary, docs binary, rows binary, contexts binary"
 
 
 def _contexts(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed contexts of shared anchors by bucket; docs has doc_id, text, places."""
+    """Packed contexts of shared anchors by bucket; docs has doc_id, row, text, places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 data, start, size = _joined([t.encode() for t in part.column("text").to_pylist()])
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                ids, rows = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "row"))
                 lists = [np.frombuffer(x, "<u4").astype(np.int64) for x in part.column("places").to_pylist()]
                 doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
                 if not len(doc):
@@ -275,23 +276,23 @@ def _contexts(docs: DataFrame, buckets: int) -> DataFrame:
                     inside = (spot >= start[doc[r]][:, None]) & (spot < (start + size)[doc[r]][:, None])
                     ctx = np.where(inside, data[np.clip(spot, 0, len(data) - 1)], np.uint8(GAP))
                     cuts = np.flatnonzero(np.diff(of[r], prepend=-1, append=-1))
-                    made = [(int(of[r[x]]), pack_keys(keys[r[x:y]]), place[r[x:y]].astype("<u4").tobytes(), ids[doc[r[x:y]]].astype("<i8").tobytes(), ctx[x:y].tobytes()) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate((pa.int64(), *[pa.binary()] * 4))], ["bucket", "keys", "places", "docs", "contexts"])
+                    made = [(int(of[r[x]]), pack_keys(keys[r[x:y]]), place[r[x:y]].astype("<u4").tobytes(), ids[doc[r[x:y]]].astype("<i8").tobytes(), rows[doc[r[x:y]]].astype("<i8").tobytes(), ctx[x:y].tobytes()) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate((pa.int64(), *[pa.binary()] * 5))], ["bucket", "keys", "places", "docs", "rows", "contexts"])
 
-    return docs.select("doc_id", "text", "places").mapInArrow(run, _CONTEXTS)
+    return docs.select("doc_id", "row", "text", "places").mapInArrow(run, _CONTEXTS)
 
 
 def _spans(contexts: DataFrame, shard_bytes: int) -> DataFrame:
-    """doc_id, start, stop (bytes) that the anchors of each bucket give."""
+    """doc_id, row, start, stop (bytes) that the anchors of each bucket give."""
 
     def run(t: pa.Table) -> pa.Table:
         keys = np.concatenate([unpack_keys(x) for x in t["keys"].to_pylist()])
-        doc = np.concatenate([np.frombuffer(x, "<i8") for x in t["docs"].to_pylist()])
+        doc, row = (np.concatenate([np.frombuffer(x, "<i8") for x in t[c].to_pylist()]) for c in ("docs", "rows"))
         place = np.concatenate([np.frombuffer(x, "<u4") for x in t["places"].to_pylist()]).astype(np.int64)
         ctx = np.concatenate([np.frombuffer(x, np.uint8) for x in t["contexts"].to_pylist()]).reshape(-1, CONTEXT)
         whole, of = np.unique(ctx.view(f"V{CONTEXT}").reshape(-1), return_inverse=True)  # equal contexts have one key
         del ctx
-        rows = whole.view(np.uint8).reshape(-1, CONTEXT)
+        texts = whole.view(np.uint8).reshape(-1, CONTEXT)
         least = np.full(len(whole), np.iinfo(np.int64).max)
         np.minimum.at(least, of, doc)
         key = np.zeros(len(whole), np.uint64)
@@ -301,21 +302,21 @@ def _spans(contexts: DataFrame, shard_bytes: int) -> DataFrame:
         mixed = mixed[np.argsort(of_key[mixed], kind="stable")]
         slot = np.full(len(whole), -1, np.int64)
         slot[mixed] = np.arange(len(mixed))
-        own = merged_owners(rows[mixed], least[mixed], shard_bytes) if len(mixed) else np.zeros((1, SPAN), np.int64)
+        own = merged_owners(texts[mixed], least[mixed], shard_bytes) if len(mixed) else np.zeros((1, SPAN), np.int64)
         found = []
         for a in range(0, len(doc), 20_000):
             c, d, at = of[a : a + 20_000], doc[a : a + 20_000], place[a : a + 20_000]
-            gap = np.concatenate([np.zeros((len(c), 1), np.uint8), np.cumsum(rows[c] == GAP, axis=1, dtype=np.uint8)], axis=1)
+            gap = np.concatenate([np.zeros((len(c), 1), np.uint8), np.cumsum(texts[c] == GAP, axis=1, dtype=np.uint8)], axis=1)
             hit = (least[c] < d)[:, None] & (gap[:, LENGTH:] == gap[:, : CONTEXT - LENGTH + 1])
             m = slot[c] >= 0
             hit[m] = own[slot[c[m]]] < d[m][:, None]
             edge = np.diff(hit.astype(np.int8), axis=1, prepend=0, append=0)
             i, s = np.nonzero(edge == 1)
             e = np.nonzero(edge == -1)[1]
-            found.append((d[i], at[i] - BEFORE + s, at[i] - BEFORE + e - 1 + LENGTH))
-        return pa.table([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["doc_id", "start", "stop"])
+            found.append((d[i], row[a : a + 20_000][i], at[i] - BEFORE + s, at[i] - BEFORE + e - 1 + LENGTH))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["doc_id", "row", "start", "stop"])
 
-    return contexts.groupBy("bucket").applyInArrow(run, "doc_id long, start long, stop long")
+    return contexts.groupBy("bucket").applyInArrow(run, "doc_id long, row long, start long, stop long")
 
 
 def _apply(docs: DataFrame) -> DataFrame:
@@ -351,20 +352,30 @@ def _apply(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "cutting", "copy").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept binary")
 
 
+def _with_row(rows: DataFrame, again: DataFrame, name: str) -> DataFrame:
+    """rows with row: a hash of the text (name: the text, or its hash) where texts differ under one doc_id, else 0."""
+    if again.isEmpty():
+        return rows.withColumn("row", F.lit(0).cast("long"))
+    own = F.col(name) if name == "a" else F.xxhash64(name)
+    return rows.join(small_side(again.withColumn("many", F.lit(True)), 24), "doc_id", "left").withColumn("row", F.when(F.col("many"), own).otherwise(F.lit(0).cast("long"))).drop("many")
+
+
 def dedup(docs: DataFrame, anchors_per_bucket: int = 400_000, shard_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans, kept (bytes) of each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(8, round(size / 18 / anchors_per_bucket))
     signed = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("a"), F.crc32(F.col("text").cast("binary")).alias("b"), F.octet_length("text").alias("n"))
+    again = cut(signed.groupBy("doc_id").agg(F.min("a").alias("x"), F.max("a").alias("y")).filter("x <> y").select("doc_id"))
+    docs, signed = (_with_row(x, again, name) for x, name in ((docs, "text"), (signed, "a")))
     copies = cut(signed.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"))
-    copies = cut(signed.filter(f"n >= {LENGTH}").join(small_side(copies, 64), ["a", "b", "n"]).filter("doc_id <> rep").select("doc_id").distinct())
-    first = docs.filter("doc_id is not null").join(small_side(copies, 24), "doc_id", "left_anti")
+    copies = cut(signed.filter(f"n >= {LENGTH}").join(small_side(copies, 64), ["a", "b", "n"]).filter("doc_id <> rep").select("doc_id", "row").distinct())
+    first = docs.filter("doc_id is not null").join(small_side(copies, 32), ["doc_id", "row"], "left_anti")
     shared = cut(_shared(_anchor_scan(first, buckets), buckets))
-    spans = cut(_spans(_contexts(first.join(shared, "doc_id"), 8 * buckets), shard_bytes))
-    cutting = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cutting"))
+    spans = cut(_spans(_contexts(first.join(shared, ["doc_id", "row"]), 8 * buckets), shard_bytes))
+    cutting = spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "stop")).alias("cutting"))
     marks = cutting.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
-    return _apply(docs.join(marks, "doc_id", "left"))
+    return _apply(docs.join(marks, ["doc_id", "row"], "left"))
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
