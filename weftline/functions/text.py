@@ -163,3 +163,42 @@ def listed(text: Column, name: str) -> Column:
 def suggestions(text: Column) -> Column:
     """The insides of all <suggestion> blocks of an answer."""
     return F.regexp_extract_all(text, F.lit(r"(?s)<suggestion>(.*?)</suggestion>"), 1)
+
+
+def split_parameters(text: Column) -> Column:
+    """The parts of a parameter list between commas outside <...>, as they stand; a part after the last comma only if not empty."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("part"), F.array().cast("array<string>").alias("done"))
+
+    def step(s, c):
+        cut = (c == ",") & (s["depth"] == 0)
+        depth = s["depth"] + F.when(c == "<", 1).when(c == ">", -1).otherwise(0)
+        done = F.when(cut, F.concat(s["done"], F.array(s["part"]))).otherwise(s["done"])
+        return F.struct(depth.alias("depth"), F.when(cut, "").otherwise(F.concat(s["part"], c)).alias("part"), done.alias("done"))
+
+    return F.aggregate(F.split(F.coalesce(text, F.lit("")), ""), start, step, lambda s: F.when(s["part"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["part"]))))
+
+
+def parameter_type(parameter: Column) -> Column:
+    """The type of one parameter such as "final List<String> items": annotations and final or var go, a
+    variable number becomes [], and what stands before the last space outside <...> is the type; if
+    there is none, all of it. Spaces after commas go."""
+    p = F.regexp_replace(F.regexp_replace(F.trim(parameter), r"^(@\w+\s+)*", ""), r"^(final|var)\s+", "")
+    many = F.when(p.contains("..."), "[]").otherwise("")
+    p = F.replace(p, F.lit("..."), F.lit(""))
+    # from the right: the first space at depth 0 (found: its place from the end, 0 none yet)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("found"))
+
+    def step(s, c):
+        depth = s["depth"] + F.when(c == ">", 1).when(c == "<", -1).otherwise(0)
+        found = F.when((s["found"] == 0) & (s["depth"] == 0) & c.rlike(r"^\s$"), s["seen"] + 1).otherwise(s["found"])
+        return F.struct(depth.alias("depth"), (s["seen"] + 1).alias("seen"), found.alias("found"))
+
+    back = F.aggregate(F.split(F.reverse(p), ""), start, step, lambda s: s["found"])
+    before = F.trim(F.substring(p, F.lit(1), F.length(p) - back))
+    kind = F.when((back > 0) & (back < F.length(p)), before).otherwise(p)
+    return F.regexp_replace(F.concat(kind, many), r",\s+", ",")
+
+
+def parameter_types(text: Column) -> Column:
+    """The types of a parameter list, in order; blank parts are none."""
+    return F.transform(F.filter(split_parameters(text), lambda x: F.trim(x) != ""), parameter_type)

@@ -625,4 +625,4 @@ def m02_windowed_counts(spark, d):
     return X.member_counts(e, length="7 days")
 
 
-from weftline.plans import more, review  # noqa: E402,F401  (add their queries to these)
+from weftline.plans import code, more, review  # noqa: E402,F401  (add their queries to these)
