@@ -14,7 +14,9 @@ one band: its whole content.
 2. Lines of different contents that collide are paired at the first place of each content and
    verified by exact Jaccard similarity of their shingle sets; the lines of a key of more than 8
    contents go through the exact Jaccard join together, so that no pair of theirs is left out.
-   Components of verified lines are formed; every line but those of the least doc_id is a repeat.
+   Components of verified contents are formed. Then every place of a line, not its first one only, is
+   held against the least doc_id that has its content or one of its component: a line of a greater
+   doc_id is a repeat.
 3. Shared pieces in a row form stretches of one document in another. The words beside a stretch are
    compared with those beside it at its first place (the least doc_id), and it grows while they are
    equal: REACH words a side reach any end. Where stretches of one other document leave gaps of less
@@ -22,8 +24,8 @@ one band: its whole content.
 
 Of a document are removed: runs of ``min_words`` words or more in repeated lines and stretches. Texts
 without such a run stay as they are, byte for byte. Keys and words are compared by 64-bit hashes; a
-run of min_words never rests on one of them alone. A repeated line is named by its doc_id, its number
-and a hash of its words.
+run of min_words never rests on one of them alone. A line is named by its doc_id, its number and a hash
+of its words.
 
 A-Z are lower-cased for comparison. Null, empty and blank texts and rows without doc_id have no
 repeats and are not searched. Rows that share a doc_id are told apart by their text and are not
@@ -107,8 +109,8 @@ class Paragraphs:
         return key[ok], text, start - self.first[text], size[ok] + SHINGLE - 1
 
     def names(self) -> np.ndarray:
-        """What tells lines of one doc_id and number apart: part of their content's hash."""
-        return self.contents(self.line_start, self.line_size).astype(np.uint32).astype(np.int64)
+        """What tells lines of one doc_id and number apart: their content's hash."""
+        return self.contents(self.line_start, self.line_size).view(np.int64)
 
     def shingles(self) -> tuple[np.ndarray, np.ndarray]:
         """Shingle hashes inside lines, and the line of each."""
@@ -137,7 +139,7 @@ def _rows_of(docs: DataFrame) -> DataFrame:
 
 
 _BLOBS = "kind int, bucket long, flush long, keys binary, place binary, unit binary, content binary, ids binary, rows binary"
-_LINES, _PIECES, _OWN = 0, 1, 2
+_LINES, _PIECES, _OWN, _SEEN = 0, 1, 2, 3
 
 
 def _least(kind_max: int) -> str:
@@ -184,7 +186,7 @@ class _Flush:
 
     def batch(self, flush: int) -> pa.RecordBatch:
         x = {k: np.concatenate(v) for k, v in self.held.items()}
-        made = [*self._lines(x, flush), *self._pieces(x, flush)]
+        made = [*self._lines(x, flush), *self._pieces(x, flush), *self._seen(x, flush)]
         self.clear()
         kinds = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6)
         return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], [c.split()[0] for c in _BLOBS.split(", ")])
@@ -203,7 +205,14 @@ class _Flush:
             r = order[a:b]
             who, where = x["line_doc"][line[r]], x["line_no"][line[r]]
             used, local = np.unique(who, return_inverse=True)
-            yield _LINES, int(of[r[0]]), flush, pack_keys(keys[r]), local.astype(_least(len(used))).tobytes(), where.astype(_least(int(where.max()))).tobytes(), x["content"][line[r]].astype("<u4").tobytes(), _pack_ids(x["ids"][used]), None
+            yield _LINES, int(of[r[0]]), flush, pack_keys(keys[r]), local.astype(_least(len(used))).tobytes(), where.astype(_least(int(where.max()))).tobytes(), x["content"][line[r]].astype("<u8").tobytes(), _pack_ids(x["ids"][used]), None
+
+    def _seen(self, x, flush):
+        """All lines that have keys: contents (keys), documents (place: their numbers) and numbers (unit)."""
+        doc = x["line_doc"]
+        if len(doc):
+            used, local = np.unique(doc, return_inverse=True)
+            yield _SEEN, flush, flush, x["content"].astype("<u8").tobytes(), local.astype("<u4").tobytes(), x["line_no"].astype("<u4").tobytes(), None, x["ids"][used].astype("<i8").tobytes(), None
 
     def _pieces(self, x, flush):
         """Packed distinct keys of pieces by bucket, at their first place; and, to read the answers by,
@@ -266,7 +275,7 @@ def _line_pairs(scan: DataFrame, few: int = 8) -> DataFrame:
         n = [len(x) // KEY_BYTES for x in t["keys"].to_pylist()]
         doc = _owners(t, n)
         unit = np.concatenate([_numbers(x, m) for x, m in zip(t["unit"].to_pylist(), n, strict=True)])
-        content = np.concatenate([np.frombuffer(x, "<u4") for x in t["content"].to_pylist()]).astype(np.int64)
+        content = np.concatenate([np.frombuffer(x, "<i8") for x in t["content"].to_pylist()])
         order = np.lexsort((unit, doc, content, keys))
         k, c = keys[order], content[order]
         lead = order[np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))]  # first place of each content of a key
@@ -495,20 +504,38 @@ def _line_texts(rows: DataFrame, lines: DataFrame) -> DataFrame:
     return cut(texts.select("text", "lines").mapInArrow(run, "doc_id long, text string").dropDuplicates(["doc_id"]))
 
 
-def _repeated_lines(rows: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """doc_id, lines: the lines (unit, content) that are similar to one of a smaller doc_id."""
+def _seen_lines(scan: DataFrame) -> DataFrame:
+    """content, doc_id, unit of all lines that have band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, place, unit, ids in zip(*(batch.column(c).to_pylist() for c in ("keys", "place", "unit", "ids")), strict=True):
+                doc = np.frombuffer(ids, "<i8")[np.frombuffer(place, "<u4")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, "<i8")), pa.array(doc), pa.array(np.frombuffer(unit, "<i4"))], ["content", "doc_id", "unit"])
+
+    return scan.filter(F.col("kind") == _SEEN).select("keys", "place", "unit", "ids").mapInArrow(run, "content long, doc_id long, unit int")
+
+
+def _repeated_lines(rows: DataFrame, scan: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """doc_id, lines: all lines (unit, content) equal or similar to one of a smaller doc_id."""
     first = ["doc_id", "unit", "content"]
-    node = lambda *c: F.xxhash64(*c)
-    pairs = cut(found.filter("not many").drop("many").distinct().withColumns({"node": node(*first), "other_node": node("other_doc", "other_unit", "other_content")}))
-    ends = cut(pairs.select(*first, "node").union(pairs.select("other_doc", "other_unit", "other_content", "other_node")).distinct())
-    edges = cut(_verified(rows, pairs.select(F.col("node").alias("src"), F.col("other_node").alias("dst")), ends, percent))
-    many = cut(found.filter("many").select(*first).distinct().withColumn("node", node(*first)))
+    pairs = cut(found.filter("not many").drop("many").distinct())
+    ends = cut(pairs.select(*first).union(pairs.select("other_doc", "other_unit", "other_content")).distinct().withColumn("node", F.col("content")))
+    edges = cut(_verified(rows, pairs.select(F.col("content").alias("src"), F.col("other_content").alias("dst")), ends, percent))
+    many = cut(found.filter("many").select(*first).distinct().withColumn("node", F.col("content")))
     if not many.isEmpty():
         joined = jaccard_join.join(_line_texts(rows, many), percent).filter("component_id <> doc_id")
-        edges, ends = edges.union(joined.select("doc_id", "component_id")), ends.union(many).distinct()
-    placed = cut(ends.join(components(edges), "node"))
-    least = placed.groupBy("component").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "component").filter("doc_id > least").groupBy("doc_id").agg(F.collect_set(F.struct("unit", "content")).alias("lines"))
+        edges = edges.union(joined.select("doc_id", "component_id"))
+    placed = cut(components(edges).select(F.col("node").alias("content"), "component"))
+    seen = cut(_seen_lines(scan))
+    known = seen.groupBy("content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n"))
+    near = cut(known.join(placed, "content"))
+    least = cut(near.groupBy("component").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n")))
+    near = hot_join(near, least.select("component", "first"), ["component"], least.select("component", "n")).select("content", "first", "most", "n")
+    equal = known.filter("most > least").join(placed, "content", "left_anti").select("content", F.col("least").alias("first"), "most", "n")
+    repeated = cut(near.union(equal).filter("most > first").drop("most"))
+    every = hot_join(seen, repeated.select("content", "first"), ["content"], repeated.select("content", "n"))
+    return every.filter("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("unit", "content")).alias("lines"))
 
 
 def repeats(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, keys_per_bucket: int = 200_000) -> DataFrame:
@@ -518,7 +545,7 @@ def repeats(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS,
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     # a line of 200 bytes has 6 keys, a piece is 40 bytes or so
     scan = cut(_scan(rows, max(8, round(size / 36 / keys_per_bucket)), max(8, round(size / 40 / keys_per_bucket))))
-    lines = _repeated_lines(rows, cut(_line_pairs(scan)), percent)
+    lines = _repeated_lines(rows, scan, cut(_line_pairs(scan)), percent)
     return lines.join(_grown(rows, cut(_stretches(scan, min_words))), "doc_id", "full")
 
 
