@@ -92,6 +92,91 @@ def louvain(edges: DataFrame, gamma: float = 1.0) -> DataFrame:
     return edges.groupBy("graph_id").applyInPandas(run, _EDGES)
 
 
+def leiden(edges: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """graph_id, node, community, quality (the graph's, not normalised) of each graph; one task a graph.
+
+    Communities are connected, and no partition of Louvain's is better (see kernels.leiden_partition).
+    Communities are named by their least nodes.
+    """
+
+    def run(pdf):
+        import pandas as pd
+
+        from weftline.operators.kernels import leiden_partition
+
+        nodes, label, score = leiden_partition(pdf["src"].to_numpy(), pdf["dst"].to_numpy(), pdf["weight"].to_numpy(float), gamma)
+        found = pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "node": nodes, "community": label, "quality": score})
+        found["community"] = found.groupby("community")["node"].transform("min")
+        return found
+
+    return edges.groupBy("graph_id").applyInPandas(run, f"{_EDGES}, quality double")
+
+
+def graph_quality(edges: DataFrame, part: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """graph_id, raw_quality, modularity of a partition (graph_id, node, community) of each graph."""
+    a = part.select("graph_id", F.col("node").alias("src"), F.col("community").alias("c1"))
+    b = part.select("graph_id", F.col("node").alias("dst"), F.col("community").alias("c2"))
+    x = edges.join(a, ["graph_id", "src"]).join(b, ["graph_id", "dst"]).select("graph_id", "c1", "c2", "weight")
+    ends_ = x.select("graph_id", F.explode(F.array("c1", "c2")).alias("c"), "weight", (F.col("c1") == F.col("c2")).alias("inside"))
+    k = ends_.groupBy("graph_id", "c").agg(F.sum("weight").alias("k"), F.sum(F.when(F.col("inside"), F.col("weight")).otherwise(0.0)).alias("i"))
+    g = k.groupBy("graph_id").agg(F.sum("k").alias("m2"), F.sum("i").alias("i"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+    raw = F.col("i") - gamma * F.try_divide("kk", "m2")
+    return g.select("graph_id", F.coalesce(raw, F.lit(0.0)).alias("raw_quality"), F.coalesce(F.try_divide(raw, F.col("m2")), F.lit(0.0)).alias("modularity"))
+
+
+def apart(edges: DataFrame, part: DataFrame) -> DataFrame:
+    """graph_id, community, parts: into how many connected parts each community of a partition falls."""
+    from weftline.operators.graph import components
+
+    named = part.select("graph_id", "node", "community", F.concat_ws(":", "graph_id", "node").alias("name"))
+    a = named.select("graph_id", F.col("node").alias("src"), F.col("community").alias("c1"), F.col("name").alias("s"))
+    b = named.select("graph_id", F.col("node").alias("dst"), F.col("community").alias("c2"), F.col("name").alias("d"))
+    inner = edges.join(a, ["graph_id", "src"]).join(b, ["graph_id", "dst"]).filter("c1 = c2").select(F.col("s").alias("src"), F.col("d").alias("dst"), "weight")
+    joined = named.join(components(named.select(F.col("name").alias("node")), inner).withColumnRenamed("node", "name"), "name")
+    return joined.groupBy("graph_id", "community").agg(F.countDistinct("component").alias("parts"))
+
+
+def fallback(nodes: DataFrame, most: int = 30, least: int = 3) -> DataFrame:
+    """graph_id, node, community, source for graphs without edges, of nodes (graph_id, node, name): one
+    community of all (single), or, of more than most nodes, the groups of names with least members
+    or more (names). Communities are named by their least nodes."""
+    from pyspark.sql import Window
+
+    graph, group = Window.partitionBy("graph_id"), Window.partitionBy("graph_id", "g")
+    x = nodes.withColumn("g", name_group(F.col("name"))).withColumn("n", F.count(F.lit(1)).over(graph)).withColumn("m", F.count(F.lit(1)).over(group))
+    large = F.col("n") > most
+    x = x.filter(~large | (F.col("m") >= least))
+    return x.select("graph_id", "node", F.when(large, F.min("node").over(group)).otherwise(F.min("node").over(graph)).alias("community"), F.when(large, "names").otherwise("single").alias("source"))
+
+
+def detect(nodes: DataFrame, edges: DataFrame, algorithm: str = "leiden", gamma: float = 1.0, gammas: tuple[float, ...] | None = None, stable: bool = False, most: int = 30) -> DataFrame:
+    """graph_id, node, community, source of all nodes (graph_id, node, name) of all graphs.
+
+    Graphs without edges fall back (see fallback). The others are cut by resolutions (gammas), else by
+    consensus (stable), else by the algorithm at gamma; nodes without an edge are communities of their
+    own. Communities are named by their least nodes. No nodes, no rows.
+    """
+    from pyspark.sql import Window
+
+    if algorithm not in ("leiden", "louvain"):
+        raise ValueError(f"no algorithm {algorithm}")
+    found = multi_resolution(edges, gammas) if gammas else consensus(edges) if stable else leiden(edges, gamma) if algorithm == "leiden" else louvain(edges, gamma)
+    own = Window.partitionBy("graph_id", "community")
+    found = found.select("graph_id", "node", F.min("node").over(own).alias("community"))
+    linked = edges.select("graph_id").distinct()
+    placed = nodes.join(linked, "graph_id", "left_semi").select("graph_id", "node").join(found, ["graph_id", "node"], "left")
+    placed = placed.select("graph_id", "node", F.coalesce("community", "node").alias("community"), F.lit("communities").alias("source"))
+    return placed.unionByName(fallback(nodes.join(linked, "graph_id", "left_anti"), most))
+
+
+def records(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """graph_id, community, members (names, sorted), methods, fields of what detect finds; nodes have a
+    kind, by default method."""
+    kind = F.coalesce("kind", F.lit("method"))
+    x = nodes.select("graph_id", "node", "name", kind.alias("kind")).join(found, ["graph_id", "node"])
+    return x.groupBy("graph_id", "community").agg(F.array_sort(F.collect_list("name")).alias("members"), F.count_if(F.col("kind") == "method").alias("methods"), F.count_if(F.col("kind") != "method").alias("fields"))
+
+
 def betweenness(edges: DataFrame) -> DataFrame:
     """graph_id, node, score: weights are distances; one task a graph."""
 

@@ -70,3 +70,17 @@ def ratings(spark, sf_dir) -> DataFrame:
 
 
 RATINGS = "ratings AS (SELECT lang AS project, source AS instance, quality AS truth, CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END AS predicted FROM documents JOIN labels USING (doc_id))"
+
+
+def graphs(spark, sf_dir) -> DataFrame:
+    """Many graphs: one for each hundred customers; nations of suppliers that ship for one order, weight = such orders."""
+    o = t(spark, sf_dir, "orders").select("o_orderkey", F.expr("o_custkey div 100").alias("graph_id"))
+    s = t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("node"))
+    li = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    x = li.join(s, li.l_suppkey == s.s_suppkey).join(o, li.l_orderkey == o.o_orderkey).select("graph_id", "o_orderkey", "node").distinct()
+    a, b = x.withColumnRenamed("node", "src"), x.withColumnRenamed("node", "dst")
+    return a.join(b, ["graph_id", "o_orderkey"]).filter("src < dst").groupBy("graph_id", "src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+GRAPHS = """shipped AS (SELECT DISTINCT o_custkey // 100 AS graph_id, o_orderkey, s_nationkey AS node FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey),
+graphs AS (SELECT a.graph_id, a.node AS src, b.node AS dst, count(*) AS weight FROM shipped a JOIN shipped b ON a.o_orderkey = b.o_orderkey AND a.node < b.node GROUP BY 1, 2, 3)"""

@@ -64,8 +64,7 @@ def f05_history_alpha(spark, d):
 
 @query()
 def f08_eigenvector(spark, d):
-    edges = _strong(spark, d).select(F.lit(0).cast("long").alias("graph_id"), "src", "dst", "weight")
-    return r6(G.eigenvector(edges), "score")
+    return r6(G.eigenvector(B.graphs(spark, d)), "score")
 
 
 @query(f"WITH {_SEDGES}, s AS (SELECT node, count(*) / 24.0 AS score FROM sends GROUP BY 1) SELECT n_nationkey AS node, round(coalesce(score, 0), 6) AS degree FROM nation LEFT JOIN s ON node = n_nationkey")

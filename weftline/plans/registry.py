@@ -364,7 +364,7 @@ def f06_degree_centrality(spark, d):
 
 @query()
 def f07_betweenness(spark, d):
-    return r6(C.betweenness(_strong(spark, d).select(F.lit(0).cast("long").alias("graph_id"), "src", "dst", "weight")), "score")
+    return r6(C.betweenness(B.graphs(spark, d)), "score")
 
 
 _PR = f"WITH RECURSIVE {_SEDGES}, share AS (SELECT node, other, weight / sum(weight) OVER (PARTITION BY node) AS s FROM sends), loose AS (SELECT n_nationkey AS node FROM nation WHERE n_nationkey NOT IN (SELECT node FROM sends)), pr AS (SELECT 0 AS step, n_nationkey AS node, 1 / 25.0 AS r FROM nation UNION ALL SELECT * FROM (WITH p AS (SELECT * FROM pr) SELECT (SELECT max(step) FROM p) + 1 AS step, n_nationkey AS node, 0.15 / 25 + 0.85 * (coalesce((SELECT sum(p.r * s) FROM share JOIN p ON share.node = p.node WHERE share.other = n_nationkey), 0) + coalesce((SELECT sum(r) FROM p WHERE node IN (SELECT node FROM loose)), 0) / 25) AS r FROM nation WHERE (SELECT max(step) FROM p) < 20)) SELECT node, round(r, 6) AS score FROM pr WHERE step = 20"
@@ -408,7 +408,7 @@ def f14_clustering(spark, d):
 
 @query()
 def g01_louvain(spark, d):
-    return C.louvain(G.undirected(B.flows(spark, d)).select(F.lit(0).cast("long").alias("graph_id"), "src", "dst", "weight"))
+    return C.louvain(B.graphs(spark, d))
 
 
 @query(f"WITH {B.EDGES}, {B.PARTITION}, e AS (SELECT src AS node, weight FROM edges UNION ALL SELECT dst, weight FROM edges), k AS (SELECT cluster_id, sum(weight) AS k FROM e JOIN part_of USING (node) GROUP BY 1), i AS (SELECT a.cluster_id, 2 * sum(weight) AS w FROM edges JOIN part_of a ON src = a.node JOIN part_of b ON dst = b.node WHERE a.cluster_id = b.cluster_id GROUP BY 1), q AS (SELECT coalesce(w, 0) - k * k / (SELECT 2 * sum(weight) FROM edges) AS q FROM k LEFT JOIN i USING (cluster_id)) SELECT round(sum(q), 6) AS raw_quality, round(sum(q) / (SELECT 2 * sum(weight) FROM edges), 6) AS modularity FROM q")
@@ -625,4 +625,4 @@ def m02_windowed_counts(spark, d):
     return X.member_counts(e, length="7 days")
 
 
-from weftline.plans import code, more, review  # noqa: E402,F401  (add their queries to these)
+from weftline.plans import code, more, partitions, review  # noqa: E402,F401  (add their queries to these)

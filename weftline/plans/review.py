@@ -71,18 +71,14 @@ def g05_connected_parts(spark, d):
     return C.connected_parts(_strong(spark, d), B.partition(spark, d))
 
 
-def _one_graph(spark, d):
-    return G.undirected(B.flows(spark, d)).select(F.lit(0).cast("long").alias("graph_id"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "weight")
-
-
 @query()
 def g06_multi_resolution(spark, d):
-    return C.multi_resolution(_one_graph(spark, d))
+    return C.multi_resolution(B.graphs(spark, d))
 
 
 @query()
 def g07_consensus(spark, d):
-    return C.consensus(_one_graph(spark, d))
+    return C.consensus(B.graphs(spark, d))
 
 
 @query(f"SELECT class_id, name_group, count(*) AS n FROM (SELECT DISTINCT p_type AS class_id, p_name AS method, CASE WHEN regexp_extract(p_name, '^({C.VERBS})[A-Z]', 1) <> '' THEN regexp_extract(p_name, '^({C.VERBS})[A-Z]', 1) WHEN regexp_extract(p_name, '[A-Z][a-z]*') <> '' THEN lower(regexp_extract(p_name, '[A-Z][a-z]*')) ELSE 'other' END AS name_group FROM part) GROUP BY 1, 2 HAVING count(*) >= 3")
