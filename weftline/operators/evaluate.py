@@ -31,24 +31,38 @@ def macro_micro(instances: DataFrame) -> DataFrame:
     return m.select("macro_precision", "macro_recall", "macro_f1", F.col("precision").alias("micro_precision"), F.col("recall").alias("micro_recall"), F.col("f1").alias("micro_f1"))
 
 
-def signed_ranks(pairs: DataFrame) -> DataFrame:
-    """n, w: non-zero differences (x - y) and the smaller sum of average ranks."""
-    d = pairs.select((F.col("x") - F.col("y")).alias("d")).filter("d <> 0")
-    # ranks need one order over all pairs: counts per size first, so that the window runs over distinct sizes
-    g = d.groupBy(F.abs("d").alias("a")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("up"))
-    before = F.sum("c").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
-    r = g.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("c") + 1) / 2)
-    s = r.agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("wp"), F.sum(F.col("rank") * (F.col("c") - F.col("up"))).alias("wm"))
-    return s.select("n", F.least("wp", "wm").alias("w"))
+def signed_ranks(pairs: DataFrame, *by: str) -> DataFrame:
+    """by, n, w, ties, p: non-zero differences (x - y) of each group, the smaller sum of their average
+    ranks, the sum of t^3 - t over tied sizes, and the two-sided p (see functions.probability).
+
+    Equal sizes are counted first, so that ranks run over distinct sizes; without groups they run in
+    ranges, not in one task.
+    """
+    from weftline.functions.probability import signed_rank_p_value
+    from weftline.operators.prefix import running_sums
+
+    d = pairs.select(*by, (F.col("x") - F.col("y")).alias("d")).filter("d <> 0")
+    g = d.groupBy(*by, F.abs("d").alias("a")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("up"))
+    if by:
+        before = F.sum("c").over(Window.partitionBy(*by).orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
+        g = g.withColumn("before_c", F.coalesce(before, F.lit(0)))
+    else:
+        g = running_sums(g, [F.col("a")], ["c"])
+    r = g.withColumn("rank", F.col("before_c") + (F.col("c") + 1) / 2)
+    up, down, c = F.sum(F.col("rank") * F.col("up")), F.sum(F.col("rank") * (F.col("c") - F.col("up"))), F.col("c").cast("double")
+    s = r.groupBy(*by).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.least(up, down).alias("w"), F.coalesce(F.sum(c * c * c - c), F.lit(0.0)).alias("ties"))
+    return s.withColumn("p", signed_rank_p_value("n", "w", "ties"))
 
 
 def cliffs_delta(xs: DataFrame, ys: DataFrame) -> DataFrame:
     """(more - less) / (nx * ny) by counts of values: pairs meet as distinct values in order, never as rows."""
+    from weftline.operators.prefix import running_sums
+
     a = xs.groupBy(F.col("x").alias("v")).agg(F.count(F.lit(1)).alias("cx"))
     b = ys.groupBy(F.col("y").alias("v")).agg(F.count(F.lit(1)).alias("cy"))
     j = a.join(b, "v", "full").select("v", F.coalesce("cx", F.lit(0)).alias("cx"), F.coalesce("cy", F.lit(0)).alias("cy"))
-    below = F.coalesce(F.sum("cy").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = j.withColumn("below", below).agg(F.sum(F.col("cx") * F.col("below")).alias("more"), F.sum(F.col("cx") * F.col("cy")).alias("equal"), F.sum("cx").alias("nx"), F.sum("cy").alias("ny"))
+    below = running_sums(j, [F.col("v")], ["cy"])
+    t = below.agg(F.sum(F.col("cx") * F.col("before_cy")).alias("more"), F.sum(F.col("cx") * F.col("cy")).alias("equal"), F.sum("cx").alias("nx"), F.sum("cy").alias("ny"))
     less = F.col("nx") * F.col("ny") - F.col("more") - F.col("equal")
     d = (F.col("more") - less) / (F.col("nx") * F.col("ny"))
     return t.select(d.alias("delta")).withColumn("size", effect("delta"))
@@ -71,18 +85,41 @@ def bootstrap(values: DataFrame, rounds: int, n: int) -> DataFrame:
     return draws.join(values, "k").groupBy("round").agg(F.avg("v").alias("mean"))
 
 
+def bootstrap_interval(means: DataFrame, values: DataFrame, share: float = 0.95) -> DataFrame:
+    """mean of values (v), and the percentiles of bootstrap means (mean) that hold that share between them."""
+    edge = (1 - share) / 2
+    q = means.agg(F.percentile("mean", F.array(F.lit(edge), F.lit(1 - edge))).alias("q"))
+    return values.agg(F.avg("v").alias("mean")).join(F.broadcast(q)).select("mean", F.element_at("q", 1).alias("low"), F.element_at("q", 2).alias("high"))
+
+
+def shared_jaccard(rows: DataFrame) -> DataFrame:
+    """a < b and the Jaccard similarity of the items of every two groups (group, item): shared items are
+    counted by joining on them, and pairs that share none are 0. Groups must be few; items need not."""
+    x = rows.select("group", "item").distinct()
+    n = x.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    both = x.select(F.col("group").alias("a"), "item").join(x.select(F.col("group").alias("b"), "item"), "item").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    one, other = n.select(F.col("group").alias("a"), F.col("n").alias("na")), n.select(F.col("group").alias("b"), F.col("n").alias("nb"))
+    pairs = one.join(other, F.col("a") < F.col("b")).join(both, ["a", "b"], "left")
+    c = F.coalesce("c", F.lit(0))
+    return pairs.select("a", "b", (c / (F.col("na") + F.col("nb") - c)).alias("jaccard"))
+
+
 def mismatch(j: Column, methods: Column, size: Column) -> Column:
     """Why a suggestion misses: by similarity, then by its share of methods."""
     share = F.try_divide(methods, size)
     return F.when(j >= 0.8, "naming_only").when(j < 0.3, "no_match").when((share > 0.7) | (share < 0.3), "behavioral_vs_data").otherwise("partial")
 
 
-def paired_t(pairs: DataFrame) -> DataFrame:
-    """n, mean difference, t and Cohen's d (0 without spread)."""
-    d = pairs.select((F.col("x") - F.col("y")).alias("d")).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"))
+def paired_t(pairs: DataFrame, *by: str) -> DataFrame:
+    """by, n, mean difference, t, Cohen's d (both 0 without spread) and the two-sided p of each group (1
+    without spread and difference, null below two pairs)."""
+    from weftline.functions.probability import t_p_value
+
+    d = pairs.select(*by, (F.col("x") - F.col("y")).alias("d")).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"))
     zero = F.coalesce(F.col("sd"), F.lit(0.0)) == 0
     cohen = F.when(zero, 0.0).otherwise(F.try_divide("mean", "sd"))
-    return d.select("n", "mean", (cohen * F.sqrt("n")).alias("t"), cohen.alias("d"))
+    t = cohen * F.sqrt("n")
+    return d.select(*by, "n", "mean", t.alias("t"), cohen.alias("d"), t_p_value(t, (F.col("n") - 1).cast("double")).alias("p"))
 
 
 def greedy_match(suggested: DataFrame, truth: DataFrame, least: float = 0.8) -> DataFrame:

@@ -66,3 +66,87 @@ def augment(edges: DataFrame, vectors: DataFrame, alpha: float = 0.7, threshold:
     sim = 1 - distance(F.col("v1"), F.col("v2")) / F.sqrt(F.size("v1"))
     x = edges.join(a, "src").join(b, "dst").withColumn("sim", sim)
     return x.select("src", "dst", F.when(F.col("sim") >= threshold, alpha * F.col("weight") + (1 - alpha) * F.col("sim")).otherwise(0.9 * F.col("weight")).alias("weight"))
+
+
+def nesting(body: Column) -> Column:
+    """cognitive, max_depth: a fold over lines. Opening braces of a line deepen, its closing ones end after
+    it; every control pattern that a line has adds its depth and one more."""
+    count = lambda line, c: F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
+
+    def step(s, line):
+        open_ = s["depth"] + count(line, "{")
+        left = open_ - count(line, "}")
+        hits = F.lit(0)
+        for pattern in DECISIONS[:5]:
+            hits = hits + line.rlike(pattern).cast("int")
+        return F.struct(left.alias("depth"), F.greatest(s["most"], open_).alias("most"), (s["cognitive"] + hits * (left + 1)).alias("cognitive"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most"), F.lit(0).alias("cognitive"))
+    return F.aggregate(F.split(body, "\n"), start, step, lambda s: F.struct(s["cognitive"].alias("cognitive"), s["most"].alias("max_depth")))
+
+
+def source_lines(body: Column) -> Column:
+    """Lines that are neither blank nor comments: a fold with the state whether a comment is open. A line
+    that ends one counts as comment; one that begins one, too, whatever stands before."""
+
+    def step(s, line):
+        text = F.regexp_replace(line, r"^\s+|\s+$", "")
+        blank, ends = text == "", text.contains("*/")
+        inside = F.when(blank, s["inside"]).when(ends, False).otherwise(s["inside"] | text.contains("/*"))
+        counts = ~blank & ~ends & ~inside & ~text.startswith("//")
+        return F.struct(inside.alias("inside"), (s["n"] + counts.cast("int")).alias("n"))
+
+    start = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("n"))
+    return F.aggregate(F.split(body, "\n"), start, step, lambda s: s["n"])
+
+
+#: How local variables are declared.
+DECLARED = (r"\b(int|long|short|byte|float|double|boolean|char)\s+(\w+)\s*[=;]", r"\b([A-Z]\w*)\s+(\w+)\s*[=;]")
+
+
+def local_variables(body: Column) -> Column:
+    """Distinct names that stand between a type and = or ;."""
+    return F.size(F.array_distinct(F.concat(*(F.regexp_extract_all(body, F.lit(p), 2) for p in DECLARED))))
+
+
+def signature_measures(kind: Column, modifiers: Column, parameters: Column) -> Column:
+    """num_parameters, is_void, has_return_value and access of a method, from its type and modifiers
+    (a constructor's type is '')."""
+    has = lambda m: F.array_contains(modifiers, m).alias(f"is_{m}")
+    void = F.coalesce(kind == "void", F.lit(True))
+    return F.struct(F.coalesce(F.size(parameters), F.lit(0)).alias("num_parameters"), void.alias("is_void"), (~void).alias("has_return_value"), has("public"), has("private"), has("protected"), has("static"))
+
+
+#: The measures of a method by name, and those that are used unless others are named.
+FEATURES = ("complexity", "cognitive_complexity", "nesting_depth", "loc", "sloc", "parameters", "field_usage", "method_calls", "local_vars", "statements", "shared_fields", "is_void", "is_static")
+USUAL = FEATURES[:8]
+
+
+def method_features(methods: DataFrame, accesses: DataFrame, calls: DataFrame) -> DataFrame:
+    """All FEATURES of methods (class_id, method, type, modifiers, parameters, body), as doubles.
+
+    accesses (class_id, method, field) and calls (class_id, method, target) are those within the class.
+    A method's shared_fields is the mean share of the class's other methods that use its fields.
+    """
+    from weftline.operators.structure import field_sharing_ratio
+
+    key = ["class_id", "method"]
+    n = methods.groupBy("class_id").agg(F.count(F.lit(1)).alias("m"))
+    shared = field_sharing_ratio(accesses.distinct()).select(*key, "fields", (F.col("shared_ratio")).alias("own_ratio"))
+    users = accesses.select(*key).distinct().groupBy("class_id").agg(F.count(F.lit(1)).alias("u"))
+    called = calls.select(*key, "target").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("calls"))
+    nest, sign = nesting(F.col("body")), signature_measures(F.col("type"), F.col("modifiers"), F.col("parameters"))
+    x = methods.withColumn("nest", nest).withColumn("sign", sign).join(shared, key, "left").join(users, "class_id", "left").join(called, key, "left").join(n, "class_id")
+    # the ratio counts the methods that use fields; here all others count
+    ratio = F.col("own_ratio") * F.greatest(F.lit(1), F.col("u") - 1) / F.greatest(F.lit(1), F.col("m") - 1)
+    of = {
+        "complexity": cyclomatic(F.col("body")), "cognitive_complexity": F.col("nest.cognitive"), "nesting_depth": F.col("nest.max_depth"), "loc": F.size(F.split("body", "\n")),
+        "sloc": source_lines(F.col("body")), "parameters": F.col("sign.num_parameters"), "field_usage": F.col("fields"), "method_calls": F.col("calls"),
+        "local_vars": local_variables(F.col("body")), "statements": statements(F.col("body")), "shared_fields": ratio, "is_void": F.col("sign.is_void").cast("int"), "is_static": F.col("sign.is_static").cast("int"),
+    }
+    return x.select(*key, *(F.coalesce(of[f].cast("double"), F.lit(0.0)).alias(f) for f in FEATURES))
+
+
+def feature_vector(rows: DataFrame, names: tuple[str, ...] = USUAL) -> DataFrame:
+    """class_id, member, x: the named features in order; an unknown name is 0."""
+    return rows.select("class_id", F.col("method").alias("member"), F.array(*(F.col(f) if f in FEATURES else F.lit(0.0) for f in names)).alias("x"))

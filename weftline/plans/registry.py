@@ -19,6 +19,7 @@ from weftline.operators import gates as J
 from weftline.operators import graph as G
 from weftline.operators import structure as D
 from weftline.operators import suggest as I
+from weftline.operators.prefix import ranked
 from weftline.plans import bindings as B
 from weftline.sources import files as S
 from weftline.streaming import cochange as X
@@ -178,7 +179,7 @@ def b13_hotspots(spark, d):
 @query(f"WITH {WEIGHTED} SELECT m1, m2, round(cochange, 6) AS cochange, round(coupling, 6) AS coupling, rank() OVER (ORDER BY round(coupling, 6) DESC, m1, m2) AS rank FROM coupled WHERE coupling >= 0.03")
 def b14_cochange_mining(spark, d):
     x = r6(_coupled(spark, d), "cochange", "coupling")
-    return x.withColumn("rank", F.rank().over(Window.orderBy(F.desc("coupling"), "m1", "m2")).cast("long"))
+    return ranked(x, [F.desc("coupling"), F.col("m1"), F.col("m2")])
 
 
 @query("SELECT l_orderkey AS commit_id, l_linenumber AS start, l_linenumber + CAST(l_quantity AS INTEGER) - 1 AS stop FROM lineitem")
@@ -378,7 +379,8 @@ def f09_pagerank(spark, d):
 @query(f"WITH {_SEDGES}, d AS (SELECT node, count(*) AS degree FROM sends GROUP BY 1) SELECT node, degree, rank FROM (SELECT *, row_number() OVER (ORDER BY degree DESC, node) AS rank FROM d) WHERE rank <= 5")
 def f10_top_nodes(spark, d):
     x = G.ends(_strong(spark, d)).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    return x.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("degree"), "node")).cast("long")).filter("rank <= 5")
+    top = x.orderBy(F.desc("degree"), "node").limit(5)  # five rows a task; the window below sees five
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("degree"), "node")).cast("long"))
 
 
 _WEAK = "WITH RECURSIVE e AS (SELECT o_custkey AS a, o_orderkey + 100000000 AS b FROM orders), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT DISTINCT a AS node, a AS other FROM both_ UNION SELECT node, b FROM reach JOIN both_ ON other = a) SELECT node, min(other) AS component FROM reach GROUP BY 1"
@@ -534,8 +536,8 @@ _BRANDS = "s AS (SELECT s_nationkey AS class_id, list(DISTINCT l_partkey) AS b F
 @query(f"WITH {_BRANDS} SELECT x.class_id AS a, y.class_id AS b, round(len(list_intersect(x.b, y.b)) / (len(x.b) + len(y.b) - len(list_intersect(x.b, y.b))), 6) AS jaccard FROM s x JOIN s y ON x.class_id < y.class_id")
 def k01_jaccard(spark, d):
     li, s = B.t(spark, d, "lineitem"), B.t(spark, d, "supplier")
-    x = li.join(s, li.l_suppkey == s.s_suppkey).groupBy(F.col("s_nationkey").alias("a")).agg(F.collect_set("l_partkey").alias("sa"))
-    return r6(x.join(x.select(F.col("a").alias("b"), F.col("sa").alias("sb")), F.col("a") < F.col("b")).select("a", "b", K.jaccard(F.col("sa"), F.col("sb")).alias("jaccard")), "jaccard")
+    x = li.join(s, li.l_suppkey == s.s_suppkey).select(F.col("s_nationkey").alias("group"), F.col("l_partkey").alias("item"))
+    return r6(K.shared_jaccard(x), "jaccard")
 
 
 _CONF = "count(*) FILTER (WHERE truth = 1 AND predicted = 1) AS tp, count(*) FILTER (WHERE truth = 0 AND predicted = 1) AS fp, count(*) FILTER (WHERE truth = 1 AND predicted = 0) AS fn, count(*) FILTER (WHERE truth = 0 AND predicted = 0) AS tn"
@@ -571,12 +573,12 @@ def _pairs(spark, d):
 
 @query(f"WITH {_PAIRS} SELECT count(*) AS n, round(avg(x - y), 6) AS mean, round(avg(x - y) / stddev_samp(x - y) * sqrt(count(*)), 6) AS t, round(avg(x - y) / stddev_samp(x - y), 6) AS d FROM pr")
 def k11_paired_t(spark, d):
-    return r6(K.paired_t(_pairs(spark, d)), "mean", "t", "d")
+    return r6(K.paired_t(_pairs(spark, d)).drop("p"), "mean", "t", "d")
 
 
 @query(f"WITH {_PAIRS}, z AS (SELECT x - y AS d FROM pr WHERE x <> y), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS rk FROM z) SELECT count(*) AS n, round(least(sum(CASE WHEN d > 0 THEN rk ELSE 0 END), sum(CASE WHEN d < 0 THEN rk ELSE 0 END)), 6) AS w FROM r")
 def k12_signed_ranks(spark, d):
-    return r6(K.signed_ranks(_pairs(spark, d)), "w")
+    return r6(K.signed_ranks(_pairs(spark, d)).select("n", "w"), "w")
 
 
 @query("WITH x AS (SELECT s_acctbal AS x FROM supplier), y AS (SELECT c_acctbal AS y FROM customer), q AS (SELECT avg(sign(x - y)) AS delta FROM x CROSS JOIN y) SELECT round(delta, 6) AS delta, CASE WHEN abs(delta) < 0.147 THEN 'negligible' WHEN abs(delta) < 0.33 THEN 'small' WHEN abs(delta) < 0.474 THEN 'medium' ELSE 'large' END AS size FROM q")
@@ -625,4 +627,4 @@ def m02_windowed_counts(spark, d):
     return X.member_counts(e, length="7 days")
 
 
-from weftline.plans import code, more, partitions, review  # noqa: E402,F401  (add their queries to these)
+from weftline.plans import code, measures, more, partitions, review  # noqa: E402,F401  (add their queries to these)

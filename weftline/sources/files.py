@@ -75,9 +75,9 @@ def cache_key(*columns):
 
 def evicted(entries: DataFrame, now: str, days: int, most_bytes: int) -> DataFrame:
     """Entries (key, mtime, bytes) too old, or, oldest first, beyond the room there is."""
-    from pyspark.sql import Window
+    from weftline.operators.prefix import running_sums
 
     old = F.col("mtime") < F.lit(now).cast("timestamp") - F.expr(f"interval {days} days")
-    room = F.sum("bytes").over(Window.orderBy(F.desc("mtime"), "key").rowsBetween(Window.unboundedPreceding, 0))
-    fresh = entries.filter(~old).withColumn("room", room).filter(F.col("room") > most_bytes).select("key")
+    newer = running_sums(entries.filter(~old), [F.desc("mtime"), F.col("key")], ["bytes"])
+    fresh = newer.filter(F.col("before_bytes") + F.col("bytes") > most_bytes).select("key")
     return entries.filter(old).select("key").union(fresh)
