@@ -131,22 +131,20 @@ def kept_rows(docs: DataFrame, keep) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def bounded_sample(labels: DataFrame, docs: DataFrame, label: str, per_class: int, max_bytes: int = 64_000) -> DataFrame:
-    """doc_id, label and text of at most per_class documents with each label (0 or 1), by hash of doc_id.
+def bounded_sample(labels: DataFrame, docs: DataFrame, label: str, per_class: int) -> DataFrame:
+    """doc_id, label and whole text of at most per_class documents with each label (0 or 1), by hash of doc_id.
 
     A doc_id whose labels contradict each other is left out; of rows that share a doc_id the least text
-    is taken. Documents of more than max_bytes are taken, whole, only where there are too few others.
+    is taken.
     """
     own = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias(label), F.max(label).alias("other"))
     own = own.filter(F.col(label) == F.col("other")).drop("other")
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
-    size = texts.select("doc_id", F.octet_length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
-    known = own.join(size, "doc_id")
-    order = [F.col("n") > max_bytes, F.xxhash64("doc_id"), F.col("doc_id")]
+    known = own.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     picked = None
     for k in (0, 1):  # a limit after an order keeps per_class rows a task; a window would move all of a label to one
-        one = known.filter(F.col(label) == k).orderBy(*order).limit(per_class).select("doc_id", label)
+        one = known.filter(F.col(label) == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id", label)
         picked = one if picked is None else picked.union(one)
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
     return texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text"))
 
 

@@ -2,7 +2,9 @@
 
 Arrays are laid out (units, batch). The input enters as columns of a table of projected inputs: one
 column of 3*H values (update, reset, candidate) for each symbol, so that a step only gathers.
-Positions beyond a sequence's length leave the state as it is.
+Positions beyond a sequence's length leave the state as it is. All are of the type of the recurrent
+weights: 8 bytes where training must come out alike whatever the order of sums (it magnifies their
+rounding), 4 bytes otherwise.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ def forward(table: np.ndarray, u: np.ndarray, idx: np.ndarray, live: np.ndarray
     """
     steps, batch = idx.shape
     hidden = u.shape[1]
-    out = np.empty((steps, hidden, batch), np.float32)
-    h = np.zeros((hidden, batch), np.float32)
+    out = np.empty((steps, hidden, batch), u.dtype)
+    h = np.zeros((hidden, batch), u.dtype)
     kept = []
     for t in range(steps - 1, -1, -1) if reverse else range(steps):
         x = table.take(idx[t], axis=1)
@@ -58,13 +60,13 @@ def backward(u: np.ndarray, kept: list, grad: np.ndarray, live: np.ndarray | Non
     """Gradients of u and of the gathered inputs (T, 3H, B), given grad (T, H, B) of the states."""
     hidden = u.shape[1]
     du = np.zeros_like(u)
-    dx = np.zeros((grad.shape[0], 3 * hidden, grad.shape[2]), np.float32)
-    carry = np.zeros(grad.shape[1:], np.float32)
+    dx = np.zeros((grad.shape[0], 3 * hidden, grad.shape[2]), u.dtype)
+    carry = np.zeros(grad.shape[1:], u.dtype)
     for t, h, z, r, n, rh in reversed(kept):
         d = grad[t] + carry
         through = 0.0
         if live is not None:
-            m = live[t].astype(np.float32)
+            m = live[t].astype(u.dtype)
             through, d = d * (1 - m), d * m
         dz = d * (h - n) * z * (1 - z)
         dn = d * (1 - z) * (1 - n * n)
@@ -82,7 +84,7 @@ def scatter(dx: np.ndarray, idx: np.ndarray, symbols: int) -> np.ndarray:
     """Sums gathered gradients (T, 3H, B) back into the table (3H, symbols)."""
     flat = idx.ravel()
     rows = dx.transpose(1, 0, 2).reshape(dx.shape[1], -1)
-    return np.stack([np.bincount(flat, weights=row, minlength=symbols) for row in rows]).astype(np.float32)
+    return np.stack([np.bincount(flat, weights=row, minlength=symbols) for row in rows]).astype(dx.dtype)
 
 
 class Adam:

@@ -7,7 +7,7 @@ repeated words or capitals never raise a score (monotonic constraints).
 Null and empty texts have no words and fail the base rule. Repeated ids stay one row each. Without
 labels of both kinds the verdict is that of the base rule. Extra columns are not carried. The trees
 are fitted on at most ``per_class`` labelled documents a class, those with the smallest hash of
-doc_id (of more than ``max_bytes`` only where there are too few others); every document is scored.
+doc_id, long and short alike; every document is scored.
 """
 
 from __future__ import annotations
@@ -226,9 +226,9 @@ def measure(docs: DataFrame, forest: Forest | None) -> DataFrame:
     return rows.mapInArrow(run, _SCHEMA)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_bytes: int = 64_000, **how) -> Forest:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, **how) -> Forest:
     """Trees of the label quality; the sample is bounded by 2 * per_class documents."""
-    sample = bounded_sample(labels, docs, "quality", per_class, max_bytes)
+    sample = bounded_sample(labels, docs, "quality", per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

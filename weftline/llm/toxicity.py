@@ -5,13 +5,15 @@ Each word enters as two vectors: one of its own (hashed word table) and one from
 that one telling stem is not lost among them, the others their mean). The network reads windows of ``WINDOW`` words that overlap
 by a quarter, attention weighs their positions, and a document's score is that of its highest
 window. Trained in numpy; each round trains on every sampled document's highest-scoring window
-(first chosen by word log-odds) and on random windows of clean documents.
+(first chosen by word log-odds) and on random windows of clean documents. Training runs in 8-byte
+numbers, scoring in 4: steps magnify the rounding of sums, whose order differs with the number of
+threads, and in 4 bytes the same rows gave other models.
 
 Null and empty texts are one window without words. Words are lower-cased and trimmed of
 punctuation. Repeated ids stay one row each; equal texts score alike. Without labels of both kinds
 every score is that of an untrained network's bias, 0. Extra columns are not carried. The training
-sample is bounded: at most ``per_class`` whole documents a class by hash of doc_id, those of more than
-``max_bytes`` only where there are too few others.
+sample is bounded: at most ``per_class`` whole documents a class by hash of doc_id, long and short
+alike.
 """
 
 from __future__ import annotations
@@ -74,7 +76,7 @@ class Lexicon:
     def _count(self) -> None:
         n = np.bincount(self.owner, minlength=self.n)
         self.ends = np.cumsum(n)
-        self.count = np.maximum(n, 1).astype(np.float32)
+        self.count = np.maximum(n, 1)
 
     def subset(self, codes: np.ndarray) -> Lexicon:
         """The lexicon of some of the words, in the order given."""
@@ -89,7 +91,7 @@ class Lexicon:
 
     def vectors(self, p: dict[str, np.ndarray], use: np.ndarray | None = None) -> np.ndarray:
         """(2 * DIM, words); use (words): 0 hides a word's own vector, as for words too rare to know."""
-        chars = np.zeros((DIM, self.n), np.float32)
+        chars = np.zeros((DIM, self.n), p["chars"].dtype)
         chars[0] = self.most(p)[0]
         for k in range(1, DIM):
             chars[k] = np.bincount(self.owner, weights=p["chars"][k][self.gram], minlength=self.n) / self.count
@@ -101,19 +103,19 @@ class Lexicon:
     def most(self, p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The greatest first unit among each word's items, and each item's share in it (ties share)."""
         value = p["chars"][0][self.gram]
-        best = np.zeros(self.n, np.float32)
+        best = np.zeros(self.n, value.dtype)
         some = np.diff(self.ends, prepend=0) > 0
         if some.any():
             best[some] = np.maximum.reduceat(value, (self.ends - np.diff(self.ends, prepend=0))[some])
-        top = (value == best[self.owner]).astype(np.float32)
-        return best, top / np.maximum(np.bincount(self.owner, weights=top, minlength=self.n), 1)[self.owner].astype(np.float32)
+        top = (value == best[self.owner]).astype(value.dtype)
+        return best, top / np.maximum(np.bincount(self.owner, weights=top, minlength=self.n), 1)[self.owner].astype(value.dtype)
 
     def gradients(self, de: np.ndarray, p: dict[str, np.ndarray], use: np.ndarray) -> dict[str, np.ndarray]:
         own, spread = de[:DIM] * (use * p["known"][self.bucket]), (de[DIM:] / self.count)[:, self.owner]
         spread[0] = de[DIM][self.owner] * self.most(p)[1]
         return {
-            "words": np.stack([np.bincount(self.bucket, weights=r, minlength=WORDS) for r in own]).astype(np.float32),
-            "chars": np.stack([np.bincount(self.gram, weights=r, minlength=TRIGRAMS) for r in spread]).astype(np.float32),
+            "words": np.stack([np.bincount(self.bucket, weights=r, minlength=WORDS) for r in own]),
+            "chars": np.stack([np.bincount(self.gram, weights=r, minlength=TRIGRAMS) for r in spread]),
         }
 
 
@@ -145,16 +147,16 @@ class Network:
     @staticmethod
     def fresh(seed: int) -> Network:
         rng = np.random.default_rng(seed)
-        g = lambda *shape, s=0.3: (s * rng.standard_normal(shape)).astype(np.float32)
-        p = {"words": g(DIM, WORDS, s=0.1), "known": np.zeros(WORDS, np.float32), "chars": g(DIM, TRIGRAMS), "xf": g(3 * HIDDEN, 2 * DIM), "xb": g(3 * HIDDEN, 2 * DIM), "bf": g(3 * HIDDEN, s=0), "bb": g(3 * HIDDEN, s=0)}
-        p |= {"uf": gru.init(rng, HIDDEN), "ub": gru.init(rng, HIDDEN), "wa": g(ATTEND, 2 * HIDDEN), "ba": g(ATTEND, s=0), "va": g(ATTEND), "wo": g(2 * HIDDEN), "bo": np.zeros(1, np.float32)}
+        g = lambda *shape, s=0.3: s * rng.standard_normal(shape)
+        p = {"words": g(DIM, WORDS, s=0.1), "known": np.zeros(WORDS), "chars": g(DIM, TRIGRAMS), "xf": g(3 * HIDDEN, 2 * DIM), "xb": g(3 * HIDDEN, 2 * DIM), "bf": g(3 * HIDDEN, s=0), "bb": g(3 * HIDDEN, s=0)}
+        p |= {"uf": gru.init(rng, HIDDEN).astype(float), "ub": gru.init(rng, HIDDEN).astype(float), "wa": g(ATTEND, 2 * HIDDEN), "ba": g(ATTEND, s=0), "va": g(ATTEND), "wo": g(2 * HIDDEN), "bo": np.zeros(1)}
         return Network(p, False)
 
     def tables(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Projected inputs of both directions; the last column, blank, keeps the state as it is."""
         out = []
         for x, b in (("xf", "bf"), ("xb", "bb")):
-            t = np.zeros((3 * HIDDEN, e.shape[1] + 1), np.float32)
+            t = np.zeros((3 * HIDDEN, e.shape[1] + 1), e.dtype)
             t[:, :-1] = self.p[x] @ e + self.p[b][:, None]
             t[:HIDDEN, -1] = 1e4
             out.append(t)
@@ -170,7 +172,7 @@ class Network:
         np.tanh(s, out=s)
         a = np.einsum("a,tab->tb", p["va"], s, optimize=True)
         live = idx != blank
-        a = np.where(live, a, np.float32(-1e9))
+        a = np.where(live, a, a.dtype.type(-1e9))
         a = np.exp(a - a.max(axis=0))
         a *= live
         a /= np.maximum(a.sum(axis=0), 1e-9)
@@ -261,7 +263,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 2, steps: int = 60,
     y = toxic.astype(np.int64)
     pairs = np.unique(row * (lex.n + 1) + codes)
     doc, word = pairs // (lex.n + 1), pairs % (lex.n + 1)
-    net.p["known"] = (np.bincount(np.unique(doc * WORDS + lex.bucket[word]) % WORDS, minlength=WORDS) >= 5).astype(np.float32)
+    net.p["known"] = (np.bincount(np.unique(doc * WORDS + lex.bucket[word]) % WORDS, minlength=WORDS) >= 5).astype(float)
     own = document_odds(y, doc, lambda a, b: (word[a:b], 1), lex.n)
 
     def grams(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
@@ -289,22 +291,23 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 2, steps: int = 60,
             part, idx = words_in(lex, windows[pick])
             idx = np.ascontiguousarray(idx.T)
             want = y[owner[pick]]
-            use = (rng.random(part.n) >= hide).astype(np.float32)
+            use = (rng.random(part.n) >= hide).astype(float)
             e = part.vectors(net.p, use)
             out, kept = net.logits(*net.tables(e), idx, keep=True)
-            d = ((1 / (1 + np.exp(-out)) - want) / len(want)).astype(np.float32)
+            d = (1 / (1 + np.exp(-out)) - want) / len(want)
             adam.step(net.p, net.gradients(part, e, idx, kept, d, use))
             net.p["words"] *= 1 - decay
             net.p["chars"] *= 1 - decay
         # in parts with their own words: the driver's memory also holds the JVM
         guess = np.concatenate([net.score_windows(*words_in(lex, windows[i : i + 1024])) for i in range(0, len(windows), 1024)])
+    net.p = {k: v.astype(np.float32) for k, v in net.p.items()}
     net.trained = True
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200, max_bytes: int = 64_000, **how) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200, **how) -> Network:
     """Trained on labels of ids outside the held-out fifth."""
-    rows = bounded_sample(labels.filter(crc_mod("doc_id", 5) != 0), docs, "toxic", per_class, max_bytes).collect()
+    rows = bounded_sample(labels.filter(crc_mod("doc_id", 5) != 0), docs, "toxic", per_class).collect()
     rows.sort(key=lambda r: r.doc_id)
     texts, toxic = [r.text for r in rows], np.array([r.toxic for r in rows], np.int64)
     del rows
