@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
+from weftline.operators import history as H
 from weftline.operators import javasource as J
 from weftline.plans import bindings as B
 from weftline.plans.registry import query
@@ -113,3 +114,26 @@ def c07_parameter_types(spark, d):
         .otherwise(F.concat(F.lit("var List<A, B,  C"), "z", F.lit(">... v, x")))
     )
     return part.select("id", F.array_join(T.parameter_types(text), ";").alias("types"))
+
+
+# a lineitem is a commit that touches the class of its part: the first of an order a root, the second adds the file
+_LOG = """log AS (SELECT l_orderkey * 10 + l_linenumber AS commit_id, l_partkey // 8 AS k, l_shipdate AS ts, l_linenumber = 1 AS root, l_linenumber = 2 AS added,
+  l_linenumber * 5 AS from_line, l_linenumber * 5 + CAST(l_quantity AS INTEGER) % 12 - 1 AS to_line FROM lineitem)"""
+
+
+def _log(spark, d):
+    li = B.t(spark, d, "lineitem")
+    k = F.expr("cast(l_partkey div 8 as string)")
+    diff = F.format_string("@@ -1,2 +%d,%d @@ x", F.col("l_linenumber") * 5, F.col("l_quantity").cast("int") % 12)
+    return li.select(F.lit("r").alias("repository"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("commit_id"), F.col("l_shipdate").alias("ts"), (F.col("l_linenumber") == 1).alias("root"), k.alias("file"), diff.alias("diff"), k.alias("blob"), F.when(F.col("l_linenumber") != 2, k).alias("old_blob"))
+
+
+@query(
+    f"""WITH {MEMBERS}, {_LOG}, m AS (SELECT * FROM found WHERE kind <> 'field'), roots AS (SELECT commit_id, l.k, ts, signature FROM log l JOIN m ON m.k = l.k WHERE root),
+    met AS (SELECT DISTINCT commit_id, l.k, ts, signature FROM log l JOIN m ON m.k = l.k WHERE NOT root AND NOT added AND end_line >= from_line AND line <= to_line),
+    few AS (SELECT commit_id, k FROM met GROUP BY 1, 2 HAVING count(*) <= 3)
+    SELECT commit_id, CAST(k AS VARCHAR) AS file, ts, signature AS member FROM (SELECT * FROM roots UNION ALL SELECT met.* FROM met JOIN few USING (commit_id, k))"""
+)
+def b03_method_changes(spark, d):
+    lines = H.method_lines(sources(spark, d).select(F.col("file").cast("string").alias("blob"), "source"))
+    return H.method_changes(_log(spark, d), lines, 3).drop("repository")
