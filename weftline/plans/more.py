@@ -83,6 +83,7 @@ _BASKETS = "c AS (SELECT DISTINCT l_orderkey AS commit_id, p_brand AS member FRO
 def b15_cluster_context(spark, d):
     li, p = B.t(spark, d, "lineitem"), B.t(spark, d, "part")
     c = li.join(p, li.l_partkey == p.p_partkey).select(F.col("l_orderkey").alias("commit_id"), F.col("p_brand").alias("member")).distinct()
+    c = V.capped(c).drop("basket")
     pairs = c.withColumnRenamed("member", "m1").join(c.withColumnRenamed("member", "m2"), "commit_id").filter("m1 < m2").groupBy("m1", "m2").agg(F.count(F.lit(1)).alias("cochange"))
     clusters = p.select(F.length("p_brand").cast("long").alias("cluster_id"), F.concat("p_brand", F.lit("(int x)")).alias("member"))
     return V.cluster_context(pairs, clusters).withColumn("examples", F.array_join("examples", ";"))
