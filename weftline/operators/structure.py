@@ -58,12 +58,16 @@ def field_sharing_ratio(accesses: DataFrame) -> DataFrame:
 
 
 def after_extraction(methods: DataFrame, accesses: DataFrame, chosen: DataFrame) -> DataFrame:
-    """class_id, lcom5, tcc of what is left without the chosen methods; below two methods 0 and 1."""
-    key = ["class_id", "method"]
-    left, used = methods.join(chosen, key, "left_anti"), accesses.join(chosen, key, "left_anti")
-    n = left.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
-    j = lcom5(left, used).join(tcc(left, used), "class_id").join(n, "class_id")
-    return j.select("class_id", "lcom5", F.when(F.col("n") < 2, 1.0).otherwise(F.col("tcc")).alias("tcc"))
+    """class_id, remaining, lcom5, tcc of what is left without the chosen methods and all others of their
+    names (overloads go too); below two methods, or with none left, 0 and 1."""
+    name = F.substring_index(F.col("method").cast("string"), "(", 1)
+    gone = chosen.select("class_id", name.alias("name")).distinct()
+    without = lambda rows: rows.withColumn("name", name).join(gone, ["class_id", "name"], "left_anti").drop("name")
+    left, used = without(methods), without(accesses)
+    n = methods.select("class_id").distinct().join(left.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")), "class_id", "left").fillna(0, ["n"])
+    j = n.join(lcom5(left, used), "class_id", "left").join(tcc(left, used), "class_id", "left")
+    few = F.col("n") < 2
+    return j.select("class_id", F.col("n").alias("remaining"), F.when(few, 0.0).otherwise(F.col("lcom5")).alias("lcom5"), F.when(few, 1.0).otherwise(F.col("tcc")).alias("tcc"))
 
 
 def extraction_coverage(methods: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def c27_verdict(spark, d):
 _LEFT = f"{B.ACCESSES}, {_CHOSEN}, {B.METHODS}, lm AS (SELECT * FROM methods ANTI JOIN chosen USING (class_id, method)), la AS (SELECT * FROM accesses ANTI JOIN chosen USING (class_id, method)), m AS (SELECT class_id, count(*) AS m FROM lm GROUP BY 1), a AS (SELECT class_id, count(*) AS ma, count(DISTINCT field) AS a FROM la GROUP BY 1), p AS (SELECT DISTINCT x.class_id, x.method AS m1, y.method AS m2 FROM la x JOIN la y ON x.class_id = y.class_id AND x.field = y.field AND x.method < y.method), c AS (SELECT class_id, count(*) AS c FROM p GROUP BY 1)"
 
 
-@query(f"WITH {_LEFT} SELECT class_id, round(CASE WHEN m < 2 OR coalesce(a, 0) = 0 THEN 0.0 ELSE least(1.0, greatest(0.0, (m - ma / a) / (m - 1))) END, 6) AS lcom5, round(CASE WHEN m < 2 THEN 1.0 ELSE coalesce(c, 0) / (m * (m - 1) / 2.0) END, 6) AS tcc FROM m LEFT JOIN a USING (class_id) LEFT JOIN c USING (class_id)")
+@query(f"WITH {_LEFT} SELECT class_id, coalesce(m, 0) AS remaining, round(CASE WHEN coalesce(m, 0) < 2 OR coalesce(a, 0) = 0 THEN 0.0 ELSE least(1.0, greatest(0.0, (m - ma / a) / (m - 1))) END, 6) AS lcom5, round(CASE WHEN coalesce(m, 0) < 2 THEN 1.0 ELSE coalesce(c, 0) / (m * (m - 1) / 2.0) END, 6) AS tcc FROM (SELECT DISTINCT class_id FROM methods) LEFT JOIN m USING (class_id) LEFT JOIN a USING (class_id) LEFT JOIN c USING (class_id)")
 def d10_after_extraction(spark, d):
     return r6(D.after_extraction(B.methods(spark, d), B.accesses(spark, d), _chosen(spark, d)), "lcom5", "tcc")
 
