@@ -532,7 +532,8 @@ def _repeated_lines(rows: DataFrame, scan: DataFrame, found: DataFrame, percent:
     near = cut(known.join(placed, "content"))
     least = cut(near.groupBy("component").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n")))
     near = hot_join(near, least.select("component", "first"), ["component"], least.select("component", "n")).select("content", "first", "most", "n")
-    equal = known.filter("most > least").join(placed, "content", "left_anti").select("content", F.col("least").alias("first"), "most", "n")
+    again = known.filter("most > least").join(placed, "content", "left").filter("component is null")
+    equal = again.select("content", F.col("least").alias("first"), "most", "n")
     repeated = cut(near.union(equal).filter("most > first").drop("most"))
     every = hot_join(seen, repeated.select("content", "first"), ["content"], repeated.select("content", "n"))
     return every.filter("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("unit", "content")).alias("lines"))
