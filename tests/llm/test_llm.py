@@ -439,10 +439,14 @@ def test_bounded_sample(spark):
 
     docs = spark.createDataFrame([(k, "x" * (100 if k % 2 else 5000)) for k in range(40)] + [(3, "b"), (None, "n")], "doc_id long, text string")
     labels = spark.createDataFrame([(k, int(k < 8)) for k in range(40)] + [(9, 1), (None, 1), (50, 1), (10, 7)], "doc_id long, toxic int")
-    rows = bounded_sample(labels, docs, "toxic", 6, 1000).collect()
-    assert len(rows) == 12 and len({r.doc_id for r in rows}) == 12 and 9 not in {r.doc_id for r in rows}
-    assert {r.doc_id for r in rows if r.toxic} >= {1, 3, 5, 7} and all(r.doc_id % 2 for r in rows if not r.toxic)
-    assert [r.text for r in rows if r.doc_id == 3] == ["b"]
+    rows = bounded_sample(labels, docs, "toxic", 6).collect()
+    assert len(rows) == 12 and len({r.doc_id for r in rows}) == 12 and not {9, 10, 50} & {r.doc_id for r in rows}
+    # by hash alone: long and short texts alike
+    order = [r[0] for r in docs.filter("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").collect() if r[0] not in (9, 10)]
+    for toxic in (0, 1):
+        assert {r.doc_id for r in rows if r.toxic == toxic} == set([k for k in order if (k < 8) == bool(toxic)][:6])
+    assert {len(r.text) for r in rows} >= {100, 5000}
+    assert all(r.text == "b" for r in rows if r.doc_id == 3)
 
 
 def test_sentence_pieces_strings_of_other_pieces(tmp_path):
