@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import clusters as C
 from weftline.operators import extraction as E
+from weftline.operators.lineage import cut
 from weftline.plans import bindings as B
 from weftline.plans.registry import query, r6
 
@@ -24,8 +25,8 @@ def g02_leiden(spark, d):
 @query(f"WITH {B.GRAPHS} SELECT graph_id, count(DISTINCT node) AS nodes, 0 AS disconnected, true AS at_least_louvain, true AS quality_agrees FROM (SELECT graph_id, src AS node FROM graphs UNION SELECT graph_id, dst FROM graphs) GROUP BY 1")
 def g02_leiden_checks(spark, d):
     """What holds of every graph: all nodes placed, no community in parts, no worse than Louvain, quality as the edges have it."""
-    edges = B.graphs(spark, d)
-    found = C.leiden(edges)
+    edges = cut(B.graphs(spark, d))
+    found = cut(C.leiden(edges))  # all checks are of one partition
     n = found.groupBy("graph_id").agg(F.count(F.lit(1)).alias("nodes"), F.first("quality").alias("quality"))
     parts = C.apart(edges, found).groupBy("graph_id").agg(F.count_if(F.col("parts") > 1).alias("disconnected"))
     own = C.graph_quality(edges, found).select("graph_id", F.col("raw_quality").alias("q"))
