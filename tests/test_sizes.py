@@ -15,3 +15,11 @@ def test_partitions_do_not_hang_on_the_order_of_edges():
             for _ in range(4):
                 o = rng.permutation(len(pairs))
                 assert f(pairs[o, 0], pairs[o, 1], weight[o]) == want
+
+
+def test_sources_are_dealt_before_they_are_cut(spark):
+    from weftline.operators import javasource as J
+
+    rows = J.declarations(J.blocks(J.tokens(spark.createDataFrame([(1, "class A { int a; }")], "file int, source string"))))
+    lines = [x for x in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x or "Generate" in x]
+    assert "Exchange" in lines[-1] and not any("Exchange" in x for x in lines[:-1])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as T
 from weftline.operators import history as H
 from weftline.operators import javasource as J
+from weftline.operators.lineage import cut
 from weftline.plans import bindings as B
 from weftline.plans.registry import query
 
@@ -61,8 +62,7 @@ def c01_members(spark, d):
 
 @query("SELECT p_partkey // 8 AS file, 'C' || p_partkey // 8 AS type_name, 'org.p' || p_partkey // 8 AS package, 'Base<C' || p_partkey // 8 || '>' AS extends, 'Runnable' AS implements, 'public' AS modifiers FROM part GROUP BY p_partkey // 8")
 def c02_types(spark, d):
-    rows = J.blocks(J.tokens(sources(spark, d)))
-    t = J.types(rows, J.declarations(rows))
+    t = J.types(None, cut(J.declarations(J.blocks(J.tokens(sources(spark, d))))))
     return t.select("file", "type_name", "package", "extends", F.array_join("implements", ",").alias("implements"), F.array_join("modifiers", ",").alias("modifiers"))
 
 
