@@ -158,10 +158,25 @@ def matched_counts(matches: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def nearest_truth(suggested: DataFrame, truth: DataFrame) -> DataFrame:
-    """suggestion, truth, similarity: the most similar truth of the class (ties: the first), shared or not."""
-    j = suggested.join(truth.select("class_id", "truth", F.col("members").alias("wanted")), "class_id")
-    x = j.groupBy("class_id", "suggestion").agg(F.max(F.struct(jaccard(F.col("members"), F.col("wanted")).alias("similarity"), (-F.col("truth")).alias("k"))).alias("m"))
-    return x.select("class_id", "suggestion", (-F.col("m.k")).alias("truth"), "m.similarity")
+    """suggestion, truth, similarity: the most similar truth of the class (ties: the first), shared or not.
+
+    Sets meet in the members that they share, never as pairs of sets; a suggestion that shares none has
+    the class's first truth at 0, or, if empty itself, the first empty one at 1.
+    """
+    key = ["class_id", "suggestion"]
+    sets = lambda rows, name, size: rows.select("class_id", name, F.array_distinct("members").alias("m")).select("class_id", name, F.size("m").alias(size), "m")
+    s, t = sets(suggested, "suggestion", "ns"), sets(truth, "truth", "nt")
+    a, b = s.select(*key, "ns", F.explode("m").alias("x")), t.select("class_id", "truth", "nt", F.explode("m").alias("y"))
+    met = a.alias("a").join(b.alias("b"), (F.col("a.class_id") == F.col("b.class_id")) & F.col("x").eqNullSafe(F.col("y")))
+    both = met.groupBy("a.class_id", "suggestion", "truth", "ns", "nt").agg(F.count(F.lit(1)).alias("both"))
+    similarity = F.col("both") / (F.col("ns") + F.col("nt") - F.col("both"))
+    best = both.groupBy(*key).agg(F.max(F.struct(similarity.alias("similarity"), (-F.col("truth")).alias("k"))).alias("best"))
+    first = t.groupBy("class_id").agg(F.min(F.when(F.col("nt") == 0, F.col("truth"))).alias("empty"), F.min(F.when(F.col("nt").isNotNull(), F.col("truth"))).alias("known"), F.min("truth").alias("first"))
+    x = s.select(*key, "ns").distinct().join(first, "class_id").join(best, key, "left")
+    none = (F.col("ns") == 0) & F.col("empty").isNotNull()
+    unknown = F.col("ns").isNull() | F.col("known").isNull()
+    found = F.when(F.col("best").isNotNull(), -F.col("best.k")).when(none, F.col("empty")).when(unknown, F.col("first")).otherwise(F.col("known"))
+    return x.select(*key, found.alias("truth"), F.when(F.col("best").isNotNull(), F.col("best.similarity")).when(none, 1.0).when(~unknown, 0.0).alias("similarity"))
 
 
 def at_thresholds(nearest: DataFrame, thresholds: tuple[float, ...] = (0.3, 0.5, 0.8)) -> DataFrame:
