@@ -93,7 +93,7 @@ def helper_closure(chosen: DataFrame, calls: DataFrame, hidden: DataFrame) -> Da
     """
     from weftline.operators.lineage import cut
 
-    reach = calls.select("class_id", "src", "dst").join(hidden.select("class_id", F.col("method").alias("dst")), ["class_id", "dst"], "left_semi").distinct()
+    reach = cut(calls.select("class_id", "src", "dst").join(hidden.select("class_id", F.col("method").alias("dst")), ["class_id", "dst"], "left_semi").distinct())  # read every round
     every = frontier = cut(chosen.select("class_id", "method").distinct())
     while not frontier.isEmpty():
         step = frontier.join(reach, (frontier["class_id"] == reach["class_id"]) & (frontier["method"] == reach["src"])).select(reach["class_id"], reach["dst"].alias("method")).distinct()

@@ -136,7 +136,7 @@ def i03_confident(spark, d):
 def i11_helper_closure(spark, d):
     li, m = B.t(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct(), B.methods(spark, d)
     own = li.join(m, li.l_suppkey == m.method).select("l_orderkey", "class_id", "method")
-    calls = own.join(own.withColumnRenamed("method", "other"), ["l_orderkey", "class_id"]).filter("method < other").select("class_id", F.col("method").alias("src"), F.col("other").alias("dst")).distinct()
+    calls = own.join(own.withColumnRenamed("method", "other"), ["l_orderkey", "class_id"]).filter("method < other").select("class_id", F.col("method").alias("src"), F.col("other").alias("dst"))
     hidden = B.t(spark, d, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("class_id"), F.col("s_suppkey").alias("method"))
     return I.helper_closure(_chosen(spark, d), calls, hidden)
 
