@@ -67,3 +67,15 @@ def test_nearest_truth_meets_in_members(spark):
     got = {tuple(r)[:2]: (r.truth, round(r.similarity, 6)) for r in found.collect()}
     assert got == {(1, 1): (4, 0.333333), (1, 2): (4, 0.0), (1, 3): (9, 1.0), (2, 1): (7, 0.0), (2, 2): (8, 0.5)}
     assert "array_union" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_changes_are_dealt_by_the_size_of_the_table(spark, monkeypatch):
+    from weftline.operators import evolution as V
+    from weftline.plans import bindings as B
+
+    monkeypatch.setattr(B, "TASK_ROWS", 300, raising=False)
+    rows = V.capped(B.changes(spark, "/root/testdata/sf0.001"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() // 300 + 1
+    dealt = [x for x in plan.splitlines() if f", {n}), REPARTITION_BY_NUM" in x]
+    assert len(dealt) == 2 and sum("SortMergeJoin" in x for x in plan.splitlines()) == 1

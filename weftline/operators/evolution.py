@@ -18,8 +18,8 @@ def top_commits(changes: DataFrame, newest: int = 500) -> DataFrame:
 
 def capped(changes: DataFrame, cap: int = 30) -> DataFrame:
     """Changes of commits of at most cap members; larger commits count as having changed nothing."""
-    sizes = changes.groupBy("commit_id").agg(F.count(F.lit(1)).alias("basket"))
-    return changes.join(sizes.filter(F.col("basket") <= cap), "commit_id")
+    basket = F.count(F.lit(1)).over(Window.partitionBy("commit_id"))  # a sort, not a second reading and a join
+    return changes.filter("commit_id is not null").withColumn("basket", basket).filter(F.col("basket") <= cap)
 
 
 def basket_weight(basket: Column) -> Column:
