@@ -79,3 +79,22 @@ def test_changes_are_dealt_by_the_size_of_the_table(spark, monkeypatch):
     n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() // 300 + 1
     dealt = [x for x in plan.splitlines() if f", {n}), REPARTITION_BY_NUM" in x]
     assert len(dealt) == 2 and sum("SortMergeJoin" in x for x in plan.splitlines()) == 1
+
+
+def test_suggestions_are_chosen_as_by_the_kernels(spark):
+    from weftline.operators import kernels as K
+    from weftline.operators import suggest as I
+
+    r, rows = np.random.default_rng(0), []
+    for k in range(150):
+        base = int(r.integers(0, 5)) * 5
+        rows.append((k // 25, k % 25, [None, 0.5, 0.8, float(r.random())][r.integers(0, 4)], sorted({f"x{base + v}" for v in r.integers(0, 7, r.integers(0, 9))})))
+    df = spark.createDataFrame(rows, "class_id int, cluster_id int, confidence double, members array<string>")
+    for choose, kernel, most in ((I.distinct_suggestions, K.greedy_distinct, 0.5), (I.disjoint_suggestions, K.greedy_disjoint, 0.4)):
+        want = []
+        for c in range(6):
+            of = sorted((x for x in rows if x[0] == c), key=lambda x: (-(x[2] or 0), x[1]))
+            want += [x[:2] for x, ok in zip(of, kernel([set(x[3]) for x in of], most), strict=True) if ok]
+        found = choose(df, most)
+        assert sorted(tuple(x)[:2] for x in found.collect()) == sorted(want)
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()  # no class in one task

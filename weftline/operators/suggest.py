@@ -37,26 +37,77 @@ def confidence_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.avg("confidence").alias("mean"), F.min("confidence").alias("low"), F.max("confidence").alias("high"), F.count_if(F.col("confidence") >= 0.8).alias("strong"))
 
 
-def _greedy(rows: DataFrame, kernel: str, most: float) -> DataFrame:
-    """Keeps rows (class_id, cluster_id, confidence, members) class by class, best first."""
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with rid, ord (the order in which a class's rows are judged: best first) and m, their set."""
+    from weftline.operators.lineage import cut
 
-    def run(pdf):
-        from weftline.operators import kernels
+    sure = F.coalesce(F.nanvl(F.col("confidence").cast("double"), F.lit(0.0)), F.lit(0.0))
+    x = rows.select("class_id", "cluster_id", F.col("confidence").cast("double").alias("confidence"), F.array_sort(F.array_distinct("members")).alias("m"), F.monotonically_increasing_id().alias("rid"))
+    return cut(x.withColumn("ord", F.struct((-sure).alias("c"), "cluster_id", "rid")).withColumn("n", F.size("m")))
 
-        pdf = pdf.assign(c=pdf["confidence"].fillna(0.0)).sort_values(["c", "cluster_id"], ascending=[False, True])
-        keep = getattr(kernels, kernel)([set(m) for m in pdf["members"]], most)
-        return pdf.loc[keep, ["class_id", "cluster_id", "confidence"]]
 
-    kind = dict(rows.dtypes)
-    return rows.groupBy("class_id").applyInPandas(run, f"class_id {kind['class_id']}, cluster_id {kind['cluster_id']}, confidence double")
+def distinct_suggestions(rows: DataFrame, most: float = 0.7) -> DataFrame:
+    """Rows (class_id, cluster_id, confidence, members) that stay, best first, when each is dropped that has
+    Jaccard most or more with one kept before (most above 0, at most 1).
 
+    Of equal sets the first alone is judged. Two sets meet in their rarest members, of which one as similar
+    must share one; each round keeps what no undecided earlier row is close to.
+    """
+    from weftline.operators.lineage import cut
 
-def distinct_suggestions(rows: DataFrame, most: float = 0.7) -> DataFrame:
-    return _greedy(rows, "greedy_distinct", most)
+    x = _numbered(rows)
+    first = cut(x.groupBy("class_id", "m", "n").agg(F.min("ord").alias("ord")).withColumn("rid", F.col("ord.rid")))
+    each = first.select("class_id", "rid", F.explode("m").alias("x"))
+    often = each.groupBy("class_id", "x").agg(F.count(F.lit(1)).alias("f"))
+    rare = F.array_sort(F.collect_list(F.struct("f", "x")))
+    ordered = each.join(often.filter("f > 1"), ["class_id", "x"]).groupBy("class_id", "rid").agg(rare.alias("s"))
+    # members that no other set has come first in the order: they use up places, and join nothing
+    lone = F.col("n") - F.size("s")
+    left = F.greatest(F.lit(0), F.col("n") - F.ceil(F.lit(most) * F.col("n") - 1e-9) + 1 - lone).cast("int")
+    heads = ordered.join(first.select("rid", "n", "ord"), "rid").select("class_id", "rid", "n", "ord", F.explode(F.slice("s", F.lit(1), left)).alias("h"))
+    heads = cut(heads.select("class_id", "rid", "n", "ord", F.col("h.x").alias("x")))
+    a, b = (heads.select("class_id", "x", *(F.col(c).alias(f"{c}{k}") for c in ("rid", "n", "ord"))) for k in (1, 2))
+    near = F.least("n1", "n2") >= F.lit(most) * F.greatest("n1", "n2") - 1e-9
+    met = a.join(b, ["class_id", "x"]).filter((F.col("ord1") < F.col("ord2")) & near).select("rid1", "rid2").distinct()
+    m1, m2 = (first.select(F.col("rid").alias(f"rid{k}"), F.col("m").alias(f"m{k}")) for k in (1, 2))
+    both = F.size(F.array_intersect("m1", "m2"))
+    links = cut(met.join(m1, "rid1").join(m2, "rid2").filter(both / (F.size("m1") + F.size("m2") - both) >= most).select("rid1", "rid2"))
+    dropped = None
+    while not links.isEmpty():
+        kept = links.select("rid1").distinct().join(links.select(F.col("rid2").alias("rid1")).distinct(), "rid1", "left_anti")
+        gone = cut(links.join(kept, "rid1", "left_semi").select("rid2").distinct())
+        dropped = gone if dropped is None else dropped.union(gone)
+        links = cut(links.join(gone, "rid2", "left_anti").join(gone.select(F.col("rid2").alias("rid1")), "rid1", "left_anti"))
+    stay = first.select("rid") if dropped is None else first.select("rid").join(dropped.select(F.col("rid2").alias("rid")), "rid", "left_anti")
+    return x.join(stay, "rid", "left_semi").select("class_id", "cluster_id", "confidence")
 
 
 def disjoint_suggestions(rows: DataFrame, most: float = 0.2) -> DataFrame:
-    return _greedy(rows, "greedy_disjoint", most)
+    """Rows (class_id, cluster_id, confidence, members) that stay, best first, when each is dropped of which
+    more than that share of members is in rows kept before.
+
+    Only members of several rows are looked at. A round keeps rows that stay even if all undecided earlier
+    ones do, and drops those that go even if none does; a class's first undecided row is always settled.
+    """
+    from weftline.operators.lineage import cut
+
+    x = _numbered(rows)
+    each = x.select("class_id", "rid", "ord", "n", F.explode("m").alias("x"))
+    shared = each.groupBy("class_id", "x").agg(F.count(F.lit(1)).alias("f")).filter("f > 1").drop("f")
+    open_ = cut(each.join(shared, ["class_id", "x"]).withColumn("kept", F.lit(False)))
+    earlier = Window.partitionBy("class_id", "x").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    dropped = None
+    while not open_.filter("not kept").isEmpty():
+        used = open_.withColumn("sure", F.coalesce(F.max(F.col("kept").cast("int")).over(earlier), F.lit(0))).withColumn("may", F.count(F.lit(1)).over(earlier) > 0)
+        share = used.filter("not kept").groupBy("rid", "n").agg(F.sum("sure").alias("low"), F.count_if("may").alias("high"))
+        state = F.when(F.col("low") / F.col("n") > most, "go").when(F.col("high") / F.col("n") <= most, "stay")
+        settled = cut(share.select("rid", state.alias("state")).filter("state is not null"))
+        gone = settled.filter("state = 'go'").select("rid")
+        dropped = gone if dropped is None else dropped.union(gone)
+        now = open_.join(settled, "rid", "left").filter("state is null or state <> 'go'")
+        open_ = cut(now.select(*open_.columns[:-1], (F.col("kept") | F.coalesce(F.col("state") == "stay", F.lit(False))).alias("kept")))
+    stay = x if dropped is None else x.join(dropped, "rid", "left_anti")
+    return stay.select("class_id", "cluster_id", "confidence")
 
 
 def exclusive_fields(accesses: DataFrame, chosen: DataFrame) -> DataFrame:
