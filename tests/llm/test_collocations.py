@@ -89,3 +89,28 @@ def test_packing_of_cells():
     assert (col._unpack_sorted(col._pack_sorted(cells), len(cells)) == cells).all()
     values = rng.integers(0, 2**32, 77, dtype=np.uint64)
     assert (col.unpack(col.pack(values), 77) == values).all()
+
+
+def test_automata_are_bounded(monkeypatch):
+    random.seed(6)
+    data = col.normalise(". ".join(" ".join(f"w{random.randrange(60)}" for _ in range(12)) for _ in range(400)).encode())
+    keys = np.unique(np.concatenate([col.keys_of(g, 1) for _, _, g in col.Tokens("en", data).phrases(3)]))
+    sizes, make = [], col.automaton
+
+    def watched(patterns):
+        patterns = list(patterns)
+        sizes.append(len(patterns))
+        return make(patterns)
+
+    monkeypatch.setattr(col, "automaton", watched)
+    got = Counter()
+    for phrases, words, counts in col.count_shard("en", data, keys, 1, 3, limit=300):
+        assert all(len(p.split()) == k for p, k in zip(phrases, words, strict=True))
+        got.update(dict(zip(phrases, counts, strict=True)))
+    want = Counter()
+    for piece in data.decode().split("\n"):
+        w = piece.split()
+        want[""] += len(w)
+        want.update(" ".join(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    assert got == want
+    assert len(sizes) > 20 and max(sizes) <= 300

@@ -8,9 +8,10 @@
    candidates, stays alike at any size. An owner adds the shards up; a cell's sum is an upper bound
    for every phrase in it. It answers each shard with those of the shard's cells that reach ``least``.
 3. The phrases of a shard in such cells are the shard's candidates: every phrase with ``least``
-   occurrences is a candidate wherever it occurs. They are compiled, with a guarding space at both
-   ends, into an Aho-Corasick automaton, which scans the shard; guards are shared by neighbours, so
-   all overlapping occurrences are matched, and none within words or across pieces.
+   occurrences is a candidate wherever it occurs. They are compiled, each word as a pair of characters
+   that guard its bounds, into an Aho-Corasick automaton, which scans the shard so written: all
+   overlapping occurrences are matched, and none within words or across pieces. An automaton takes
+   ``MOST_PATTERNS``; a shard with more candidates is cut into parts.
 4. The shards' counts are summed (pre-aggregated by shard), and only then compared with ``least``:
    what the sketch let through by chance goes here. Scores, containment and ranks are joins and
    windows over the candidates; numbers are decimals where a product may pass 64 bits.
@@ -96,7 +97,7 @@ class Tokens:
         stop = pc.index(coded.dictionary, pa.scalar(b"\n ", pa.large_binary())).as_py()
         salt = string_hashes(pa.array([lang]))[0]
         self.hashes = mix64(string_hashes(coded.dictionary) ^ salt)[codes]
-        self.stop = codes == stop
+        self.codes, self.stop = codes, codes == stop
 
     def phrases(self, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(words, places, hashes) of all phrases that lie within a piece."""
@@ -178,32 +179,58 @@ def answers(sent: DataFrame, least: int) -> DataFrame:
     return sent.groupBy("block").applyInArrow(add, "shard long, block long, n long, cells binary")
 
 
-def automaton(patterns: list[str]):
+def automaton(patterns: Iterator[str]):
     import ahocorasick
 
-    a = ahocorasick.Automaton()
+    a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for i, p in enumerate(patterns):
         a.add_word(p, i)
     a.make_automaton()
     return a
 
 
-def count_shard(lang: str, data: bytes, hot: np.ndarray, blocks: int, most: int) -> tuple[list[str], list[int], list[int]]:
-    """Phrases of the shard in hot cells (sorted keys), their words, and all their occurrences; the phrase '' counts words."""
+#: Patterns of one automaton, unless a single line has more: some 60 MB, however many phrases are candidates.
+MOST_PATTERNS = 200_000
+
+
+def count_shard(lang: str, data: bytes, hot: np.ndarray, blocks: int, most: int, limit: int = MOST_PATTERNS) -> Iterator[tuple[list[str], list[int], list[int]]]:
+    """Phrases of the shard in hot cells (sorted keys), their words, and all their occurrences; the phrase '' counts words.
+
+    The more the input, the more of a shard's phrases are candidates: a text with more than limit of them is
+    halved at the end of a piece, and each half is counted with an automaton of its own phrases.
+    """
     tokens = Tokens(lang, data)
-    patterns, sizes, total = [], [], int(np.count_nonzero(~tokens.stop))
-    at = tokens.at
+    found = []
     for k, places, g in tokens.phrases(most):
         keys = keys_of(g, blocks)
         near = np.minimum(np.searchsorted(hot, keys), max(len(hot) - 1, 0))
         mine = hot[near] == keys if len(hot) else np.zeros(len(keys), bool)
-        _, first = np.unique(g[mine], return_index=True)
-        starts = places[mine][first]
-        patterns += [data[a:b].decode() for a, b in zip((at[starts] - 1).tolist(), at[starts + k].tolist(), strict=True)]
-        sizes += [k] * len(starts)
-    del tokens
-    found = Counter(map(itemgetter(1), automaton(patterns).iter(data.decode()))) if patterns else {}
-    return ["", *(p[1:-1] for p in patterns)], [0, *sizes], [total, *(found[i] for i in range(len(patterns)))]
+        found.append((k, places[mine][np.unique(g[mine], return_index=True)[1]]))
+    if sum(len(p) for _, p in found) > limit:
+        ends = np.flatnonzero(tokens.stop[:-1])  # a line feed is a word; the text after it begins with its space
+        if len(ends):
+            middle = int(tokens.at[ends[np.argmin(np.abs(tokens.at[ends] - len(data) // 2))] + 1])
+            del tokens, found
+            yield from count_shard(lang, data[:middle], hot, blocks, most, limit)
+            yield from count_shard(lang, data[middle - 1 :], hot, blocks, most, limit)
+            return
+    used = [tokens.codes[starts + i] for k, starts in found for i in range(k)]
+    used = np.unique(np.concatenate(used)) if used else np.zeros(0, np.int64)
+    # a word is two characters, of which the second one's never begin a word: matches lie at words, as guarded
+    pair = np.empty((len(tokens.codes), 2), "<u4")
+    number = np.searchsorted(used, tokens.codes)
+    known = used[np.minimum(number, max(len(used) - 1, 0))] == tokens.codes if len(used) else np.zeros(len(number), bool)
+    pair[:, 0], pair[:, 1] = np.where(known, 0x10000 + (number >> 8), 1), np.where(known, 0x4000 + (number & 255), 2)
+    coded = pair.tobytes().decode("utf-32-le")
+    counts = Counter(map(itemgetter(1), automaton(coded[2 * s : 2 * (s + k)] for k, starts in found for s in starts.tolist()).iter(coded))) if len(used) else {}
+    at, n = tokens.at, 0
+    yield [""], [0], [int(np.count_nonzero(~tokens.stop))]
+    for k, starts in found:
+        for a in range(0, len(starts), 50_000):
+            some = starts[a : a + 50_000]
+            phrases = [data[x : y - 1].decode() for x, y in zip(at[some].tolist(), at[some + k].tolist(), strict=True)]
+            yield phrases, [k] * len(some), [counts[n + i] for i in range(len(some))]
+            n += len(some)
 
 
 def phrase_counts(docs: DataFrame, least: int = 30, most: int = 4, shard_bytes: int = 8 << 20) -> DataFrame:
@@ -218,10 +245,8 @@ def phrase_counts(docs: DataFrame, least: int = 30, most: int = 4, shard_bytes:
             for lang, data, hot in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "hot")), strict=True):
                 cells = [(x["block"] << CELLS) + _unpack_sorted(x["cells"], x["n"]) for x in hot or ()]
                 keys = np.sort(np.concatenate(cells)).astype(np.uint64) if cells else np.zeros(0, np.uint64)
-                phrases, sizes, counts = count_shard(lang, data, keys, blocks, most)
-                for k in range(0, len(phrases), 50_000):
-                    chunk = slice(k, k + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases[chunk]), pa.string()), pa.array(phrases[chunk], pa.string()), pa.array(sizes[chunk], pa.int32()), pa.array(counts[chunk], pa.int64())], ["lang", "phrase", "k", "a"])
+                for phrases, sizes, counts in count_shard(lang, data, keys, blocks, most):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int64())], ["lang", "phrase", "k", "a"])
                 release()
 
     hot = answers(sketch(parts, blocks, most), least).groupBy("shard").agg(F.collect_list(F.struct("block", "n", "cells")).alias("hot"))  # at most a shard's own cells
