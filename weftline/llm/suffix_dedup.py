@@ -5,12 +5,14 @@
    sorted keys; those that two documents or more have are shared.
 2. Shards. Each shared anchor's context (34 bytes before it, 50 from it) goes to the shard of its
    key. A shard keeps each distinct context once with its least doc_id. Keys whose contexts are all
-   equal are settled; the others' contexts form the shard's text. Its suffix array is built by
+   equal are settled, and contexts that share neither the 17 bytes before nor those behind the anchor
+   with another one of the key; the others form the shard's text. Its suffix array is built by
    Larsson-Sadakane refinement in numpy (ranks doubled, only groups not yet single are sorted again,
    up to 50 bytes), with common prefixes on which all suffixes advance together (common_prefixes).
    Runs of suffixes with a common prefix of 50 bytes are equal strings; each run's least doc_id
-   decides. A shard of more than ``shard_bytes`` is cut into several arrays; their sorted strings are
-   merged by binary search.
+   decides. A shard of more than ``shard_bytes`` is cut into several arrays between keys; a key of more
+   contexts than an array takes is cut too, and its arrays' strings meet by hash. Anchors and contexts
+   are held over many texts before they are dealt, so that shuffled rows grow with the input only.
 3. The spans so found are joined to their documents, merged, and cut out.
 
 Exact copies of a text are settled first: all their strings start in the copy with the least doc_id.
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, mix64, slices, small_side, text_or_empty
+from weftline.llm.common import cut, mix64, release, slices, small_side, text_or_empty
 from weftline.llm.jaccard_join import KEY_BYTES, pack_keys, unpack_keys
 
 LENGTH, GRAM = 50, 16
@@ -158,28 +160,76 @@ def least_owner(contexts: np.ndarray, least: np.ndarray) -> np.ndarray:
     return out.reshape(n, width + 1)[:, :SPAN]
 
 
-def merged_owners(contexts: np.ndarray, least: np.ndarray, shard_bytes: int) -> np.ndarray:
-    """least_owner over any number of contexts: shards of bounded size, merged by binary search."""
-    step = max(1, shard_bytes // (CONTEXT + 1))
-    if len(contexts) <= step:
+def _row_hashes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of bytes as rows of 64-bit words, zeros behind, and a hash of each."""
+    n, width = rows.shape
+    words = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    words[:, :width] = rows
+    words = words.view("<u8")
+    h = np.zeros(n, np.uint64)
+    for k in range(words.shape[1]):
+        h = mix64(h + words[:, k])
+    return words, h
+
+
+def alike(rows: np.ndarray) -> np.ndarray:
+    """A number for each of the rows (n, width bytes), the same where all bytes are."""
+    words, h = _row_hashes(rows)
+    order = np.argsort(h)
+    new = np.append(True, h[order][1:] != h[order][:-1])[: len(h)]
+    by = words[order]
+    if ((by[1:] != by[:-1]).any(axis=1) & ~new[1:]).any():  # different rows with one hash
+        return np.unique(words, axis=0, return_inverse=True)[1].reshape(-1)
+    out = np.empty(len(h), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
+def may_meet(contexts: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which of the contexts (all different) may share a string with another of their key: a string holds
+    the anchor and all of the 17 bytes before it or of the 17 behind it."""
+    out = np.zeros(len(contexts), bool)
+    half = (LENGTH - GRAM) // 2
+    wide = np.zeros((len(contexts), 8 + GRAM + half), np.uint8)
+    wide[:, :8] = np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)
+    for a in (BEFORE - half, BEFORE):
+        wide[:, 8:] = contexts[:, a : a + GRAM + half]
+        of = alike(wide)
+        out |= np.bincount(of, minlength=1)[of] > 1
+    return out
+
+
+def _merged(contexts: np.ndarray, least: np.ndarray, step: int) -> np.ndarray:
+    """least_owner over more contexts than an array takes: arrays of step contexts, whose strings meet in the
+    order of their hashes, some at a time. The work is in proportion to the contexts."""
+    own = np.concatenate([least_owner(contexts[a : a + step], least[a : a + step]) for a in range(0, len(contexts), step)])
+    strings, flat = np.lib.stride_tricks.sliding_window_view(contexts, LENGTH, axis=1), own.reshape(-1)
+    h = np.stack([_row_hashes(contexts[:, s : s + LENGTH])[1] for s in range(SPAN)], axis=1).reshape(-1)
+    order = np.argsort(h)
+    starts = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+    edges = np.append(starts[np.unique(np.searchsorted(starts, np.arange(0, starts[-1] + 1, 1 << 20)))], len(order))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        r = order[a:b]
+        of = alike(strings[r // SPAN, r % SPAN])
+        best = np.full(of.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(best, of, flat[r])
+        flat[r] = best[of]
+    return own
+
+
+def merged_owners(contexts: np.ndarray, least: np.ndarray, shard_bytes: int, key: np.ndarray | None = None) -> np.ndarray:
+    """least_owner over any number of contexts in the order of their keys (none given: one key): arrays of
+    bounded size hold whole keys, whose strings differ from all other keys' strings."""
+    step, n = max(1, shard_bytes // (CONTEXT + 1)), len(contexts)
+    if n <= step:
         return least_owner(contexts, least)
-    parts = [least_owner(contexts[a : a + step], least[a : a + step]) for a in range(0, len(contexts), step)]
-    none = np.iinfo(np.int64).max
-    tables = []
-    for k, own in enumerate(parts):
-        at, s = np.nonzero(own < none)
-        strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(contexts[k * step : k * step + step], LENGTH, axis=1)[at, s]).view(f"S{LENGTH}").reshape(-1)
-        order = np.argsort(strings, kind="stable")
-        tables.append((strings[order], at[order], s[order]))
-    for i in range(len(parts)):
-        for j in range(len(parts)):
-            if i != j and len(tables[j][0]):
-                strings, at, s = tables[i]
-                where = np.minimum(np.searchsorted(tables[j][0], strings), len(tables[j][0]) - 1)
-                hit = tables[j][0][where] == strings
-                other = parts[j][tables[j][1][where], tables[j][2][where]]
-                parts[i][at[hit], s[hit]] = np.minimum(parts[i][at[hit], s[hit]], other[hit])
-    return np.concatenate(parts)
+    ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, n) if key is not None else np.array([n])
+    out, a = [], 0
+    while a < n:
+        b = int(ends[max(np.searchsorted(ends, a + step, side="right") - 1, np.searchsorted(ends, a, side="right"))])
+        out.append(least_owner(contexts[a:b], least[a:b]) if b - a <= step else _merged(contexts[a:b], least[a:b], step))
+        a = b
+    return np.concatenate(out)
 
 
 _BLOBS = "bucket long, keys binary, owners binary, places binary, ids binary, rows binary"
@@ -190,8 +240,58 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, size
 
 
+#: Anchors, and contexts, that a task of a scan holds before it deals them out: with rows for each slice of
+#: text and bucket, their number would grow with the square of the input.
+HELD_ANCHORS, HELD_CONTEXTS = 1 << 19, 1 << 17
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """Numbers by bytes of equal weight, or bytes, compressed; before them how many bytes they take."""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _opened(data: bytes, kind: str) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    raw = np.frombuffer(pa.decompress(data[8:], n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def _dealt(of: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, its places in keys by key) for each bucket of of."""
+    order = np.lexsort((keys, of))
+    cuts = np.flatnonzero(np.diff(of[order], prepend=-1, append=-1))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(of[order[a]]), order[a:b]
+
+
+def _batch(made: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], pa.binary() if i else pa.int64()) for i in range(len(names))], names)
+
+
+def _batches(made: Iterator[tuple], names: list[str], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for m in made:
+        held.append(m)
+        size += sum(map(len, m[1:]))
+        if size >= most:
+            yield _batch(held, names)
+            held, size = [], 0
+    if held:
+        yield _batch(held, names)
+
+
 def _anchor_scan(docs: DataFrame, buckets: int) -> DataFrame:
+    names = ["bucket", "keys", "owners", "places", "ids", "rows"]
+
+    def pack(held: list[tuple]) -> Iterator[tuple]:
+        keys, doc, place, ids, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+        for bucket, r in _dealt((keys % np.uint64(buckets)).astype(np.int64), keys):
+            used, local = np.unique(doc[r], return_inverse=True)
+            yield bucket, pack_keys(keys[r]), _squeezed(local.astype("<u4")), _squeezed(place[r].astype("<u4")), _squeezed(ids[used].astype("<i8")), _squeezed(rows[used].astype("<i8"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, texts = [], 0, 0
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 data, start, size = _joined([t.encode() for t in part.column("text").to_pylist()])
@@ -200,34 +300,33 @@ def _anchor_scan(docs: DataFrame, buckets: int) -> DataFrame:
                     continue
                 ids, rows = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "row"))
                 doc = np.searchsorted(start + size, at, side="right")
-                place = at - start[doc]
-                of = (keys % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((keys, of))
-                cuts = np.flatnonzero(np.diff(of[order], prepend=-1, append=-1))
-                made = []
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    r = order[a:b]
-                    used, local = np.unique(doc[r], return_inverse=True)
-                    made.append((int(of[r[0]]), pack_keys(keys[r]), local.astype("<u4").tobytes(), place[r].astype("<u4").tobytes(), ids[used].astype("<i8").tobytes(), rows[used].astype("<i8").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate((pa.int64(), *[pa.binary()] * 5))], ["bucket", "keys", "owners", "places", "ids", "rows"])
+                held.append((keys, doc + texts, at - start[doc], ids, rows))
+                n, texts = n + len(at), texts + len(ids)
+                if n >= HELD_ANCHORS:
+                    yield from _batches(pack(held), names)
+                    held, n, texts = [], 0, 0
+        if held:
+            yield from _batches(pack(held), names)
+            held.clear()
+        release()
 
     return docs.select("doc_id", "row", "text").mapInArrow(run, _BLOBS)
 
 
-def _shared(scan: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, row, places: anchors of each row that rows of another doc_id have too."""
+def _shared(scan: DataFrame, homes: int) -> DataFrame:
+    """doc_id, row, places: anchors of each row that rows of another doc_id have too; gathered in homes groups."""
 
     def run(t: pa.Table) -> pa.Table:
         keys = np.concatenate([unpack_keys(x) for x in t["keys"].to_pylist()])
-        owners = [np.frombuffer(x, "<u4") for x in t["owners"].to_pylist()]
-        doc, row = (np.concatenate([np.frombuffer(x, "<i8")[o] for x, o in zip(t[c].to_pylist(), owners, strict=True)]) for c in ("ids", "rows"))
-        place = np.concatenate([np.frombuffer(x, "<u4") for x in t["places"].to_pylist()])
+        owners = [_opened(x, "<u4") for x in t["owners"].to_pylist()]
+        doc, row = (np.concatenate([_opened(x, "<i8")[o] for x, o in zip(t[c].to_pylist(), owners, strict=True)]) for c in ("ids", "rows"))
+        place = np.concatenate([_opened(x, "<u4") for x in t["places"].to_pylist()])
         order = np.argsort(keys, kind="stable")
         k, d = keys[order], doc[order]
         start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         two = np.repeat(np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start), np.diff(np.append(start, len(k))))
         d, r, p = d[two], row[order][two], place[order][two]
-        to = (mix64(d.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        to = (mix64(d.astype(np.uint64)) % np.uint64(homes)).astype(np.int64)
         by = np.lexsort((r, d, to))
         cuts = np.flatnonzero(np.diff(to[by], prepend=-1, append=-1))
         made = [(int(to[by[a]]), d[by[a:b]].astype("<i8").tobytes(), r[by[a:b]].astype("<i8").tobytes(), p[by[a:b]].astype("<u4").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -251,7 +350,16 @@ _CONTEXTS = "bucket long, keys binary, places binary, docs binary, rows binary,
 def _contexts(docs: DataFrame, buckets: int) -> DataFrame:
     """Packed contexts of shared anchors by bucket; docs has doc_id, row, text, places."""
 
+    names = ["bucket", "keys", "places", "docs", "rows", "contexts"]
+
+    def pack(held: list[tuple]) -> Iterator[tuple]:
+        keys, place, doc, row, ctx = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        for bucket, r in _dealt((keys % np.uint64(buckets)).astype(np.int64), keys):
+            yield bucket, pack_keys(keys[r]), _squeezed(place[r].astype("<u4")), _squeezed(doc[r].astype("<i8")), _squeezed(row[r].astype("<i8")), _squeezed(ctx[r].reshape(-1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 data, start, size = _joined([t.encode() for t in part.column("text").to_pylist()])
@@ -268,16 +376,19 @@ def _contexts(docs: DataFrame, buckets: int) -> DataFrame:
                     v |= data[at + k].astype(np.uint64) << np.uint64(8 * k)
                     w |= data[at + 8 + k].astype(np.uint64) << np.uint64(8 * k)
                 keys = mix64(mix64(v) + w) & _MASK
-                of = (keys % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((keys, of))
-                for a in range(0, len(order), 20_000):
-                    r = order[a : a + 20_000]
+                for a in range(0, len(at), 20_000):
+                    r = slice(a, a + 20_000)
                     spot = at[r][:, None] + np.arange(-BEFORE, LENGTH)
                     inside = (spot >= start[doc[r]][:, None]) & (spot < (start + size)[doc[r]][:, None])
                     ctx = np.where(inside, data[np.clip(spot, 0, len(data) - 1)], np.uint8(GAP))
-                    cuts = np.flatnonzero(np.diff(of[r], prepend=-1, append=-1))
-                    made = [(int(of[r[x]]), pack_keys(keys[r[x:y]]), place[r[x:y]].astype("<u4").tobytes(), ids[doc[r[x:y]]].astype("<i8").tobytes(), rows[doc[r[x:y]]].astype("<i8").tobytes(), ctx[x:y].tobytes()) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate((pa.int64(), *[pa.binary()] * 5))], ["bucket", "keys", "places", "docs", "rows", "contexts"])
+                    held.append((keys[r], place[r].astype(np.uint32), ids[doc[r]], rows[doc[r]], ctx))
+                    n += len(ctx)
+                    if n >= HELD_CONTEXTS:
+                        yield from _batches(pack(held), names)
+                        held, n = [], 0
+        if held:
+            yield from _batches(pack(held), names)
+        release()
 
     return docs.select("doc_id", "row", "text", "places").mapInArrow(run, _CONTEXTS)
 
@@ -287,22 +398,23 @@ def _spans(contexts: DataFrame, shard_bytes: int) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         keys = np.concatenate([unpack_keys(x) for x in t["keys"].to_pylist()])
-        doc, row = (np.concatenate([np.frombuffer(x, "<i8") for x in t[c].to_pylist()]) for c in ("docs", "rows"))
-        place = np.concatenate([np.frombuffer(x, "<u4") for x in t["places"].to_pylist()]).astype(np.int64)
-        ctx = np.concatenate([np.frombuffer(x, np.uint8) for x in t["contexts"].to_pylist()]).reshape(-1, CONTEXT)
-        whole, of = np.unique(ctx.view(f"V{CONTEXT}").reshape(-1), return_inverse=True)  # equal contexts have one key
+        doc, row = (np.concatenate([_opened(x, "<i8") for x in t[c].to_pylist()]) for c in ("docs", "rows"))
+        place = np.concatenate([_opened(x, "<u4") for x in t["places"].to_pylist()]).astype(np.int64)
+        ctx = np.concatenate([_opened(x, "u1") for x in t["contexts"].to_pylist()]).reshape(-1, CONTEXT)
+        of = alike(ctx)  # equal contexts have one key
+        one = np.empty(of.max() + 1, np.int64)
+        one[of] = np.arange(len(of))
+        texts, key = ctx[one], keys[one]
         del ctx
-        texts = whole.view(np.uint8).reshape(-1, CONTEXT)
-        least = np.full(len(whole), np.iinfo(np.int64).max)
+        least = np.full(len(texts), np.iinfo(np.int64).max)
         np.minimum.at(least, of, doc)
-        key = np.zeros(len(whole), np.uint64)
-        key[of] = keys
         of_key = np.unique(key, return_inverse=True)[1]
         mixed = np.flatnonzero(np.bincount(of_key)[of_key] > 1)
+        mixed = mixed[may_meet(texts[mixed], key[mixed])]
         mixed = mixed[np.argsort(of_key[mixed], kind="stable")]
-        slot = np.full(len(whole), -1, np.int64)
+        slot = np.full(len(texts), -1, np.int64)
         slot[mixed] = np.arange(len(mixed))
-        own = merged_owners(texts[mixed], least[mixed], shard_bytes) if len(mixed) else np.zeros((1, SPAN), np.int64)
+        own = merged_owners(texts[mixed], least[mixed], shard_bytes, of_key[mixed]) if len(mixed) else np.zeros((1, SPAN), np.int64)
         found = []
         for a in range(0, len(doc), 20_000):
             c, d, at = of[a : a + 20_000], doc[a : a + 20_000], place[a : a + 20_000]
@@ -360,7 +472,7 @@ def _with_row(rows: DataFrame, again: DataFrame, name: str) -> DataFrame:
     return rows.join(small_side(again.withColumn("many", F.lit(True)), 24), "doc_id", "left").withColumn("row", F.when(F.col("many"), own).otherwise(F.lit(0).cast("long"))).drop("many")
 
 
-def dedup(docs: DataFrame, anchors_per_bucket: int = 400_000, shard_bytes: int = 2 << 20) -> DataFrame:
+def dedup(docs: DataFrame, anchors_per_bucket: int = 400_000, shard_bytes: int = 2 << 20, contexts_per_bucket: int = 25_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans, kept (bytes) of each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -371,8 +483,9 @@ def dedup(docs: DataFrame, anchors_per_bucket: int = 400_000, shard_bytes: int =
     copies = cut(signed.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"))
     copies = cut(signed.filter(f"n >= {LENGTH}").join(small_side(copies, 64), ["a", "b", "n"]).filter("doc_id <> rep").select("doc_id", "row").distinct())
     first = docs.filter("doc_id is not null").join(small_side(copies, 32), ["doc_id", "row"], "left_anti")
-    shared = cut(_shared(_anchor_scan(first, buckets), buckets))
-    spans = cut(_spans(_contexts(first.join(shared, ["doc_id", "row"]), 8 * buckets), shard_bytes))
+    shared = cut(_shared(_anchor_scan(first, buckets), max(8, buckets // 4)))
+    met = shared.agg(F.coalesce(F.sum(F.octet_length("places")), F.lit(0))).first()[0] // 4
+    spans = cut(_spans(_contexts(first.join(shared, ["doc_id", "row"]), max(64, round(met / contexts_per_bucket))), shard_bytes))
     cutting = spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "stop")).alias("cutting"))
     marks = cutting.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
     return _apply(docs.join(marks, ["doc_id", "row"], "left"))
