@@ -98,3 +98,14 @@ def test_suggestions_are_chosen_as_by_the_kernels(spark):
         found = choose(df, most)
         assert sorted(tuple(x)[:2] for x in found.collect()) == sorted(want)
         assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()  # no class in one task
+
+
+def test_pairs_are_made_from_one_reading_of_changes(spark):
+    from weftline.operators import evolution as V
+    from weftline.plans import bindings as B
+
+    rows = V.weighted(B.changes(spark, "/root/testdata/sf0.001"), B.AS_OF)
+    plan = V.cochange(rows)._jdf.queryExecution().executedPlan().toString()
+    assert sum("lineitem" in x or "[l_orderkey" in x and "FileScan" in x for x in plan.splitlines()) == 1
+    few = spark.createDataFrame([(1, "b", 2.0), (1, "a", 1.0), (1, "a", 4.0), (1, None, 1.0), (2, "a", 0.5), (2, "b", 8.0), (None, "a", 1.0), (None, "b", 1.0), (3, "c", 1.0)], "commit_id int, member string, w double")
+    assert [tuple(x) for x in V.cochange(few).collect()] == [("a", "b", 5.5)]

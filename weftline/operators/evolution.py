@@ -38,11 +38,15 @@ def weighted(changes: DataFrame, as_of: str, decay: float = 0.8, cap: int = 30)
 
 
 def cochange(rows: DataFrame, weight: Column | None = None) -> DataFrame:
-    """m1 < m2 and the summed weight of commits that have both."""
+    """m1 < m2 and the summed weight of commits that have both (capped rows: a commit's are held as one array,
+    so that they are made once, where a join with themselves would make, sort and hold them twice in a task)."""
     w = weight if weight is not None else F.col("w")
-    a = rows.select("commit_id", F.col("member").alias("m1"), w.alias("w"))
-    b = rows.select("commit_id", F.col("member").alias("m2"))
-    return a.join(b, "commit_id").filter("m1 < m2").groupBy("m1", "m2").agg(F.sum("w").alias("cochange"))
+    kept = rows.filter("commit_id is not null and member is not null")
+    baskets = kept.groupBy("commit_id").agg(F.collect_list(F.struct("member", w.alias("w"))).alias("basket"))
+    first = baskets.select(F.explode("basket").alias("x"), "basket")
+    later = F.filter("basket", lambda y: y["member"] > F.col("x.member"))
+    pairs = first.select(F.col("x.member").alias("m1"), F.col("x.w").alias("w"), F.explode(later).alias("y"))
+    return pairs.groupBy("m1", F.col("y.member").alias("m2")).agg(F.sum("w").alias("cochange"))
 
 
 def member_commits(changes: DataFrame) -> DataFrame:
