@@ -114,3 +114,14 @@ def test_automata_are_bounded(monkeypatch):
         want.update(" ".join(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
     assert got == want
     assert len(sizes) > 20 and max(sizes) <= 300
+
+
+def test_shards_are_written_in_small_row_groups(spark):
+    import pyarrow.parquet as pq
+
+    docs = spark.range(120, numPartitions=1).selectExpr("array_join(transform(sequence(1, 40000), i -> hash(id, i)), ' ') as text", "'en' as lang")
+    written = col.shards(docs, 2 << 20)
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in written.inputFiles()]
+    sizes = [m.row_group(i).total_byte_size for m in groups for i in range(m.num_row_groups)]
+    assert sum(sizes) > 40 << 20
+    assert max(sizes) < 12 << 20  # one group and one page of all a task's shards before

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, hot_join, mix64, release, slices, string_hashes, text_or_empty
+from weftline.llm.common import cut, cut_wide, hot_join, mix64, release, slices, string_hashes, text_or_empty
 
 UPPER = bytes(range(65, 91))
 DELIMITERS = b".,;:!?\n\x0b\x0c\r"
@@ -82,7 +82,7 @@ def shards(docs: DataFrame, shard_bytes: int = 8 << 20) -> DataFrame:
         release()
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_or_empty().alias("text"))
-    return cut(rows.mapInArrow(run, "shard long, lang string, n_bytes long, text binary"))
+    return cut_wide(rows.mapInArrow(run, "shard long, lang string, n_bytes long, text binary"))
 
 
 class Tokens:
@@ -250,7 +250,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, most: int = 4, shard_bytes:
                 release()
 
     hot = answers(sketch(parts, blocks, most), least).groupBy("shard").agg(F.collect_list(F.struct("block", "n", "cells")).alias("hot"))  # at most a shard's own cells
-    joined = parts.select("shard", "lang", "text").join(cut(hot).hint("shuffle_hash"), "shard", "left")
+    joined = parts.select("shard", "lang", "text").join(cut_wide(hot).hint("shuffle_hash"), "shard", "left")
     counted = joined.select("lang", "text", "hot").mapInArrow(run, "lang string, phrase string, k int, a long")
     return cut(counted.groupBy("lang", "phrase", "k").agg(F.sum("a").alias("a")).filter((F.col("a") >= least) | (F.col("k") == 0)))
 

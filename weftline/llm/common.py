@@ -39,7 +39,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, options: dict | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage and its shuffles end there.
 
     A written table rather than checkpoint(): the planner then knows the true size. Sizes of
@@ -47,10 +47,23 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Row groups and pages of a few rows of megabytes each.
+WIDE = {"parquet.block.size": 1 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
+
+
+def cut_wide(df: DataFrame) -> DataFrame:
+    """cut() for rows of megabytes.
+
+    Parquet looks at the size of a page and of a row group after 100 rows only: with such rows a task's whole
+    output is one page, which the writer and its codec hold in memory, and the reader's batch after them.
+    """
+    return cut(df, WIDE)
+
+
 def measured(df: DataFrame) -> int:
     """Bytes of the rows of df (a written table): its columns of varying length as they are, eight bytes for others."""
     size = F.lit(0).cast("long")
