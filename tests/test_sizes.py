@@ -109,3 +109,31 @@ def test_pairs_are_made_from_one_reading_of_changes(spark):
     assert sum("lineitem" in x or "[l_orderkey" in x and "FileScan" in x for x in plan.splitlines()) == 1
     few = spark.createDataFrame([(1, "b", 2.0), (1, "a", 1.0), (1, "a", 4.0), (1, None, 1.0), (2, "a", 0.5), (2, "b", 8.0), (None, "a", 1.0), (None, "b", 1.0), (3, "c", 1.0)], "commit_id int, member string, w double")
     assert [tuple(x) for x in V.cochange(few).collect()] == [("a", "b", 5.5)]
+
+
+def test_linkage_of_large_classes_is_that_of_the_kernel(spark, monkeypatch):
+    from weftline.operators import clusters as C
+    from weftline.operators import kernels as K
+    from weftline.operators import linkage as L
+
+    rng = np.random.default_rng(4)
+    near = rng.normal(size=64)
+    sets = {
+        1: np.r_[rng.normal(size=(70, 6)), np.zeros((20, 6)), np.full((9, 6), 3.0)],  # copies
+        2: np.r_[near + rng.normal(size=(40, 64)) * 0.08, rng.normal(size=(60, 64))],  # a dense part that grows past a block
+        3: rng.integers(0, 60, (70, 1)).astype(float),  # ties
+        4: rng.normal(size=(20, 3)),
+        None: rng.normal(size=(60, 3)),
+    }
+    rows = [(c, 1000 - i, v.tolist()) for c, x in sets.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "class_id int, member long, x array<double>").repartition(7)
+    monkeypatch.setattr(L, "BLOCK", 16)
+    seen = []
+    monkeypatch.setattr(L, "blocks_of", lambda *a, f=L.blocks_of: seen.append(f(*a)) or seen[-1])
+    got = {}
+    for r in C.average_linkage(df, 1.9, most=30).collect():
+        got.setdefault(r.class_id, {})[r.member] = r.community
+    assert len(seen) > 2 and max(len(r.c) for b in seen for r in b.collect()) < 64  # no class in one task
+    for c, x in sets.items():
+        want = K.linkage_groups(x[::-1], 1.9)
+        assert [got[c][m] for m in sorted(got[c])] == want.tolist(), c

@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators.lineage import WIDE
+
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
     """Texts go to Python in batches of so many rows and bytes (one longer row is a batch alone): whole
@@ -51,10 +53,6 @@ def cut(df: DataFrame, options: dict | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Row groups and pages of a few rows of megabytes each.
-WIDE = {"parquet.block.size": 1 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
-
-
 def cut_wide(df: DataFrame) -> DataFrame:
     """cut() for rows of megabytes.
 
